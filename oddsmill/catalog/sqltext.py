@@ -26,8 +26,8 @@ def sql(body: str, doubles: str = "") -> str:
     head = "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in found) + "\n" if found else ""
     if doubles:
         cols = ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in doubles.split())
-        body = f"select * replace ({cols}) from ({body}) as q"
-    return head + body
+        return head + f"select * replace ({cols}) from ({body}) as q"
+    return head + f"select * from ({body}) as q"
 
 
 cte("t_prices", """
@@ -170,3 +170,46 @@ select p.*, t.days_to_resolution, t.pct_lifetime_elapsed, t.days_since_creation,
        b.avg_depth, b.avg_bid_depth, b.avg_ask_depth, v.avg_daily_volume, v.volume_trend, v.buy_sell_ratio, v.volume_price_corr
 from f_price p left join f_time t on p.asset_id = t.asset_id left join f_book b on p.asset_id = b.asset_id
 left join f_volume v on p.asset_id = v.asset_id""")
+
+cte("t_anchors", """
+select market_id, asset_id, outcome from (
+  select *, row_number() over (partition by market_id order by lower(trim(outcome)) in ('yes', 'true') desc, seq) as rn from t_tokens) as x
+where rn = 1""")
+cte("d_raw", """
+select c_custkey as k, c_nationkey as nation, c_name as name, c_mktsegment as seg, c_acctbal as bal,
+       cast(c_custkey as varchar) as id, cast(c_custkey + 1000000 as varchar) as other,
+       cast(1704067200 + (c_custkey % 30) * 86400 as bigint) as stamp from customer""")
+cte("d_events", """
+select cast(nation as bigint) as event_id, 'event-' || nation as slug, 'Event ' || nation as title,
+       cast(case when k % 3 = 0 then 1704067200 else 1704067200 - nation * 86400 end as bigint) as start_ts,
+       cast(1706659200 + (k % 5 - 1) * 86400 as bigint) as end_ts,
+       case when k % 2 = 0 then '["' || seg || '","all"]' else '["' || seg || '"]' end as tags
+from d_raw qualify row_number() over (partition by nation order by k desc) = 1""")
+cte("d_markets", """
+select id as market_id, cast(nation as bigint) as event_id, 'c' || id as condition_id, name as question, k % 11 <> 0 as active,
+       k % 7 = 0 as closed, k % 5 in (0, 2, 3) as resolved,
+       case k % 5 when 0 then 'Yes' when 2 then 'Invalid' when 3 then 'Unresolved' end as resolution_outcome,
+       case when k % 5 <> 4 then stamp end as resolution_ts, case when k % 3 = 2 then 'multi' else 'binary' end as market_type,
+       bal as liquidity from d_raw""")
+cte("d_tokens", """
+select id as market_id, 'Yes' as outcome, id as asset_id from d_raw
+union all select id, case when k % 3 <> 2 then 'No' end, other from d_raw
+union all select id, null, 'x' || id from d_raw where k % 3 = 2""")
+cte("p_latest", "select asset_id, max(ts) as latest_ts from t_prices group by 1")
+cte("p_rows", """
+select t.asset_id, t.market_id, e.tag as primary_tag, l.latest_ts, l.latest_ts is not null as has_history,
+       not m.active or m.closed or m.resolved or e.end_ts < 1706659200 as is_inactive
+from t_tokens t join t_markets m on t.market_id = m.market_id join t_events e on m.event_id = e.event_id
+left join p_latest l on t.asset_id = l.asset_id""")
+cte("p_meta", """
+select r.*, c.tag_coverage from p_rows r join (
+  select primary_tag, avg(case when has_history then 1.0 else 0.0 end) as tag_coverage from p_rows group by 1) c
+on r.primary_tag = c.primary_tag""")
+cte("p_plan", """
+select *, case when has_history and is_inactive then 'skipped_inactive' when has_history then 'existing'
+               when is_inactive then 'new_inactive' else 'new_active' end as bucket,
+       cast(case when has_history then greatest(1705363200, latest_ts - 43200) else 1705363200 end as bigint) as fetch_start_ts
+from p_meta""")
+cte("p_ranked", """
+select *, case bucket when 'existing' then 0 when 'new_active' then 1 else 2 end as bucket_rank
+from p_plan where bucket not like 'skipped%'""")

@@ -43,7 +43,7 @@ def to_bool(c: Column | str) -> Column:
 
 def seconds_from_number(c: Column | str) -> Column:
     whole = col(c).try_cast("bigint")
-    return F.when(whole > MILLIS_ABOVE, F.expr("1").cast("bigint") * F.floor(whole / 1000)).otherwise(whole)
+    return F.when(whole > MILLIS_ABOVE, F.floor(whole / 1000)).otherwise(whole)
 
 
 def seconds_from_text(c: Column | str) -> Column:
@@ -94,7 +94,7 @@ def list_items(c: Column | str) -> Column:
     # The JSON reader stops after the first value, so a quoted comma list would pass as one string.
     whole = (kind != "STRING") | text.rlike(r'^"([^"\\]|\\.)*"$')
     split = F.filter(
-        F.transform(F.split(text, ","), lambda p: F.trim(F.lit("'"), F.trim(F.lit('"'), F.trim(p)))),
+        F.transform(F.split(text, ","), lambda p: F.trim(F.trim(F.trim(p), F.lit('"')), F.lit("'"))),
         lambda p: p != "",
     )
     scalar = F.try_variant_get(parsed, "$", "string")

@@ -141,3 +141,55 @@ class Canon:
             ((key % 20) / 100.0).alias("edge"),
             key.alias("seq"),
         )
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Raw event documents as JSON text, one per customer, in the loose shapes the feeds use."""
+        k, nation, name = F.col("c_custkey"), F.col("c_nationkey").cast("bigint"), F.col("c_name")
+        text, other = k.cast("string"), (k + NO_OFFSET).cast("string")
+        even, m3, m5 = k % 2 == 0, k % 3, k % 5
+
+        def quoted(*cols):
+            return F.concat(F.lit('["'), F.concat_ws('","', *cols), F.lit('"]'))
+
+        stamp = F.lit(EPOCH_START) + (k % 30) * DAY
+        market = F.struct(
+            text.alias("id"),
+            F.when(even, F.concat(F.lit("c"), text)).alias("conditionId"),
+            F.when(~even, F.concat(F.lit("c"), text)).alias("condition_id"),
+            name.alias("question"),
+            (k % 11 != 0).alias("active"),
+            F.when(even, F.when(k % 7 == 0, "yes").otherwise("no")).alias("closed"),
+            F.when(~even, (k % 7 == 0).cast("int")).alias("isClosed"),
+            F.when(m5.isin(0, 3), True).alias("resolved"),
+            F.when(m5 == 1, "no").alias("isResolved"),
+            F.when(m5 == 0, "1").alias("winningOutcome"),
+            F.when(m5 == 1, "Yes").alias("outcome"),
+            F.when(m5 == 2, "void").alias("result"),
+            F.when(m5.isin(0, 2), stamp * 1000).alias("resolutionDate"),
+            F.when(m5.isin(1, 3), F.date_format(F.timestamp_seconds(stamp), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("endDate"),
+            F.when(
+                m3 == 0,
+                F.array(
+                    F.struct(text.alias("token_id"), F.lit(None).cast("bigint").alias("tokenId"), F.lit("Yes").alias("outcome"), F.lit(None).cast("string").alias("name")),
+                    F.struct(F.lit(None).cast("string").alias("token_id"), (k + NO_OFFSET).alias("tokenId"), F.lit(None).cast("string").alias("outcome"), F.lit("No").alias("name")),
+                ),
+            ).alias("tokens"),
+            F.when(m3 == 1, quoted(text, other)).when(m3 == 2, F.concat_ws(", ", text, other, F.concat(F.lit("x"), text))).alias("clobTokenIds"),
+            F.when(m3 == 1, quoted(F.lit("Yes"), F.lit("No"))).when(m3 == 2, "Yes").alias("outcomes"),
+            F.when(even, F.col("c_acctbal").cast("string")).alias("liquidity"),
+            F.when(~even, F.col("c_acctbal")).alias("liquidityNum"),
+        )
+        doc = F.struct(
+            F.when(even, nation.cast("string")).alias("id"),
+            F.when(~even, nation).alias("eventId"),
+            F.concat(F.lit("Event "), nation.cast("string")).alias("title"),
+            F.concat(F.lit("event-"), nation.cast("string")).alias("slug"),
+            F.when(m3 == 0, F.lit("2024-01-01T00:00:00Z")).alias("startDate"),
+            F.when(m3 != 0, (EPOCH_START - nation * DAY) * 1000).alias("startTs"),
+            (AS_OF + (k % 5 - 1) * DAY).alias("end_ts"),
+            F.when(even, F.array(F.concat(F.lit(" "), F.col("c_mktsegment")), F.lit(""), F.lit("all"))).alias("tags"),
+            F.when(~even, F.array(F.struct(F.lit("").alias("label"), F.col("c_mktsegment").alias("slug")))).alias("categories"),
+            F.array(market).alias("markets"),
+        )
+        return self.table("customer").select(F.to_json(doc).alias("value"), k.alias("seq"))
