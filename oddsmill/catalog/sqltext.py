@@ -213,3 +213,147 @@ from p_meta""")
 cte("p_ranked", """
 select *, case bucket when 'existing' then 0 when 'new_active' then 1 else 2 end as bucket_rank
 from p_plan where bucket not like 'skipped%'""")
+
+cte("t_targets", """
+select t.market_id, t.asset_id from t_tokens t join t_markets m on t.market_id = m.market_id
+where m.market_type <> 'binary' or t.outcome = 'Yes'""")
+cte("q_counts", "select asset_id, count(*) as history_points_raw from t_prices group by 1")
+cte("q_base", """
+select t.market_id, t.asset_id, m.liquidity, coalesce(c.history_points_raw, 0) as history_points_raw,
+       coalesce(c.history_points_raw, 0) > 0 as has_history, f.num_points, f.missing_ratio,
+       coalesce(f.max_price - f.min_price, 0) as price_range, f.volatility, f.return_total, f.slope
+from t_targets t join t_markets m on t.market_id = m.market_id left join q_counts c on t.asset_id = c.asset_id
+left join f_price f on t.asset_id = f.asset_id""")
+cte("q_checked", """
+select *, history_points_raw >= 60 as check_min_points, coalesce(missing_ratio, 1) <= 0.4 as check_missing_ratio,
+       price_range >= 0.5 as check_price_range, coalesce(liquidity >= 1000, false) as check_liquidity from q_base""")
+cte("q_quality", """
+select *, has_history and check_min_points and check_missing_ratio and check_price_range and check_liquidity as quality_pass from q_checked""")
+cte("q_tags", "select m.market_id, e.tag as primary_tag from t_markets m join t_events e on m.event_id = e.event_id")
+cte("q_tag_rows", """
+select t.market_id, t.asset_id, g.primary_tag, c.asset_id is not null as has_history, f.volatility, f.return_total, f.slope, f.num_points,
+       f.missing_ratio, coalesce(q.quality_pass, false) as quality_pass
+from t_targets t join q_tags g on t.market_id = g.market_id left join q_counts c on t.asset_id = c.asset_id
+left join f_price f on t.asset_id = f.asset_id left join q_quality q on t.asset_id = q.asset_id""")
+cte("q_summary", """
+select primary_tag, count(distinct market_id) as markets, count(distinct asset_id) as tokens,
+       count(*) filter (has_history) as tokens_with_history, avg(case when has_history then 1.0 else 0.0 end) as coverage_pct,
+       coalesce(avg(volatility), 0) as avg_volatility, coalesce(avg(return_total), 0) as avg_return_total, coalesce(avg(slope), 0) as avg_slope,
+       coalesce(median(num_points), 0) as median_num_points, coalesce(median(missing_ratio), 1) as median_missing_ratio,
+       count(*) filter (quality_pass) as tokens_quality_pass, avg(case when quality_pass then 1.0 else 0.0 end) as quality_pass_rate
+from q_tag_rows group by 1""")
+cte("g_latest", "select asset_id, arg_max(price, ts) as price, max(ts) as ts from s_ticks group by 1")
+cte("g_volumes", """
+select asset_id, arg_max(volume, ts) as last_volume, avg(volume) as mean_volume, count(*) as bar_count from t_bars group by 1""")
+cte("g_rates", """
+select lower(g.primary_tag) as tag, avg(case when resolution_outcome = 'Yes' then 1.0 else 0.0 end) as base_rate
+from t_resolutions r join q_tags g on r.market_id = g.market_id where resolution_outcome in ('Yes', 'No') group by 1""")
+cte("g_frame", """
+select f.*, t.market_id, m.question, m.event_id, g.primary_tag, l.price, c.history_points_raw as raw_points,
+       v.last_volume, v.mean_volume, v.bar_count, r.base_rate,
+       case when f.avg_spread > 0 then f.avg_spread else 0.03 end as sp, coalesce(f.avg_spread > 0.05, false) as wide
+from t_targets t join f_all f on t.asset_id = f.asset_id join t_markets m on t.market_id = m.market_id
+join q_tags g on t.market_id = g.market_id left join g_latest l on t.asset_id = l.asset_id left join q_counts c on t.asset_id = c.asset_id
+left join g_volumes v on t.asset_id = v.asset_id left join g_rates r on lower(g.primary_tag) = r.tag""")
+cte("g_conv", """
+select 'convergence' as signal, asset_id, market_id, primary_tag, wide,
+       case when not (price > 0.85 or price < 0.15) then 'price_not_extreme'
+            when days_to_resolution is null or days_to_resolution < 0 or days_to_resolution > 2 then 'out_of_window'
+            when price > 0.85 and slope <= 0 then 'slope_contradicts_buy' when price < 0.15 and slope >= 0 then 'slope_contradicts_sell'
+            when sp > 0.03 then 'spread_too_wide'
+            when abs(case when price > 0.85 then 1 else 0 end - price) - sp <= 0 then 'no_edge_after_spread' end as rule_reason,
+       case when price > 0.85 then 'buy' else 'sell' end as direction,
+       abs(price - 0.5) / 0.5 * (1 - days_to_resolution / 2) as strength, price as entry_price,
+       case when price > 0.85 then 1.0 else 0.0 end as target_price,
+       abs(case when price > 0.85 then 1 else 0 end - price) - sp as edge, avg_daily_volume as vol, num_points as pts from g_frame""")
+cte("g_mom", """
+select 'momentum' as signal, asset_id, market_id, primary_tag, wide,
+       case when raw_points < 48 then 'insufficient_points' when return_1d is null or abs(return_1d) < 0.02 then 'price_move_too_small'
+            when bar_count is null then 'no_volume_data' when bar_count < 5 then 'insufficient_volume_data'
+            when mean_volume > 0 and last_volume < mean_volume * 2 then 'volume_below_surge_threshold'
+            when buy_sell_ratio is null then 'missing_buy_sell_ratio' when return_1d > 0 and buy_sell_ratio < 1.3 then 'bsr_contradicts_buy'
+            when return_1d < 0 and buy_sell_ratio > 0.77 then 'bsr_contradicts_sell' when sp > 0.04 then 'spread_too_wide'
+            when abs(return_1d) - sp <= 0 then 'no_edge_after_spread' end as rule_reason,
+       case when return_1d > 0 then 'buy' else 'sell' end as direction,
+       least(1, abs(return_1d) / 0.05) * least(1, last_volume / greatest(1e-9, mean_volume) / 5) as strength, price as entry_price,
+       case when return_1d > 0 then least(0.99, price + 0.05) else greatest(0.01, price - 0.05) end as target_price,
+       abs(return_1d) - sp as edge, avg_daily_volume as vol, num_points as pts from g_frame""")
+cte("g_obi", """
+select 'orderbook_imbalance' as signal, asset_id, market_id, primary_tag, wide,
+       case when price < 0.1 or price > 0.9 then 'price_at_extreme' when avg_bid_depth is null or avg_ask_depth is null then 'missing_depth_data'
+            when avg_bid_depth / avg_ask_depth between 1 / 1.5 and 1.5 then 'imbalance_below_threshold' when sp > 0.03 then 'spread_too_wide'
+            when avg_daily_volume is null or avg_daily_volume < 100 then 'insufficient_volume'
+            when least(0.05, (greatest(avg_bid_depth / avg_ask_depth, avg_ask_depth / avg_bid_depth) - 1)
+                 / greatest(avg_bid_depth / avg_ask_depth, avg_ask_depth / avg_bid_depth) * 0.1) - sp <= 0 then 'no_edge_after_spread' end as rule_reason,
+       case when avg_bid_depth > avg_ask_depth then 'buy' else 'sell' end as direction,
+       least(1, greatest(avg_bid_depth / avg_ask_depth, avg_ask_depth / avg_bid_depth) / 10) as strength, price as entry_price,
+       case when avg_bid_depth > avg_ask_depth then least(0.95, price + 0.03) else greatest(0.05, price - 0.03) end as target_price,
+       least(0.05, (greatest(avg_bid_depth / avg_ask_depth, avg_ask_depth / avg_bid_depth) - 1)
+            / greatest(avg_bid_depth / avg_ask_depth, avg_ask_depth / avg_bid_depth) * 0.1) - sp as edge,
+       avg_daily_volume as vol, num_points as pts from g_frame""")
+cte("g_eval", """
+select signal, asset_id, market_id, primary_tag, not wide as considered, case when wide then 'spread_too_wide' else rule_reason end as reason,
+       direction, round_even(greatest(0, least(0.8, greatest(0, strength)) * least(1, coalesce(vol / 500, 1)) * least(1, pts / 100.0)), 4) as confidence,
+       entry_price, target_price, edge
+from (select * from g_conv union all select * from g_mom union all select * from g_obi) as u""")
+cte("g_fired", """
+select case signal when 'convergence' then 'resolution_convergence' when 'momentum' then 'momentum_breakout' else signal end as signal_name,
+       asset_id, market_id, cast(1706659200 as bigint) as ts, direction, confidence, entry_price, target_price, edge from g_eval where reason is null""")
+cte("b_spread", "select asset_id, median(spread) as ms from t_books where spread is not null group by 1")
+cte("b_first", """
+select s.*, r.resolution_outcome, r.resolution_ts, coalesce(b.ms, 0.03) as sp, case when r.resolution_outcome = 'Yes' then 1.0 else 0.0 end as ex
+from (select s.* from t_signal_log s join t_resolutions r on s.market_id = r.market_id where r.resolution_outcome in ('Yes', 'No')
+      qualify row_number() over (partition by s.market_id, signal_name order by ts, s.asset_id, entry_price, confidence) = 1) s
+join t_resolutions r on s.market_id = r.market_id left join b_spread b on s.asset_id = b.asset_id""")
+cte("b_trades", """
+select signal_name, asset_id, market_id, case when direction = 'buy' then 'long' else 'short' end as direction, ts as entry_ts, entry_price,
+       case when direction = 'buy' then entry_price else 1 - entry_price end + sp / 2 as entry_cost,
+       case when resolution_ts > ts + 864000 then ts + 864000 else resolution_ts end as exit_ts, ex as exit_price,
+       case when resolution_ts > ts + 864000 then 'timeout' else 'resolution' end as exit_reason,
+       (case when direction = 'buy' then ex - entry_price else entry_price - ex end - sp) * 100 as pnl,
+       (case when direction = 'buy' then ex - entry_price else entry_price - ex end - sp)
+         / (case when direction = 'buy' then entry_price else 1 - entry_price end + sp / 2) as return_pct,
+       (case when resolution_ts > ts + 864000 then ts + 864000 else resolution_ts end - ts) / 86400.0 as hold_days,
+       cast(0 as double) as kelly_fraction, cast(100 as double) as position_size, cast(10000 as double) as bankroll_at_entry from b_first""")
+cte("b_rows", """
+select 0 as level, signal_name, pnl, hold_days, exit_ts // 86400 as day from b_trades
+union all select 1, null, pnl, hold_days, exit_ts // 86400 from b_trades""")
+cte("b_days", "select level, signal_name, day, sum(pnl) as p from b_rows group by 1, 2, 3")
+cte("b_equity", "select *, sum(p) over (partition by level, signal_name order by day) as eq from b_days")
+cte("b_draw", "select *, eq - max(eq) over (partition by level, signal_name order by day) as dd from b_equity")
+cte("b_path", """
+select level, signal_name, min(dd) as max_drawdown,
+       case when stddev_pop(p) > 0 then avg(p) / stddev_pop(p) * sqrt(365) else 0 end as sharpe_ratio from b_draw group by 1, 2""")
+cte("b_stats", """
+select level, signal_name, count(*) as total_trades, avg(case when pnl > 0 then 1.0 else 0.0 end) as win_rate, avg(pnl) as avg_pnl,
+       median(pnl) as median_pnl, sum(pnl) as total_pnl, avg(hold_days) as avg_hold_days,
+       sum(pnl) filter (pnl > 0) / abs(sum(pnl) filter (pnl < 0)) as profit_factor from b_rows group by 1, 2""")
+cte("m_targets", """
+select s.*, h.h as horizon_hours, s.ts + h.h * 3600 as target_ts from t_signal_log s, (values (1), (6), (24), (72), (168)) as h(h)""")
+cte("m_marked", """
+select t.signal_name, t.asset_id, t.market_id, t.direction, t.confidence, t.edge, t.ts as entry_ts, t.entry_price, p.ts as exit_ts,
+       p.price as exit_price, t.horizon_hours, case when direction = 'buy' then p.price - entry_price else entry_price - p.price end as price_move,
+       (case when direction = 'buy' then p.price - entry_price else entry_price - p.price end - coalesce(b.ms, 0.03)) * 100 as pnl,
+       (case when direction = 'buy' then p.price - entry_price else entry_price - p.price end - coalesce(b.ms, 0.03))
+         / (case when direction = 'buy' then entry_price else 1 - entry_price end + coalesce(b.ms, 0.03) / 2) as return_pct,
+       cast(100 as double) as position_size
+from m_targets t asof join s_ticks p on t.asset_id = p.asset_id and t.target_ts <= p.ts left join b_spread b on t.asset_id = b.asset_id""")
+cte("m_levels", """
+select 'by_horizon' as level, null as name, horizon_hours, price_move, pnl, return_pct from m_marked
+union all select 'by_signal_horizon', signal_name, horizon_hours, price_move, pnl, return_pct from m_marked
+union all select 'by_signal', signal_name, horizon_hours, price_move, pnl, return_pct from m_marked where horizon_hours = 1
+union all select 'aggregate', null, horizon_hours, price_move, pnl, return_pct from m_marked where horizon_hours = 1""")
+cte("h_enough", "select asset_id from t_prices group by 1 having count(*) >= 60")
+cte("h_obs", "select s.* from s_ticks s join h_enough e on s.asset_id = e.asset_id")
+cte("h_targets", """
+select o.asset_id, o.ts, o.price, h.h, o.ts + h.h * 3600 as target_ts from h_obs o, (values (-24), (1), (6), (24), (72), (168)) as h(h)""")
+cte("h_hits", """
+select t.asset_id, t.ts, t.price, t.h, case when p.ts - t.target_ts < 7200 then p.price - t.price end as move
+from h_targets t asof left join h_obs p on t.asset_id = p.asset_id and t.target_ts <= p.ts""")
+cte("h_returns", """
+select asset_id, ts, any_value(price) as price, -max(move) filter (h = -24) as return_1d, max(move) filter (h = 1) as fwd_1h,
+       max(move) filter (h = 6) as fwd_6h, max(move) filter (h = 24) as fwd_24h, max(move) filter (h = 72) as fwd_72h,
+       max(move) filter (h = 168) as fwd_168h from h_hits group by 1, 2""")
+cte("h_long", """
+select r.price, r.return_1d, m.h as horizon_hours, m.move from h_returns r join h_hits m on r.asset_id = m.asset_id and r.ts = m.ts
+where m.h > 0 and m.move is not null""")
