@@ -279,6 +279,17 @@ def diagnostic_samples(evaluated: DataFrame, limit: int = 20) -> DataFrame:
     return top_per_group(rows, ["signal", "key"], [F.col("asset_id"), F.col("market_id")], limit).drop("rank")
 
 
+def _tenth(x: Column) -> Column:
+    """x to one digit as the printed binary value rounds: 2.05 is below its decimal tie and gives 2.0.
+
+    The sign of 20 x - (2 k + 1) decides; both steps of it are exact in doubles.
+    """
+    k = F.floor(x * 10.0)
+    beyond = (x * 16.0 - (k * 2 + 1)) + x * 4.0
+    up = (beyond > 0) | ((beyond == 0) & (k % 2 != 0))
+    return (k + F.when(up, 1).otherwise(0)) / 10.0
+
+
 def explanation(signal_name: Column, direction: Column, edge: Column, metadata_json: Column) -> Column:
     """A sentence per signal; an unknown signal gets the general one."""
     def num(path: str) -> Column:
@@ -288,15 +299,15 @@ def explanation(signal_name: Column, direction: Column, edge: Column, metadata_j
     return (
         F.when(
             signal_name == "resolution_convergence",
-            F.format_string("Market %.1fd from resolution, price near %s.", num("days_to_resolution"), towards),
+            F.format_string("Market %.1fd from resolution, price near %s.", _tenth(num("days_to_resolution")), towards),
         )
         .when(
             signal_name == "momentum_breakout",
             F.format_string(
-                "Price moved %+.1f%% on %.1fx avg volume; momentum %s.", num("return_1d") * F.lit(100.0), num("volume_ratio"), direction
+                "Price moved %+.1f%% on %.1fx avg volume; momentum %s.", _tenth(num("return_1d") * F.lit(100.0)), _tenth(num("volume_ratio")), direction
             ),
         )
-        .when(signal_name == "orderbook_imbalance", F.format_string("Orderbook imbalance %.1fx favors %s.", num("imbalance_ratio"), direction))
+        .when(signal_name == "orderbook_imbalance", F.format_string("Orderbook imbalance %.1fx favors %s.", _tenth(num("imbalance_ratio")), direction))
         .when(
             signal_name == "calibration_mispricing",
             F.format_string(

@@ -1,9 +1,9 @@
 """Exact quantiles of groups that may hold any share of the rows.
 
 ``percentile`` keeps every distinct value of a group in one task. It is used in this package only where the number of
-distinct values is bounded (counts, slots of a grid). Everywhere else the values are first counted, which spreads them
-over the cluster by (group, value); equal-width buckets of those counts, at most BUCKETS per group, tell which bucket
-holds each wanted rank; only these buckets are then sorted. The result interpolates linearly between the two ranks.
+distinct values is bounded (counts, slots of a grid). Everywhere else a mergeable sketch first brackets each wanted rank;
+rows outside the brackets are only counted, in the map tasks; the few values inside them are sorted. The answer is exact:
+the sketch decides what is sorted, never what is returned, and a rank outside its bracket would raise an error.
 """
 
 from __future__ import annotations
@@ -12,85 +12,52 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS = 65_536
+ACCURACY = 50_000  # rank error of the sketch is at most rows / ACCURACY
+SMALL = 50_000  # groups below this many rows are sorted whole
+MARGIN = 5.0 / ACCURACY  # brackets are five times as wide: about 0.02 % of a group's rows per quantile
 
 
-def _match(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return df.alias("l").join(other.alias("r"), cond)
-
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    """One row per group with a column per wanted quantile, e.g. ``{"median": 0.5}``; nulls are ignored.
 
-def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, wanted: Mapping[str, float], levels: int = 2
-) -> DataFrame:
-    """One row per group with a column per wanted quantile, e.g. ``{"median": 0.5}``; nulls are ignored."""
-    group = list(group)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_g", F.lit(0))
-    )
+    Quantiles interpolate linearly between the two neighbouring ranks.
+    """
     keys = [*group, "_g"]
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    # Zero-based ranks needed by the interpolation.
-    position = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in wanted.items()}
-    ranks = F.array_distinct(
-        F.array(*[f(p).cast("bigint") for p in position.values() for f in (F.floor, F.ceil)])
-    )
-    sizes = sizes.withColumn("_ranks", ranks)
-    live = _match(counts, sizes, keys).select("l.*", "r._lo", "r._hi", "r._ranks", F.lit(0).cast("bigint").alias("_base"))
-    path: list[str] = []
-    for level in range(levels):
-        b = f"_b{level}"
-        width = F.col("_hi") - F.col("_lo")
-        share = F.when(width > 0, (F.col("_v") - F.col("_lo")) / width).otherwise(F.lit(0.0))
-        live = live.withColumn(b, F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS).cast("int")))
-        outer = [*keys, *path]
-        path = [*path, b]
-        before = Window.partitionBy(*outer).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        buckets = (
-            live.groupBy(*keys, *path)
-            .agg(
-                F.sum("_c").alias("_n"),
-                F.min("_v").alias("_nlo"),
-                F.max("_v").alias("_nhi"),
-                F.first("_ranks").alias("_ranks"),
-                F.max("_base").alias("_base"),
-            )
-            .withColumn("_nbase", F.col("_base") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            .withColumn(
-                "_nranks",
-                F.filter("_ranks", lambda r: (r >= F.col("_nbase")) & (r < F.col("_nbase") + F.col("_n"))),
-            )
-            .where(F.size("_nranks") > 0)
-            .select(*keys, *path, "_nlo", "_nhi", "_nbase", "_nranks")
-        )
-        live = _match(live, buckets, [*keys, *path]).select(
-            *[f"l.{c}" for c in [*keys, "_v", "_c", *path]],
-            F.col("r._nlo").alias("_lo"),
-            F.col("r._nhi").alias("_hi"),
-            F.col("r._nbase").alias("_base"),
-            F.col("r._nranks").alias("_ranks"),
-        )
-    before = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_base") + F.coalesce(F.sum("_c").over(before), F.lit(0))
-    hits = (
-        live.withColumn("_start", start)
-        .withColumn("_hit", F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c"))))
-        .where(F.size("_hit") > 0)
-        .select(*keys, "_v", F.explode("_hit").alias("_rank"))
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.lit(0).alias("_g"), F.col(value).cast("double").alias("_v"))
+    low = [max(0.0, q - MARGIN) for q in wanted.values()]
+    high = [min(1.0, q + MARGIN) for q in wanted.values()]
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(x) for x in (*low, *high)]), ACCURACY)
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), cuts.alias("_cuts"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    k, v = len(wanted), F.col("_v")
+    small = F.col("_n") < SMALL
+    lo = [F.when(small | F.lit(x == 0.0), F.lit(float("-inf"))).otherwise(F.col("_cuts")[i]) for i, x in enumerate(low)]
+    hi = [F.when(small | F.lit(x == 1.0), F.lit(float("inf"))).otherwise(F.col("_cuts")[k + i]) for i, x in enumerate(high)]
+    inside = F.lit(False)
+    following = [F.lit(None).cast("double"), F.lit(None).cast("double")]
+    for a, b in zip(lo, hi):
+        inside = inside | ((v >= a) & (v <= b))
+        following.append(F.when(v < a, a))
+    # A value between brackets counts towards the start of the next one; values above all of them do not matter.
+    placed = (
+        rows.alias("l").join(sketch.alias("r"), same).select("l.*", "r._n", "r._cuts")
+        .select(*keys, "_n", F.when(inside, v).otherwise(F.least(*following)).alias("_at"), (~inside).alias("_gap"))
+        .where("_at is not null")
+        .groupBy(*keys, "_at", "_gap")
+        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
     )
-    found = _match(hits, sizes.select(*keys, "_n"), keys).select("l.*", "r._n")
+    before = Window.partitionBy(*keys).orderBy(F.col("_at"), F.col("_gap").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     outs = []
-    for name, pos in position.items():
-        lo, hi = F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")
-        low = F.max(F.when(F.col("_rank") == lo, F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == hi, F.col("_v")))
-        part = F.max(pos - lo)
-        outs.append((low + (high - low) * part).alias(name))
-    return found.groupBy(*keys).agg(*outs).drop("_g")
+    for name, q in wanted.items():
+        position = F.lit(float(q)) * (F.col("_n") - 1)
+
+        def at(rank):
+            hit = ~F.col("_gap") & (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
+            return F.coalesce(F.max(F.when(hit, F.col("_at"))), F.raise_error(F.lit("rank outside its bracket")).cast("double"))
+
+        a, b = at(F.floor(position)), at(F.ceil(position))
+        outs.append((a + (b - a) * F.max(position - F.floor(position))).alias(name))
+    return ranked.groupBy(*keys).agg(*outs).drop("_g")
