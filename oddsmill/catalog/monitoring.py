@@ -20,7 +20,7 @@ from f_price f join (select t.asset_id, t.market_id, q.primary_tag from t_target
 cte("c_bands", """
 select c.cluster_id, f.gi as idx, quantile_cont(f.price, 0.25) as q1, median(f.price) as median, quantile_cont(f.price, 0.75) as q3,
        row_number() over (partition by c.cluster_id order by f.gi) - 1 as pos
-from (select asset_id, gi, round(price, 4) as price from s_filled) f join c_assigned c on f.asset_id = c.asset_id where f.price is not null group by 1, 2""")
+from (select asset_id, gi, floor(price * 10000 + 0.001) / 10000 as price from s_filled) f join c_assigned c on f.asset_id = c.asset_id where f.price is not null group by 1, 2""")
 cte("c_shape", """
 select cluster_id, max(median) as hi, min(median) as lo, count(*) as n, arg_min(pos, struct_pack(a := -median, b := pos)) as peak,
        arg_min(median, pos) as f, arg_max(median, pos) as l, coalesce(regr_slope(median, pos), 0) as slope from c_bands group by 1""")
@@ -79,8 +79,8 @@ def cluster_tags(c: Canon):
 
 
 def bands(c: Canon):
-    # Four digits, so that quartiles are exact at the digits compared.
-    lines = features.curves(c.prices, **SERIES).withColumn("price", F.round("price", 4))
+    # Cut to four digits, so that quartiles are exact at the digits compared.
+    lines = features.curves(c.prices, **SERIES).withColumn("price", F.floor(F.col("price") * 10_000 + 0.001) / 10_000)
     return clusters.curve_bands(lines, assigned(c))
 
 
@@ -464,10 +464,10 @@ def outcome_pivot(c: Canon):
 @query("event_composite", sql(
     """select event_id, d.ts, avg(d.price) as mean_price, count(*) as market_count, quantile_cont(d.price, 0.25) as p25, median(d.price) as median_price,
               quantile_cont(d.price, 0.75) as p75
-       from e_table t join (select asset_id, ts // 21600 as ts, round(arg_max(price, ts), 3) as price from s_ticks group by 1, 2) d on t.anchor_asset_id = d.asset_id group by 1, 2""",
+       from e_table t join (select asset_id, ts // 21600 as ts, floor(arg_max(price, ts) * 1000 + 0.001) / 1000 as price from s_ticks group by 1, 2) d on t.anchor_asset_id = d.asset_id group by 1, 2""",
     "mean_price p25 median_price p75"))
 def event_composite(c: Canon):
-    slots = features.slot_prices(c.prices, "6h", 10_000).select("asset_id", F.floor(F.col("slot") / 21_600).alias("ts"), F.round("price", 3).alias("price"))
+    slots = features.slot_prices(c.prices, "6h", 10_000).select("asset_id", F.floor(F.col("slot") / 21_600).alias("ts"), (F.floor(F.col("price") * 1000 + 0.001) / 1000).alias("price"))
     return explore.event_composite(table(c), slots)
 
 

@@ -29,8 +29,13 @@ def points_per_day(interval: str) -> int:
     return max(1, round(DAY / interval_seconds(interval)))
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    """'name type, ...' without a running session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in pairs])
 
 
 EVENTS = _struct("event_id bigint, slug string, title string, start_ts bigint, end_ts bigint, tags string")
