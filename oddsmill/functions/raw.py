@@ -43,42 +43,36 @@ def text_at(doc: Column, key: str) -> Column:
 
 
 def bool_of(v: Column) -> Column:
-    return (
-        F.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(is_number(v), number(v) != 0)
-        .when(kind(v) == "STRING", to_bool(text(v)))
-    )
+    return F.when(kind(v) == "STRING", to_bool(text(v))).otherwise(number(v) != 0)
 
 
 def seconds_of(v: Column) -> Column:
     """Epoch seconds from a number (milliseconds above 10^10) or a timestamp text."""
-    whole = F.try_variant_get(v, "$", "double").cast("bigint")
-    return F.when(
-        is_number(v), F.when(whole > MILLIS_ABOVE, F.floor(whole / 1000)).otherwise(whole)
-    ).when(kind(v) == "STRING", seconds_from_text(text(v)))
+    whole = number(v).cast("bigint")
+    return F.when(kind(v) == "STRING", seconds_from_text(text(v))).otherwise(
+        F.when(whole > MILLIS_ABOVE, F.floor(whole / 1000)).otherwise(whole)
+    )
 
 
 def float_of(v: Column) -> Column:
     """A number, or a text that reads as one."""
-    return F.when(is_number(v), number(v)).when(kind(v) == "STRING", text(v).try_cast("double"))
+    return number(v)
 
 
 def items(v: Column) -> Column:
     """array<variant> if the value is a JSON array, else null."""
-    return F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def is_object(v: Column) -> Column:
-    return kind(v).startswith("OBJECT")
+    # Cheaper than schema_of_variant, which types every nested value.
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def strings_of(v: Column) -> Column:
     """array<string> from an array, JSON text, a comma list or a scalar text."""
     none = F.array().cast("array<string>")
-    return F.coalesce(
-        F.when(kind(v).startswith("ARRAY"), F.transform(items(v), text)).when(kind(v) == "STRING", list_items(text(v))),
-        none,
-    )
+    return F.coalesce(F.transform(items(v), text), F.when(kind(v) == "STRING", list_items(text(v))), none)
 
 
 # Keys a tag object is named by, in order.
@@ -94,4 +88,4 @@ def tags_of(v: Column) -> Column:
         return F.when(kind(x) == "STRING", F.trim(text(x))).when(is_object(x), named)
 
     tags = F.filter(F.transform(items(v), one), lambda t: t.isNotNull() & (t != ""))
-    return F.coalesce(F.when(kind(v) == "STRING", F.array(text(v))), tags, none)
+    return F.coalesce(tags, F.when(kind(v) == "STRING", F.array(text(v))), none)

@@ -33,7 +33,7 @@ def to_double(c: Column | str) -> Column:
 
 
 def to_long(c: Column | str) -> Column:
-    return to_double(c).cast("bigint")
+    return F.coalesce(col(c).try_cast("bigint"), to_double(c).cast("bigint"))
 
 
 def to_bool(c: Column | str) -> Column:

@@ -32,7 +32,8 @@ TOKEN_LIST = ("clobTokenIds", "clob_token_ids")
 
 def parse_documents(lines: DataFrame, text: str = "value", seq: str = "seq") -> DataFrame:
     """One VARIANT document per line with its arrival number; lines that are no JSON object are dropped."""
-    doc = F.try_parse_json(text)
+    # Filters are not moved below a generator, so going through one keeps the optimizer from parsing once per condition.
+    doc = F.explode_outer(F.array(F.try_parse_json(text)))
     return lines.select(F.col(seq).alias("seq"), doc.alias("doc")).where(raw.is_object(F.col("doc")))
 
 
@@ -64,7 +65,7 @@ def _market_docs(docs: DataFrame) -> DataFrame:
     """One row per market object: seq, pos, event_id, market. Markets that are no objects are skipped."""
     return (
         docs.select("seq", _event_id(F.col("doc")).alias("event_id"), raw.items(raw.pick(F.col("doc"), "markets")).alias("ms"))
-        .select("seq", "event_id", F.posexplode("ms").alias("pos", "market"))
+        .select("seq", "event_id", F.posexplode_outer("ms").alias("pos", "market"))
         .where(raw.is_object(F.col("market")))
     )
 

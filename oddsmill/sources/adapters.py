@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from oddsmill.operators.bars import book_metrics, trade_bars
 from oddsmill.plans.keep import keep_last
@@ -19,6 +19,28 @@ DAY = 86_400
 BOOK_ASSETS = 20
 NO_OFFSET = 1_000_000
 
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "time": T.TimestampNTZType(),
+    "floats": T.ArrayType(T.FloatType()),
+}
+# Declared schemas spare the job that would read file footers to find them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate time, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate time",
+    "events": "event_id bigint, ts time, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding floats, label int",
+}
+
+
+def declared(name: str) -> T.StructType:
+    pairs = [c.split() for c in SCHEMAS[name].split(",")]
+    return T.StructType([T.StructField(c, _TYPES[t], True) for c, t in pairs])
+
 
 class Canon:
     """Canonical tables over one data directory, each built on first use."""
@@ -27,7 +49,7 @@ class Canon:
         self.spark, self.path = spark, path
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.spark.read.schema(declared(name)).parquet(f"{self.path}/{name}.parquet")
 
     @cached_property
     def prices(self) -> DataFrame:
