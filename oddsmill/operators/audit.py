@@ -124,7 +124,8 @@ def _gaps(prices: DataFrame, chunk: int) -> DataFrame:
     Rows are counted per (asset, second) first: copies of one second give gaps of zero. Inside a chunk of time the distinct
     seconds are bounded by its length; the gap between chunks comes from the chunk ends.
     """
-    seconds = prices.where("ts is not null").groupBy("asset_id", "ts").agg(F.count(F.lit(1)).alias("n"))
+    # The filter on n keeps the column in all three uses below, so that they share one scan and exchange.
+    seconds = prices.where("ts is not null").groupBy("asset_id", "ts").agg(F.count(F.lit(1)).alias("n")).where("n >= 1")
     cut = seconds.withColumn("_chunk", F.floor(F.col("ts") / chunk))
     inside = Window.partitionBy("asset_id", "_chunk").orderBy("ts")
     within = cut.select((F.col("ts") - F.lag("ts").over(inside)).alias("gap"), F.lit(1).cast("bigint").alias("n")).where("gap is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddsmill.functions.scalars import floor_to, to_double
 from oddsmill.plans.quantiles import exact_quantiles
@@ -18,37 +18,36 @@ def snapshot_hour(ts: Column | str) -> Column:
 def book_metrics(levels: DataFrame) -> DataFrame:
     """levels: asset_id, snapshot_ts, side ('bid'/'ask'), price, size -> one row per snapshot.
 
-    Two hash aggregations: the first finds the top of book per (snapshot, side, price) groups with map-side combine,
-    the second sums the depth inside the band around the mid. Equal prices at the top report the largest size.
+    Sizes are first summed per price level with map-side combine. The window then covers the distinct price levels of one
+    book, a bounded number on a price grid, and shares its exchange with the final aggregation. Equal prices at the top
+    report the largest size.
     """
     keys = ["asset_id", "snapshot_ts"]
+    book = Window.partitionBy(*keys)
+    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
+    price, size, mid = F.col("price"), F.col("size"), F.col("mid_price")
     by_price = (
-        levels.where((F.col("price") > 0) & (F.col("size") >= 0))
+        levels.where((price > 0) & (size >= 0))
         .groupBy(*keys, "side", "price")
         .agg(F.sum("size").alias("size"), F.max("size").alias("top_size"))
+        .withColumn("best_bid", F.max(F.when(bid, price)).over(book))
+        .withColumn("best_ask", F.min(F.when(ask, price)).over(book))
+        .withColumn("mid_price", F.when(F.col("best_ask") >= F.col("best_bid"), (F.col("best_bid") + F.col("best_ask")) / 2.0))
     )
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    top = by_price.groupBy(*keys).agg(
-        F.max(F.when(bid, F.col("price"))).alias("best_bid"),
-        F.min(F.when(ask, F.col("price"))).alias("best_ask"),
-        F.max_by("top_size", F.when(bid, F.col("price"))).alias("bid_size"),
-        F.min_by("top_size", F.when(ask, F.col("price"))).alias("ask_size"),
-    )
-    straight = F.col("best_ask") >= F.col("best_bid")
-    top = (
-        top.withColumn("mid_price", F.when(straight, (F.col("best_bid") + F.col("best_ask")) / 2.0))
-        .withColumn("spread", F.when(straight, F.col("best_ask") - F.col("best_bid")))
-        .withColumn("spread_pct", F.col("spread") / F.nullif(F.col("mid_price"), F.lit(0.0)))
-    )
-    near = by_price.join(top.select(*keys, "mid_price"), keys)
-    mid = F.col("mid_price")
-    depth = near.groupBy(*keys).agg(
-        F.sum(F.when(bid & (F.col("price") >= mid * (1 - DEPTH_BAND)), F.col("size"))).alias("_bid"),
-        F.sum(F.when(ask & (F.col("price") <= mid * (1 + DEPTH_BAND)), F.col("size"))).alias("_ask"),
+    rows = by_price.groupBy(*keys).agg(
+        F.max("best_bid").alias("best_bid"),
+        F.max("best_ask").alias("best_ask"),
+        F.max(F.when(bid & (price == F.col("best_bid")), F.col("top_size"))).alias("bid_size"),
+        F.max(F.when(ask & (price == F.col("best_ask")), F.col("top_size"))).alias("ask_size"),
+        F.max("mid_price").alias("mid_price"),
+        F.sum(F.when(bid & (price >= mid * (1 - DEPTH_BAND)), size)).alias("_bid"),
+        F.sum(F.when(ask & (price <= mid * (1 + DEPTH_BAND)), size)).alias("_ask"),
     )
+    spread = F.when(mid.isNotNull(), F.col("best_ask") - F.col("best_bid"))
     zero = F.lit(0.0)
-    return top.join(depth, keys).select(
-        *keys, "best_bid", "best_ask", "bid_size", "ask_size", "mid_price", "spread", "spread_pct",
+    return rows.select(
+        *keys, "best_bid", "best_ask", "bid_size", "ask_size", "mid_price", spread.alias("spread"),
+        (spread / F.nullif(mid, zero)).alias("spread_pct"),
         F.when(mid.isNotNull(), F.coalesce("_bid", zero)).alias("bid_depth_5pct"),
         F.when(mid.isNotNull(), F.coalesce("_ask", zero)).alias("ask_depth_5pct"),
     )

@@ -7,14 +7,17 @@ bounds every window partition by the chunk length, whatever share of the rows on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from oddsmill.functions.scalars import to_double, to_long
 
 
 def canonical_ticks(prices: DataFrame) -> DataFrame:
     """(asset_id, ts, price): numeric, no nulls, the last row per (asset, second) by ``seq`` (else the largest price)."""
+    # An alias over a column that already is a string would keep two uses of the ticks from sharing one exchange.
+    text = isinstance(prices.schema["asset_id"].dataType, StringType)
     clean = prices.select(
-        F.col("asset_id").cast("string").alias("asset_id"),
+        F.col("asset_id") if text else F.col("asset_id").cast("string").alias("asset_id"),
         to_long("ts").alias("ts"),
         to_double("price").alias("price"),
         F.col("seq") if "seq" in prices.columns else to_double("price").alias("seq"),
