@@ -98,16 +98,27 @@ def normalized_books(c: Canon):
 
 
 @query("book_metrics_from_arrays", sql(
-    """select cast(l_orderkey as varchar) as asset_id, min(l_linenumber) as snapshot_ts, max(0.5 - l_discount / 5) as best_bid,
-              min(0.5 + l_tax / 5) as best_ask, min(0.5 + l_tax / 5) - max(0.5 - l_discount / 5) as spread
-       from lineitem group by l_orderkey""", "best_bid best_ask spread"))
+    """select cast(l_orderkey as varchar) as asset_id, l_linenumber as snapshot_ts, greatest(b1, b2) as best_bid, least(a1, a2) as best_ask,
+              case when b1 > b2 then l_quantity when b1 = b2 then greatest(l_quantity, 3) else 3 end as bid_size,
+              case when a1 < a2 then l_quantity when a1 = a2 then greatest(l_quantity, 5) else 5 end as ask_size,
+              least(a1, a2) - greatest(b1, b2) as spread,
+              case when b1 >= 0.95 * m then l_quantity else 0 end + case when b2 >= 0.95 * m then 3 else 0 end as bid_depth_5pct,
+              case when a1 <= 1.05 * m then l_quantity else 0 end + case when a2 <= 1.05 * m then 5 else 0 end as ask_depth_5pct
+       from (select *, (greatest(b1, b2) + least(a1, a2)) / 2 as m from (
+               select l_orderkey, l_linenumber, cast(l_quantity as double) as l_quantity, 0.5 - l_discount / 5 as b1, 0.491 - l_tax as b2,
+                      0.5 + l_tax / 5 as a1, 0.507 + l_discount / 2 as a2 from lineitem) x) y""",
+    "best_bid best_ask bid_size ask_size spread bid_depth_5pct ask_depth_5pct"))
 def book_metrics_from_arrays(c: Canon):
-    # An order's lines form one small book.
-    bid = F.struct((0.5 - F.col("l_discount") / 5).alias("price"), F.col("l_quantity").cast("double").alias("size"))
-    ask = F.struct((0.5 + F.col("l_tax") / 5).alias("price"), F.col("l_quantity").cast("double").alias("size"))
-    books = c.table("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("asset_id")).agg(
-        F.min("l_linenumber").alias("snapshot_ts"), F.collect_list(bid).alias("bids"), F.collect_list(ask).alias("asks"))
-    return bars.book_metrics_from_arrays(books).select("asset_id", "snapshot_ts", "best_bid", "best_ask", "spread")
+    def level(price, size):
+        return F.struct(price.alias("price"), size.cast("double").alias("size"))
+
+    quantity, discount, tax = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    books = c.table("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("asset_id"), F.col("l_linenumber").alias("snapshot_ts"),
+        F.array(level(0.5 - discount / 5, quantity), level(0.491 - tax, F.lit(3))).alias("bids"),
+        F.array(level(0.5 + tax / 5, quantity), level(0.507 + discount / 2, F.lit(5))).alias("asks"))
+    return bars.book_metrics_from_arrays(books).select(
+        "asset_id", "snapshot_ts", "best_bid", "best_ask", "bid_size", "ask_size", "spread", "bid_depth_5pct", "ask_depth_5pct")
 
 
 @query("event_props", sql("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events"))

@@ -60,22 +60,25 @@ def overround_pairs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def _block_correlations(threshold: float, min_overlap: int):
+    """Both sides of a block pair as value and mask matrices; all pair sums are six matrix products."""
+
     def matrix(rows: pd.DataFrame, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        assets, at = np.unique(rows["asset_id"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        assets = rows["asset_id"].to_numpy(dtype=object).astype(str)
         value = np.zeros((len(assets), len(days)))
         mask = np.zeros_like(value)
-        col = np.searchsorted(days, rows["day"].to_numpy())
-        value[at, col] = rows["close"].to_numpy()
+        at = np.repeat(np.arange(len(assets)), [len(d) for d in rows["days"]])
+        col = np.searchsorted(days, np.concatenate(rows["days"].to_numpy()))
+        value[at, col] = np.concatenate(rows["closes"].to_numpy())
         mask[at, col] = 1.0
         # A shift per asset leaves correlations alone and makes constant series exactly zero.
         first = value[np.arange(len(assets)), mask.argmax(axis=1)]
         return assets, (value - first[:, None]) * mask, mask
 
-    def pairs(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if right.empty:  # a block against itself
             right = left
-        days = np.unique(rows["day"].to_numpy())
+        days = np.unique(np.concatenate(rows["days"].to_numpy()))
         a_ids, x, mx = matrix(left, days)
         b_ids, y, my = matrix(right, days)
         n = mx @ my.T
@@ -112,8 +115,14 @@ def correlated_pairs(
     partner, and only pairs past the threshold leave a task, so a tag that holds a third of all assets becomes many equal tasks
     and no pair-by-day rows are ever shuffled. A task holds at most 2 * block series.
     """
-    long = closes.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_overlap).select("asset_id")
-    members = tags.select("primary_tag", "asset_id").distinct().join(long, "asset_id")
+    # One row per asset; a series has at most one point per day.
+    series = (
+        closes.groupBy("asset_id")
+        .agg(F.sort_array(F.collect_list(F.struct("day", "close"))).alias("_s"))
+        .where(F.size("_s") >= min_overlap)
+        .select("asset_id", F.col("_s.day").alias("days"), F.col("_s.close").alias("closes"))
+    )
+    members = tags.select("primary_tag", "asset_id").distinct().join(series, "asset_id")
     sizes = members.groupBy("primary_tag").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     # Blocks are hashed, so their sizes are equal up to chance.
     placed = members.join(sizes, "primary_tag").withColumn("mine", F.pmod(F.xxhash64("asset_id"), F.col("blocks")).cast("int"))
@@ -125,8 +134,9 @@ def correlated_pairs(
             F.least("mine", "other").alias("bi"),
             F.greatest("mine", "other").alias("bj"),
             (F.col("mine") > F.col("other")).cast("int").alias("side"),
+            "days",
+            "closes",
         )
-        .join(closes, "asset_id")
     )
     found = sent.groupBy("primary_tag", "bi", "bj").applyInPandas(
         _block_correlations(threshold, min_overlap),

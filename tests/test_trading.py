@@ -226,3 +226,32 @@ def test_downsample(spark, n, limit, want):
     step = max(1, n // limit) if n > limit else 1
     kept = list(range(0, n, step))
     assert got == kept + ([n - 1] if kept[-1] != n - 1 else []) and len(got) == want
+
+
+def test_market_views(spark):
+    tokens = spark.createDataFrame([("m", "a1", "Yes"), ("m", "a2", "Yes"), ("m", "a3", " "), ("n", "b", "No")], "market_id string, asset_id string, outcome string")
+    prices = spark.createDataFrame([("a1", 1, 0.1), ("a1", 2, 0.2), ("a2", 2, 0.3), ("a3", 1, 0.4), ("b", 1, 0.5)], "asset_id string, ts bigint, price double")
+    series = explore.outcome_series("m", tokens, prices)
+    assert {(r["asset_id"], r["outcome_label"], r["series_label"]) for r in series.collect()} == {("a1", "Yes", "Yes | a1"), ("a2", "Yes", "Yes | a2"), ("a3", "a3", "a3")}
+    assert {(r["outcome_label"], r["price"]) for r in explore.latest_per_outcome(series).collect()} == {("Yes", 0.3), ("a3", 0.4)}
+    pivot = {r["ts"]: r.asDict() for r in explore.series_pivot(series, ["Yes | a1", "a3"]).collect()}
+    assert pivot[1] == {"ts": 1, "Yes | a1": 0.1, "a3": 0.4}
+    table = spark.createDataFrame([("m", "Q1", 5.0, True), ("n", "q2", None, False), ("o", "z", 7.0, True)], "market_id string, question string, liquidity double, has_history boolean")
+    table = table.select("*", F.lit("E").alias("event_title"), F.lit("t").alias("primary_tag"), F.lit("binary").alias("market_type"), F.col("has_history").alias("quality_pass_any"))
+    pick = lambda **kw: [r["market_id"] for r in explore.filter_markets(table, **kw).collect()]
+    assert pick() == ["o", "m", "n"] and pick(search="Q[12]") == ["m", "n"] and pick(descending=False, limit=1) == ["m"]
+    assert pick(min_liquidity=6) == ["o"] and pick(require_history=True, require_quality=True, tags=["t"], types=["binary"]) == ["o", "m"]
+    k = explore.kpis(table).first()
+    assert (k["markets"], k["avg_liquidity"]) == (3, 6.0) and k["history_pct"] == pytest.approx(200 / 3)
+
+
+def test_hot_asset_is_split(spark):
+    """One asset with most of the ticks: no ordered window may get the whole asset."""
+    from oddsmill.plans.asof import canonical_ticks, haloed
+
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 4 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("asset_id"), (F.col("id") * 600).alias("ts"),
+        F.lit(0.5).alias("price"), F.col("id").alias("seq"))
+    cut = haloed(canonical_ticks(rows), DAY, 7 * DAY, 30 * DAY)
+    biggest = cut.groupBy("asset_id", "_chunk").count().agg(F.max("count")).first()[0]
+    assert biggest <= 39 * DAY // 600 and cut.where("_core").count() == 40_000
