@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -70,14 +71,19 @@ def _store(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(_path(root, name))
 
 
+def _documents(spark: SparkSession, landed: Sequence[str]) -> DataFrame:
+    """Documents of the landed paths in order; a later path is newer."""
+    parts = [
+        landing.read_json_lines(spark, path).withColumn("seq", F.struct(F.lit(number).alias("file"), F.col("seq").alias("row")))
+        for number, path in enumerate(landed)
+    ]
+    return normalize.parse_documents(reduce(DataFrame.unionByName, parts))
+
+
 def load_documents(spark: SparkSession, root: str, landed: Sequence[str]) -> dict[str, DataFrame]:
     """Landed event documents (active and resolved alike) into the events, markets and tokens tables."""
     tune(spark)
-    docs = None
-    for number, path in enumerate(landed):
-        part = landing.read_json_lines(spark, path).withColumn("seq", F.struct(F.lit(number).alias("file"), F.col("seq").alias("row")))
-        part = normalize.parse_documents(part)
-        docs = part if docs is None else docs.unionByName(part)
+    docs = _documents(spark, landed)
     out = {
         "events": normalize.extract_events(docs),
         "markets": normalize.extract_markets(docs),
@@ -89,14 +95,9 @@ def load_documents(spark: SparkSession, root: str, landed: Sequence[str]) -> dic
 def resolve(spark: SparkSession, root: str, landed: Sequence[str], ingested_at: int) -> DataFrame:
     """Resolved events: base tables, the resolutions table with final prices, and the markets' resolution state."""
     base = load_documents(spark, root, landed)
-    docs = None
-    for number, path in enumerate(landed):
-        part = landing.read_json_lines(spark, path).withColumn("seq", F.struct(F.lit(number).alias("file"), F.col("seq").alias("row")))
-        part = normalize.parse_documents(part)
-        docs = part if docs is None else docs.unionByName(part)
     prices = tables.read_optional(spark, _path(root, "price_history"), PRICES)
-    tokens = base["tokens"]
-    new = normalize.enrich_resolutions(normalize.extract_resolutions(docs), tokens, prices, ingested_at, seq="asset_id")
+    found = normalize.extract_resolutions(_documents(spark, landed))
+    new = normalize.enrich_resolutions(found, base["tokens"], prices, ingested_at, seq="asset_id")
     resolutions = tables.upsert(spark, _path(root, "resolutions"), new, "resolutions")
     _store(normalize.refresh_markets(base["markets"], resolutions), root, "markets")
     return resolutions

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings only; resources stay the cluster's business.
@@ -22,10 +25,7 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared checkpoint folder named by the cluster; the fallback is used only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or fallback
-    if target and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(target)
-    return target
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder under the shared one the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")

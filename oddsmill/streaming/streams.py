@@ -11,8 +11,13 @@ from oddsmill.schemas import interval_seconds
 from oddsmill.sources.tables import upsert
 
 
-def read_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
+def read_files(
+    spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", per_trigger: int | None = None, names: str | None = None
+) -> DataFrame:
+    """New files of a folder, all of them or those whose name matches the glob ``names``."""
     reader = spark.readStream.format(fmt).schema(schema)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return reader.load(path)
