@@ -350,9 +350,10 @@ def audit_verdict(c: Canon):
 # ---- exploration ----
 
 cte("e_sum", """
-select asset_id, count(*) as points, arg_min(price, ts) as first_price, arg_max(price, ts) as last_price, max(price) as max_price, min(price) as min_price,
+select asset_id, any_value(points) as points, arg_min(price, ts) as first_price, arg_max(price, ts) as last_price, max(price) as max_price, min(price) as min_price,
        min(ts) as first_ts, max(ts) as last_ts, arg_max(price, ts) - arg_min(price, ts) as window_return,
-       (arg_max(price, ts) - arg_min(price, ts)) * 100 as window_return_pct from s_ticks group by 1""")
+       (arg_max(price, ts) - arg_min(price, ts)) * 100 as window_return_pct
+from s_ticks join (select asset_id as a, history_points_raw as points from q_counts) c on asset_id = a group by 1""")
 cte("e_roll", """
 select market_id, avg(case when quality_pass then 1.0 else 0.0 end) as quality_pass_rate, bool_or(quality_pass) as quality_pass_any, avg(missing_ratio) as avg_missing_ratio,
        avg(volatility) as avg_volatility, avg(price_range) as avg_price_range, max(history_points_raw) as history_points from q_quality group by 1""")

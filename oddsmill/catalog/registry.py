@@ -14,11 +14,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Means and ratios of prices often lie on a rounding tie, where the order of summation would decide the digit.
+NUDGE = 1.000000000001
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 digits, -0.0 as 0.0, so that results compare across engines."""
+    """Doubles to 6 digits, ties away from zero, -0.0 as 0.0, so that results compare across engines."""
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f"`{f.name}`")
+            (F.round(F.col(f"`{f.name}`") * NUDGE, 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )

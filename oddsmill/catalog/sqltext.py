@@ -20,12 +20,12 @@ def _needed(body: str, found: list[str]) -> None:
 
 
 def sql(body: str, doubles: str = "") -> str:
-    """The query with its CTEs in front; ``doubles`` are rounded to 6 digits (and -0.0 made 0.0)."""
+    """The query with its CTEs in front; ``doubles`` are rounded to 6 digits as the registry does."""
     found: list[str] = []
     _needed(body, found)
     head = "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in found) + "\n" if found else ""
     if doubles:
-        cols = ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in doubles.split())
+        cols = ", ".join(f"round({c} * cast(1.000000000001 as double), 6) + 0.0 as {c}" for c in doubles.split())
         return head + f"select * replace ({cols}) from ({body}) as q"
     return head + f"select * from ({body}) as q"
 
