@@ -146,8 +146,18 @@ def _clusters(vectors: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20)
 
 
 def learn_dictionary(texts: DataFrame, counts: DataFrame, ends: int) -> Dictionary:
-    top = counts.orderBy(F.col("c").desc(), "word").limit(DICTIONARY).select("word", "c").toArrow().to_pydict()
-    words = {bytes(w): c for w, c in zip(top["word"], top["c"])}
+    # Sixteenths of powers of two: the lowest step from which on at most DICTIONARY words are as frequent.
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    room, lowest = DICTIONARY, None
+    for s, n in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("s").desc()).collect():
+        room -= n
+        if room < 0:
+            break
+        lowest = s
+    frequent = counts.where(step >= lowest) if lowest is not None else counts.limit(0)
+    top = frequent.select("word", "c").toArrow().to_pydict()
+    ranked = sorted(zip(top["c"], map(bytes, top["word"])), key=lambda x: (-x[0], x[1]))
+    words = {w: c for c, w in ranked}
     single = {w: k + 1 for k, w in enumerate(list(words)[: SINGLE - 1])}
     plain = Dictionary(words, single, np.full(ENDINGS, SINGLE), ends)
 
