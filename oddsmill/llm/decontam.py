@@ -17,7 +17,7 @@ MASKS = ("110110110", "101101101", "011011011")
 STRIDE = 4
 WINDOW = 13
 TOLERANCE = 2
-BROADCAST_ROWS = 1_000_000  # rows of the benchmark's hashes, about 40 bytes each, up to which they are broadcast
+BROADCAST_ROWS = 1_000_000  # rows of hashes or keys, about 40 bytes each, up to which a side is broadcast
 
 
 def _seeds(w: Column, stride: int, masks=MASKS) -> Column:
@@ -61,8 +61,10 @@ def contaminated(
     )
     hits = checkpointed(hits)
     # Words only of texts with a hit; copies of a text meet in one row.
+    hit_keys = checkpointed(hits.select("text_key").distinct())
+    few = hit_keys.count() <= BROADCAST_ROWS
     hit_words = (
-        keyed.join(hits.select("text_key").distinct(), "text_key", "left_semi")
+        keyed.join(F.broadcast(hit_keys) if few else hit_keys, "text_key", "left_semi")
         .groupBy("text_key").agg(F.first("_t").alias("_t"))
         .select("text_key", words(F.col("_t")).alias("_w"))
     )
