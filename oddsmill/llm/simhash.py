@@ -150,9 +150,52 @@ def _forest(x: np.ndarray, y: np.ndarray, same: bool, depth: int, budget: Budget
     return every[moved], every[label[moved]]
 
 
-def _nearest(x, y, xc, yc, same: bool, depth: int, budget: Budget):
-    """The closest pair for each two classes that have one: class, class, fingerprint, fingerprint, distance."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+def _spanning(edges: np.ndarray) -> np.ndarray:
+    """Positions of the sorted edges (class, class, ...) that form a spanning forest, earlier edges first."""
+    names, ends = np.unique(edges[:, :2], return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label, kept, open_ = np.arange(len(names)), [], np.arange(len(edges))
+    while len(open_):
+        # Of a block of the shortest edges left, one at a time; what they connect leaves the rest in one step.
+        block, open_ = open_[:4096], open_[4096:]
+        root = {}
+
+        def top(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = root.get(up, up)
+                k = up
+            return k
+
+        a, b = label[ends[block, 0]].tolist(), label[ends[block, 1]].tolist()
+        for e, u, v in zip(block.tolist(), a, b):
+            u, v = top(u), top(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                kept.append(e)
+        if root:
+            moved = np.arange(len(names))
+            for k in root:
+                moved[k] = top(k)
+            label = moved[label]
+        open_ = open_[label[ends[open_, 0]] != label[ends[open_, 1]]]
+    return np.array(kept, np.int64)
+
+
+def _forests(edges: np.ndarray) -> np.ndarray:
+    """FORESTS edge-disjoint minimum spanning forests by distance: across any split of the classes, the closest FORESTS edges stay."""
+    edges = np.unique(edges[:, [2, 0, 1, 3, 4]], axis=0)[:, [1, 2, 0, 3, 4]]
+    kept = []
+    for _ in range(FORESTS):
+        if len(edges):
+            at = _spanning(edges)
+            kept.append(edges[at])
+            edges = np.delete(edges, at, axis=0)
+    return np.concatenate(kept)
+
+
+def _nearest(x, y, xc, yc, same: bool, depth: int, budget: Budget) -> np.ndarray:
+    """Pairs of different classes (class, class, distance, fingerprint, fingerprint): FORESTS times as many as classes at most."""
+    forest = np.empty((0, 5), np.int64)
     for i, j in trie_pairs(x, y, same, depth, budget):
         apart = xc[i] != yc[j]
         i, j = i[apart], j[apart]
@@ -161,14 +204,9 @@ def _nearest(x, y, xc, yc, same: bool, depth: int, budget: Budget):
         distance = np.bitwise_count(x[i] ^ y[j]).astype(np.int64)
         a, b, f, g = xc[i], yc[j], x[i].view(np.int64), y[j].view(np.int64)
         swap = a > b
-        a, b, f, g = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, g, f), np.where(swap, f, g)
-        order = np.lexsort((g, f, distance, b, a))
-        a, b, f, g, distance = a[order], b[order], f[order], g[order], distance[order]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        for row in zip(a[first].tolist(), b[first].tolist(), distance[first].tolist(), f[first].tolist(), g[first].tolist()):
-            best[row[:2]] = min(best.get(row[:2], (65, 0, 0)), row[2:])
-    return best
+        found = np.stack([np.where(swap, b, a), np.where(swap, a, b), distance, np.where(swap, g, f), np.where(swap, f, g)], 1)
+        forest = _forests(np.concatenate([forest, found]))
+    return forest
 
 
 def _prefix(depth: int) -> Column:
@@ -240,15 +278,17 @@ def link_forest(fps: DataFrame, budget: Budget = Budget(), node: int = NODE) ->
 
 
 def class_links(fps: DataFrame, budget: Budget, node: int = NODE) -> DataFrame:
-    """(ca, cb, distance, fa, fb) from distinct (fp, cls): the closest pair of fingerprints of two classes, per node pair."""
+    """(ca, cb, distance, fa, fb) from distinct (fp, cls): pairs of classes, closest first, that connect what any pairs connect.
+
+    Every node pair gives spanning forests of its own, so classes in many node pairs have more candidates.
+    """
     schema = "ca long, cb long, distance long, fa long, fb long"
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for depth, x, y, same in zip(*batch.columns):
                 (a, ac), (b, bc) = _columns(x, ("fp", "cls")), _columns(y, ("fp", "cls"))
-                best = _nearest(a, b, ac, bc, same.as_py(), depth.as_py(), budget)
-                rows = np.array([(*k, *v) for k, v in best.items()], np.int64).reshape(-1, 5)
+                rows = _nearest(a, b, ac, bc, same.as_py(), depth.as_py(), budget)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["ca", "cb", "distance", "fa", "fb"])
 
     pairs = node_pairs(fps.select("fp", "cls"), budget, node)
@@ -279,6 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
 # The stage over word shingles of five words looks further than two bits: three rotations put each third of the bits first,
 # and two errors are allowed there, so every pair within 8 bits is met, and most within TOTAL. Pairs are verified.
 TURNS = ((0, 21), (21, 21), (42, 22))
+FORESTS = 4  # spanning forests of candidates, so that a group stays connected although some candidates fail
 TOTAL = 14
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -301,9 +342,10 @@ def _turned(fp: Column, by: int) -> Column:
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """One document of each group of near-duplicates, all columns as they were.
 
-    Fingerprints of three-word shingles within two bits are one class, as in ``near_duplicates``. Two classes are linked if
-    the closest pair of fingerprints they have, at most 14 bits apart, belongs to texts whose sets of ``width``-word shingles
-    have a Jaccard similarity of ``similarity`` or more. Of each component stays the row with the smallest doc_id, ties by
+    Fingerprints of three-word shingles within two bits are one class, as in ``near_duplicates``. Classes at most 14 bits apart
+    are joined by their closest pairs (FORESTS spanning forests in every pair of trie nodes, so a group of m texts gives a
+    multiple of m candidates and not m * m), and a candidate is a link if the sets of ``width``-word shingles of its two texts have a Jaccard
+    similarity of ``similarity`` or more. Of each component stays the row with the smallest doc_id, ties by
     the hash of the text; of equal rows one. Null, empty and wordless texts are one group. Without rows the result is empty.
     """
     h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -318,7 +360,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = S
         back = (64 - turn) % 64
         links = links.select("ca", "cb", "distance", _turned(F.col("fa"), back).alias("fa"), _turned(F.col("fb"), back).alias("fb"))
         found = links if found is None else found.union(links)
-    near = checkpointed(found.groupBy("ca", "cb").agg(F.min(F.struct("distance", "fa", "fb")).alias("n")).select("ca", "cb", "n.fa", "n.fb"))
+    near = checkpointed(found.select("ca", "cb", "fa", "fb").distinct())
     wanted = near.select(F.col("fa").alias("fp")).union(near.select(F.col("fb").alias("fp"))).distinct().join(fps, "fp")
     texts = docs.select(h.alias("h"), docs["text"].alias("t")).join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.first("t").alias("t"))
     sets = checkpointed(texts.join(wanted, "h").select("fp", shingle_set(F.col("t"), width).alias("s")))
