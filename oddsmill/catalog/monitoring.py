@@ -10,6 +10,7 @@ from oddsmill.catalog.series import SERIES
 from oddsmill.catalog.sqltext import cte, sql
 from oddsmill.catalog.trading import graded, price_features, settled, targets
 from oddsmill.operators import audit, bars, clusters, explore, features, health, quality
+from oddsmill.plans.asof import canonical_ticks
 from oddsmill.sources.adapters import AS_OF, EPOCH_START, Canon
 
 # ---- clusters: labels of the given vectors stand for cluster ids where exact results are compared ----
@@ -20,7 +21,7 @@ from f_price f join (select t.asset_id, t.market_id, q.primary_tag from t_target
 cte("c_bands", """
 select c.cluster_id, f.gi as idx, quantile_cont(f.price, 0.25) as q1, median(f.price) as median, quantile_cont(f.price, 0.75) as q3,
        row_number() over (partition by c.cluster_id order by f.gi) - 1 as pos
-from (select asset_id, gi, floor(price * 10000 + 0.001) / 10000 as price from s_filled) f join c_assigned c on f.asset_id = c.asset_id where f.price is not null group by 1, 2""")
+from s_filled f join c_assigned c on f.asset_id = c.asset_id where f.price is not null group by 1, 2""")
 cte("c_shape", """
 select cluster_id, max(median) as hi, min(median) as lo, count(*) as n, arg_min(pos, struct_pack(a := -median, b := pos)) as peak,
        arg_min(median, pos) as f, arg_max(median, pos) as l, coalesce(regr_slope(median, pos), 0) as slope from c_bands group by 1""")
@@ -79,9 +80,7 @@ def cluster_tags(c: Canon):
 
 
 def bands(c: Canon):
-    # Cut to four digits, so that quartiles are exact at the digits compared.
-    lines = features.curves(c.prices, **SERIES).withColumn("price", F.floor(F.col("price") * 10_000 + 0.001) / 10_000)
-    return clusters.curve_bands(lines, assigned(c))
+    return clusters.curve_bands(features.curves(c.prices, **SERIES), assigned(c))
 
 
 @query("cluster_curve_bands", sql("select cluster_id, idx, q1, median, q3, pos from c_bands", "q1 median q3"))
@@ -465,11 +464,10 @@ def outcome_pivot(c: Canon):
 @query("event_composite", sql(
     """select event_id, d.ts, avg(d.price) as mean_price, count(*) as market_count, quantile_cont(d.price, 0.25) as p25, median(d.price) as median_price,
               quantile_cont(d.price, 0.75) as p75
-       from e_table t join (select asset_id, ts // 21600 as ts, floor(arg_max(price, ts) * 1000 + 0.001) / 1000 as price from s_ticks group by 1, 2) d on t.anchor_asset_id = d.asset_id group by 1, 2""",
+       from e_table t join s_ticks d on t.anchor_asset_id = d.asset_id group by 1, 2""",
     "mean_price p25 median_price p75"))
 def event_composite(c: Canon):
-    slots = features.slot_prices(c.prices, "6h", 10_000).select("asset_id", F.floor(F.col("slot") / 21_600).alias("ts"), (F.floor(F.col("price") * 1000 + 0.001) / 1000).alias("price"))
-    return explore.event_composite(table(c), slots)
+    return explore.event_composite(table(c), canonical_ticks(c.prices))
 
 
 @query("event_lines", sql(
@@ -551,12 +549,15 @@ def trade_log(c: Canon):
     return explore.trade_log(settled(c))
 
 
+SIGNAL_NAMES = ("1-urgent", "2-high", "3-medium", "4-not specified", "5-low")
+SIGNAL_COLUMNS = [n.replace(" ", "_") for n in SIGNAL_NAMES]
+
+
 @query("confidence_by_day", sql(
-    """select ts // 86400 as day, avg(confidence) filter (signal_name = '1-urgent') as "1-urgent", avg(confidence) filter (signal_name = '5-low') as "5-low"
-       from t_signal_log where signal_name in ('1-urgent', '5-low') group by 1""", '"1-urgent" "5-low"'))
+    "select ts // 86400 as day, " + ", ".join(f"""avg(confidence) filter (signal_name = '{n}') as "{k}\"""" for n, k in zip(SIGNAL_NAMES, SIGNAL_COLUMNS))
+    + " from t_signal_log group by 1", " ".join(f'"{k}"' for k in SIGNAL_COLUMNS)))
 def confidence_by_day(c: Canon):
-    names = ["1-urgent", "5-low"]
-    return explore.confidence_by_day(c.signal_log.where(F.col("signal_name").isin(names)), names)
+    return explore.confidence_by_day(c.signal_log, SIGNAL_NAMES).toDF("day", *SIGNAL_COLUMNS)
 
 
 @query("confidence_edge_pairs", sql("select confidence, edge, signal_name from t_signal_log", "confidence edge"))

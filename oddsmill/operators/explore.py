@@ -107,9 +107,9 @@ def filter_markets(
     require_quality: bool = False,
     sort_by: str = "liquidity",
     descending: bool = True,
-    limit: int | None = 250,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Regular-expression search and flag filters; sorted and cut to the page asked for (limit None keeps all)."""
+    """Regular-expression search and flag filters; sorted, and cut to a page only if ``limit`` asks for one."""
     out = table
     if search:
         pattern = search.lower().strip()
@@ -152,15 +152,13 @@ def downsample(series: DataFrame, max_points: int, group: str = "asset_id", chun
     order = [F.col("ts"), F.col("price")]
     rows = row_numbers(series, [group], order, F.floor(F.col("ts") / chunk), "_rn", "_n")
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / max_points))
-    last_ts = rows.groupBy(group).agg(F.max("ts").alias("_last"))
-    marked = rows.join(last_ts, group)
     regular = (F.col("_n") <= max_points) | ((F.col("_rn") - 1) % step == 0)
     # The last point is added unless a regular point already has its time.
     last_regular = F.floor((F.col("_n") - 1) / step) * step + 1
     closing = (F.col("_rn") == F.col("_n")) & (F.col("_n") > max_points)
-    kept = marked.where(regular | closing).withColumn("_extra", closing & ~regular)
+    kept = rows.where(regular | closing).withColumn("_extra", closing & ~regular)
     extra_ok = kept.where("_extra").select(group, F.col("ts").alias("_t"), last_regular.alias("_lr"))
-    shown = marked.join(extra_ok, group).where((F.col("_rn") == F.col("_lr")) & (F.col("ts") == F.col("_t"))).select(group).distinct()
+    shown = rows.join(extra_ok, group).where((F.col("_rn") == F.col("_lr")) & (F.col("ts") == F.col("_t"))).select(group).distinct()
     tail = kept.where("_extra").join(shown, group, "left_anti")
     return kept.where(~F.col("_extra")).unionByName(tail).select(*series.columns)
 
@@ -272,6 +270,7 @@ def series_pivot(series: DataFrame, labels: Sequence[str], keys: Sequence[str] =
     return series.groupBy(*keys).pivot("series_label", list(labels)).agg(F.max_by("price", "asset_id"))
 
 
+# Columns of the detail table (fixed values).
 QUALITY_ROWS = ("asset_id", "history_points_raw", "missing_ratio", "price_range", "volatility", "return_total", "quality_pass")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from oddsmill.functions.scalars import tag_from_pattern
 from oddsmill.operators.normalize import anchor_tokens
 from oddsmill.operators.quality import market_tags
-from oddsmill.plans.asof import canonical_ticks
+from oddsmill.plans.asof import clean_ticks, last_price
 from oddsmill.plans.keep import keep_last
 from oddsmill.schemas import DAY
 
@@ -17,15 +17,13 @@ BLOCK = 256  # assets per block of the correlation matrix
 
 
 def latest_prices(prices: DataFrame) -> DataFrame:
-    ticks = canonical_ticks(prices)
-    return ticks.groupBy("asset_id").agg(F.max_by("price", "ts").alias("price"), F.max("ts").alias("ts"))
+    """One exchange: every map task sends one row per asset."""
+    return clean_ticks(prices).groupBy("asset_id").agg(last_price().alias("price"), F.max("ts").alias("ts"))
 
 
 def daily_closes(prices: DataFrame) -> DataFrame:
     """Last price per asset and UTC day; at most one row per day, whatever the tick rate."""
-    return canonical_ticks(prices).groupBy("asset_id", F.floor(F.col("ts") / DAY).alias("day")).agg(
-        F.max_by("price", "ts").alias("close")
-    )
+    return clean_ticks(prices).groupBy("asset_id", F.floor(F.col("ts") / DAY).alias("day")).agg(last_price().alias("close"))
 
 
 def market_overround(tokens: DataFrame, prices: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oddsmill.functions.scalars import damped_confidence, tag_from_pattern, to_double, usable_spread
 from oddsmill.operators.quality import market_tags
-from oddsmill.plans.asof import canonical_ticks
+from oddsmill.plans.asof import clean_ticks, last_price
 from oddsmill.plans.keep import top_per_group
 
 WIDE_SPREAD = 0.05
@@ -51,18 +51,13 @@ def signal_frame(
     rates: DataFrame | None = None,
 ) -> DataFrame:
     """One row per target asset with features: market meta, tag, last price, counts and last and mean bar volume."""
-    ticks = prices.select(
-        F.col("asset_id").cast("string").alias("asset_id"), F.col("ts").cast("bigint").alias("ts"), to_double("price").alias("price")
-    ).where("ts is not null and price is not null")
-    points = ticks.groupBy("asset_id").agg(F.count(F.lit(1)).alias("raw_points"))
-    last = canonical_ticks(prices).groupBy("asset_id").agg(F.max_by("price", "ts").alias("price"))
+    ticks = clean_ticks(prices).groupBy("asset_id").agg(F.count(F.lit(1)).alias("raw_points"), last_price().alias("price"))
     frame = (
         targets.select("asset_id", "market_id").distinct()
         .join(features, "asset_id")
         .join(markets.select("market_id", "question", "event_id"), "market_id", "left")
         .join(market_tags(markets, events, tag_from_pattern), "market_id", "left")
-        .join(last, "asset_id", "left")
-        .join(points, "asset_id", "left")
+        .join(ticks, "asset_id", "left")
     )
     if bars is not None:
         volumes = bars.where("volume is not null").groupBy("asset_id").agg(

@@ -6,7 +6,7 @@ bounds every window partition by the chunk length, whatever share of the rows on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from oddsmill.functions.scalars import to_double, to_long
@@ -14,16 +14,26 @@ from oddsmill.functions.scalars import to_double, to_long
 
 def canonical_ticks(prices: DataFrame) -> DataFrame:
     """(asset_id, ts, price): numeric, no nulls, the last row per (asset, second) by ``seq`` (else the largest price)."""
+    clean = clean_ticks(prices)
+    # Primitive buffers keep this a hash aggregate with map-side combine, hashed on (asset, ts).
+    return clean.groupBy("asset_id", "ts").agg(F.max_by("price", "seq").alias("price"))
+
+
+def clean_ticks(prices: DataFrame) -> DataFrame:
+    """(asset_id, ts, price, seq): numeric, no nulls, repeats of a second still there."""
     # An alias over a column that already is a string would keep two uses of the ticks from sharing one exchange.
     text = isinstance(prices.schema["asset_id"].dataType, StringType)
-    clean = prices.select(
+    return prices.select(
         F.col("asset_id") if text else F.col("asset_id").cast("string").alias("asset_id"),
         to_long("ts").alias("ts"),
         to_double("price").alias("price"),
         F.col("seq") if "seq" in prices.columns else to_double("price").alias("seq"),
     ).dropna(subset=["asset_id", "ts", "price"])
-    # Primitive buffers keep this a hash aggregate with map-side combine, hashed on (asset, ts).
-    return clean.groupBy("asset_id", "ts").agg(F.max_by("price", "seq").alias("price"))
+
+
+def last_price() -> Column:
+    """Price of the last tick of ``clean_ticks``, of equal times the one with the largest seq, as one map-side aggregate."""
+    return F.max(F.struct("ts", "seq", "price"))["price"]
 
 
 def next_tick(targets: DataFrame, ticks: DataFrame, chunk: int = 86_400) -> DataFrame:

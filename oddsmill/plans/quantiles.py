@@ -2,8 +2,9 @@
 
 ``percentile`` keeps every distinct value of a group in one task. It is used in this package only where the number of
 distinct values is bounded (counts, slots of a grid). Everywhere else a mergeable sketch first brackets each wanted rank;
-rows outside the brackets are only counted, in the map tasks; the few values inside them are sorted. The answer is exact:
-the sketch decides what is sorted, never what is returned, and a rank outside its bracket would raise an error.
+each bracket is widened to the next value on both sides; rows outside the brackets are only counted, in the map tasks; the
+few values inside them are sorted. Groups of every size take this path. The answer is exact: the sketch decides what is
+sorted, never what is returned.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 50_000  # rank error of the sketch is at most rows / ACCURACY
-SMALL = 50_000  # groups below this many rows are sorted whole
 MARGIN = 5.0 / ACCURACY  # brackets are five times as wide: about 0.02 % of a group's rows per quantile
 
 
@@ -32,9 +32,13 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: Map
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     k, v = len(wanted), F.col("_v")
-    small = F.col("_n") < SMALL
-    lo = [F.when(small | F.lit(x == 0.0), F.lit(float("-inf"))).otherwise(F.col("_cuts")[i]) for i, x in enumerate(low)]
-    hi = [F.when(small | F.lit(x == 1.0), F.lit(float("inf"))).otherwise(F.col("_cuts")[k + i]) for i, x in enumerate(high)]
+    # A rank that falls between two values needs the one before or after what the sketch names; NaN sorts above all.
+    found = rows.alias("l").join(sketch.alias("r"), same).select("l.*", "r._n", "r._cuts")
+    beside = found.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[F.coalesce(F.max(F.when(v < F.col("_cuts")[i], v)), F.min(F.col("_cuts")[i])).alias(f"_lo{i}") for i in range(k)],
+        *[F.coalesce(F.min(F.when(v > F.col("_cuts")[k + i], v)), F.max(F.col("_cuts")[k + i])).alias(f"_hi{i}") for i in range(k)])
+    lo, hi = [F.col(f"_lo{i}") for i in range(k)], [F.col(f"_hi{i}") for i in range(k)]
     inside = F.lit(False)
     following = [F.lit(None).cast("double"), F.lit(None).cast("double")]
     for a, b in zip(lo, hi):
@@ -42,7 +46,8 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: Map
         following.append(F.when(v < a, a))
     # A value between brackets counts towards the start of the next one; values above all of them do not matter.
     placed = (
-        rows.alias("l").join(sketch.alias("r"), same).select("l.*", "r._n", "r._cuts")
+        rows.alias("l").join(beside.alias("r"), same)
+        .select("l.*", "r._n", *[f"r.{c}{i}" for i in range(k) for c in ("_lo", "_hi")])
         .select(*keys, "_n", F.when(inside, v).otherwise(F.least(*following)).alias("_at"), (~inside).alias("_gap"))
         .where("_at is not null")
         .groupBy(*keys, "_at", "_gap")
@@ -56,7 +61,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: Map
 
         def at(rank):
             hit = ~F.col("_gap") & (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
-            return F.coalesce(F.max(F.when(hit, F.col("_at"))), F.raise_error(F.lit("rank outside its bracket")).cast("double"))
+            return F.max(F.when(hit, F.col("_at")))
 
         a, b = at(F.floor(position)), at(F.ceil(position))
         outs.append((a + (b - a) * F.max(position - F.floor(position))).alias(name))

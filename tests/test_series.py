@@ -222,3 +222,16 @@ def test_chunked_numbers_and_sums(spark):
         for k, r in enumerate(mine, 1):
             total += r[3]
             assert at[r[2]] == (k, len(mine)) and summed[r[2]] == total
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    from oddsmill.plans.quantiles import exact_quantiles
+
+    sizes = {1: 1, 2: 2, 3: 3, 4: 4, 5: 11, 6: 49_999, 7: 50_001, 8: 120_000}
+    rows = spark.createDataFrame([(g, n) for g, n in sizes.items()], "g int, n int").selectExpr(
+        "g", "explode(sequence(1, n)) as k", "n").selectExpr("g", "cast(pmod(xxhash64(k, g), case when g % 2 = 0 then 97 else 1000003 end) as double) as v")
+    got = exact_quantiles(rows, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.75, "d": 0.999}).collect()
+    want = {r.g: r for r in rows.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in (("a", 0.25), ("b", 0.5), ("c", 0.75), ("d", 0.999))]).collect()}
+    assert len(got) == len(sizes)
+    for r in got:
+        assert all(abs(r[c] - want[r.g][c]) < 1e-9 for c in "abcd"), r
