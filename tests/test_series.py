@@ -191,16 +191,13 @@ def test_mark_to_market(spark):
     assert rows["by_horizon", None, 6]["total_pnl"] == -6.0 and rows["aggregate", None, 1]["sharpe"] == pytest.approx(-5.7315)
 
 
-def test_exact_quantiles_past_the_small_group_limit(spark, monkeypatch):
+def test_exact_quantiles_of_large_and_small_groups(spark):
     import numpy as np
-    from oddsmill.plans import quantiles
 
-    monkeypatch.setattr(quantiles, "SMALL", 100)
     rng = random.Random(9)
     values = [("x", rng.choice([0.1, 0.2, rng.random() ** 9])) for _ in range(60_000)] + [("y", float(i)) for i in range(7)] + [("y", None)]
     frame = spark.createDataFrame(values, "g string, v double")
     wanted = {"lo": 0.0, "a": 0.05, "m": 0.5, "b": 0.951, "hi": 1.0}
-    monkeypatch.setattr(quantiles, "SMALL", 50_000)
     for r in exact_quantiles(frame, ["g"], "v", wanted).collect():
         data = [v for g, v in values if g == r["g"] and v is not None]
         for name, q in wanted.items():
