@@ -1,7 +1,7 @@
 """Tool calls linked to their results, ordered, validated and written as canonical JSON.
 
 Calls and results meet in a hash join on (conversation, identifier). A call may name calls it builds on; its level is the
-longest chain of them below it, found by repeated joins, so (level, turn, call_id) is an order in which every call comes
+longest chain of them below it, found by joins that double the steps along chains, so (level, turn, call_id) is an order in which every call comes
 after what it needs. Arguments are checked against the tool's schema. Canonical JSON has sorted keys and no spaces.
 """
 
@@ -46,27 +46,60 @@ def problems(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str,
     return F.sort_array(F.array_compact(found))
 
 
-def levels(calls: DataFrame, most: int = 64) -> DataFrame:
+def _chains(needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, end, steps) of the calls with exactly one need: the end of their chain, by doubling the steps.
+
+    The end is a call with no or several needs, or, on a cycle or behind one, another call of the chain. Every round settles
+    some calls unless all that are left hang on a cycle, so the rounds grow with the logarithm of the longest chain.
+    """
+    one = needs.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("end")).where("n = 1")
+    hops = checkpointed(one.select("conv_id", "call_id", "end", F.lit(1).cast("bigint").alias("steps")))
+    left = None
+    while True:
+        onward = hops.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"))
+        joined = hops.select("conv_id", "call_id", "end", "steps").join(onward, ["conv_id", "end"], "left")
+        moved = checkpointed(joined.select(
+            "conv_id", "call_id", F.coalesce("_end", "end").alias("end"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.col("_end").isNotNull().alias("open")))
+        before, left = left, moved.where("open").count()
+        hops = moved.drop("open")
+        if not left or left == before:
+            return hops
+
+
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of distinct calls with the array ``after``; null level on a cycle or behind one.
 
-    Names of calls that do not exist are ignored. Every round settles the calls all of whose needs are settled; ``most``
-    rounds bound the loop, which ends as soon as a round settles nothing.
+    Names of calls that do not exist are ignored, and a call that names itself is a cycle. Chains of calls with one need are
+    shortened to their ends first; then every round settles the calls with several needs all of whose needs are settled,
+    until a round settles nothing. No length is too long: the rounds grow with the logarithm of the longest chain plus the
+    largest number of calls with several needs on one path.
     """
     known = calls.select("conv_id", "call_id").distinct()
     needs = calls.select("conv_id", "call_id", F.explode("after").alias("need")).distinct()
     needs = checkpointed(needs.join(known.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi"))
-    settled = checkpointed(known.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    count = settled.count()
-    for _ in range(most):
-        below = needs.join(settled.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"], "left")
-        up = below.groupBy("conv_id", "call_id").agg(F.max("level").alias("l"), F.count(F.when(F.col("level").isNull(), 1)).alias("open"))
-        nexts = up.where("open = 0").select("conv_id", "call_id", (F.col("l") + 1).alias("level"))
-        roots = settled.where("level = 0")
-        settled = checkpointed(roots.unionByName(nexts))
-        before, count = count, settled.count()
-        if count == before:
-            break
-    return known.join(settled, ["conv_id", "call_id"], "left")
+    hops = _chains(needs)
+    settled = known.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("bigint"))
+    forks = needs.join(hops, ["conv_id", "call_id"], "left_anti")
+    to_end = hops.select("conv_id", F.col("call_id").alias("need"), "end", "steps")
+    edges = checkpointed(forks.join(to_end, ["conv_id", "need"], "left").select(
+        "conv_id", "call_id", F.coalesce("end", "need").alias("end"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    if not edges.isEmpty():
+        roots = settled = checkpointed(settled)
+        count = 0
+        while True:
+            below = edges.join(settled.select("conv_id", F.col("call_id").alias("end"), "level"), ["conv_id", "end"], "left")
+            up = below.groupBy("conv_id", "call_id").agg(
+                F.max(F.col("level") + F.col("steps")).alias("level"), F.count(F.when(F.col("level").isNull(), 1)).alias("open"))
+            nexts = checkpointed(up.where("open = 0").select("conv_id", "call_id", "level"))
+            settled = roots.unionByName(nexts)
+            before, count = count, nexts.count()
+            if count == before:
+                break
+    ends = known.join(hops, ["conv_id", "call_id"], "left").select(
+        "conv_id", "call_id", F.coalesce("end", "call_id").alias("end"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    at_end = settled.select("conv_id", F.col("call_id").alias("end"), "level")
+    return ends.join(at_end, ["conv_id", "end"], "left").select("conv_id", "call_id", (F.col("level") + F.col("steps")).cast("int").alias("level"))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Mapping]]) -> DataFrame:
@@ -80,7 +113,9 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[s
     one = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(
         F.min(F.struct("turn", "name", "arguments", "after")).alias("c")).select("conv_id", "call_id", "c.*")
     one = checkpointed(one)
-    answers = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).select("conv_id", "call_id", F.col("turn").alias("_t"), "content")
+    # Repeated results of a call are one row per turn before they travel.
+    answers = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(
+        "conv_id", "call_id", F.col("turn").alias("_t")).agg(F.min("content").alias("content"))
     after = one.select("conv_id", "call_id", "turn").join(answers, ["conv_id", "call_id"]).where("_t > turn")
     first = after.groupBy("conv_id", "call_id").agg(F.min(F.struct("_t", "content")).alias("r"))
     rows = one.join(first, ["conv_id", "call_id"], "left").join(levels(one.select("conv_id", "call_id", "after")), ["conv_id", "call_id"])

@@ -192,6 +192,28 @@ def test_tool_calls(spark):
     assert got["c"].errors == "unknown tool" and got["c"].level is None and got["d"].level is None and got["d"].errors == "words: not integer"
 
 
+def test_levels_by_brute_force(spark):
+    rng = random.Random(12)
+    needs = {f"s{k}": [f"s{k - 1}"] if k else [] for k in range(200)}  # a chain far longer than a round reaches
+    needs |= {f"x{k}": [f"x{j}" for j in rng.sample(range(k), min(k, rng.randrange(4)))] for k in range(60)}
+    needs |= {"own": ["own"], "c1": ["c3"], "c2": ["c1"], "c3": ["c2"], "behind": ["c1", "s5"], "far": ["behind"], "lone": ["nobody"], "none": None}
+    level = {}
+    while True:
+        found = {}
+        for c, n in needs.items():
+            n = [m for m in n or [] if m in needs]
+            if c not in level and all(m in level for m in n):
+                found[c] = 1 + max((level[m] for m in n), default=-1)
+        if not found:
+            break
+        level |= found
+    schema = "conv_id long, call_id string, after array<string>"
+    rows = toolcalls.levels(spark.createDataFrame([(v, c, n) for v in (1, 2) for c, n in needs.items()] + [(3, "s7", ["s6"])], schema)).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in rows} == {**{(v, c): level.get(c) for v in (1, 2) for c in needs}, (3, "s7"): 0}
+    assert level["s199"] == 199 and len(rows) == 2 * len(needs) + 1
+    assert toolcalls.levels(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_classifier_learns_words_and_variants(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randrange(3, 80)) for _ in range(600)]
