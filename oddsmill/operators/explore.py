@@ -299,8 +299,8 @@ def event_kpis(table: DataFrame) -> DataFrame:
     return markets.join(rows, "event_id").join(liquidity, "event_id", "left").join(last, "event_id", "left")
 
 
-def event_markets(table: DataFrame, n: int = 250) -> DataFrame:
-    """The n most liquid markets of every event (the page length)."""
+def event_markets(table: DataFrame, n: int) -> DataFrame:
+    """The n most liquid markets of every event; the page length has no default, so no row is left out unasked."""
     return top_per_group(table, ["event_id"], [F.col("liquidity").desc_nulls_last(), F.col("market_id")], n).select(
         "event_id", "rank", "market_id", "question", "liquidity", "last_price", "window_return_pct", "points", "quality_pass_any"
     )
