@@ -20,9 +20,10 @@ def forward_returns(
 ) -> DataFrame:
     """Per observation: return over the last day and forward returns, each to the first price less than two hours late.
 
-    Range frames reach a fixed time ahead, so they are evaluated in chunks of time with the neighbours' ticks copied in
-    (about a quarter of the rows at 30-day chunks): one shuffle, and no window over a whole asset. Ticks are unique per
-    second, which bounds a chunk; a frame holds at most two hours of them.
+    Evaluated in chunks of time with the neighbours' ticks copied in (about a quarter of the rows at 30-day chunks). Inside a
+    chunk ticks and the times asked for are walked once, newest first, carrying the last tick seen: the cost is linear in the
+    ticks however dense they are. One shuffle on (asset, chunk) serves the walk and the grouping after it, and no window runs
+    over a whole asset; ticks are unique per second, which bounds a chunk.
     """
     rows = prices.select(
         F.col("asset_id").cast("string").alias("asset_id"), to_long("ts").alias("ts"), to_double("price").alias("price"),
@@ -33,13 +34,27 @@ def forward_returns(
         rows = rows.join(tight, "asset_id", "left_semi")
     enough = rows.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("asset_id")
     ticks = haloed(canonical_ticks(rows).join(enough, "asset_id", "left_semi"), DAY, max(HORIZONS) * 3600 + TOLERANCE, chunk)
-    order = Window.partitionBy("asset_id", "_chunk").orderBy("ts")
-
-    def price_at(offset: int) -> Column:
-        return F.first("price").over(order.rangeBetween(offset, offset + TOLERANCE - 1))
-
-    seen = ticks.select("asset_id", "ts", "_core", "price", price_at(-DAY).alias("back"), *[price_at(h * 3600).alias(f"at_{h}h") for h in HORIZONS])
-    return seen.where("_core").select(
+    offsets = {"back": -DAY, **{f"at_{h}h": h * 3600 for h in HORIZONS}}
+    # Kind 0 is the tick itself, the others are the times asked for by the rows that belong to the chunk.
+    asked = [F.when(F.col("_core"), F.struct(F.lit(k).alias("kind"), (F.col("ts") + by).alias("at"))) for k, by in enumerate(offsets.values(), 1)]
+    both = F.array_compact(F.array(F.struct(F.lit(0).alias("kind"), F.col("ts").alias("at")), *asked))
+    walked = ticks.repartition("asset_id", "_chunk").select("asset_id", "_chunk", "_core", "ts", "price", F.inline(both))
+    newest_first = Window.partitionBy("asset_id", "_chunk").orderBy(F.col("at").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+
+    def last_tick(c: str) -> Column:
+        return F.last(F.when(F.col("kind") == 0, F.col(c)), ignorenulls=True).over(newest_first)
+
+    in_time = F.col("_ts") < F.col("at") + TOLERANCE
+    seen = (
+        walked.withColumn("_ts", last_tick("ts")).withColumn("_price", last_tick("price"))
+        .where("_core")
+        .groupBy("asset_id", "_chunk", "ts")
+        .agg(
+            F.max("price").alias("price"),
+            *[F.max(F.when((F.col("kind") == k) & in_time, F.col("_price"))).alias(name) for k, name in enumerate(offsets, 1)],
+        )
+    )
+    return seen.select(
         "asset_id", "ts", "price", (F.col("price") - F.col("back")).alias("return_1d"),
         *[(F.col(f"at_{h}h") - F.col("price")).alias(f"fwd_{h}h") for h in HORIZONS],
     )
