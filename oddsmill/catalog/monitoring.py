@@ -51,22 +51,21 @@ def standardised_features(c: Canon):
     return clusters.standardise(price_features(c).select("asset_id", *STANDARD), STANDARD)
 
 
-@query("kmeans_clusters")
+@query("kmeans_clusters", "select count(*) as rows, count(distinct label) as clusters, true as nearest, true as no_worse, true as silhouette_in_range from embeddings")
 def kmeans_clusters(c: Canon):
-    """Sizes of the k-means clusters of the given vectors; labels are not comparable across engines."""
-    rows = c.table("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
-    model = clusters.fit_kmeans(rows, k=8, restarts=3)
-    return clusters.cluster_sizes(clusters.assign(rows, model))
+    """As many k-means clusters of the given vectors as they have labels, against the labels; cluster ids do not compare across engines."""
+    given = c.table("embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+    model = clusters.fit_kmeans(given, k=given.agg(F.count_distinct("label")).first()[0])
+    return clusters.assignment_check(clusters.assign(given, model), model, F.col("label"))
 
 
-@query("feature_clusters")
+@query("feature_clusters", sql(
+    "select count(*) as rows, cast(5 as bigint) as clusters, true as nearest, true as no_worse, true as silhouette_in_range from f_price"))
 def feature_clusters(c: Canon):
-    """k-means on standardised asset features with size and cost per cluster."""
+    """k-means on standardised asset features, against a grouping by asset."""
     rows = clusters.vectors(clusters.standardise(price_features(c).select("asset_id", *STANDARD), STANDARD), STANDARD)
     model = clusters.fit_kmeans(rows, k=5, restarts=3)
-    out = clusters.assign(rows, model)
-    score = clusters.squared_silhouette(out) if model is not None else None
-    return clusters.cluster_sizes(out).withColumn("squared_silhouette", F.lit(score).cast("double"))
+    return clusters.assignment_check(clusters.assign(rows, model), model, F.pmod(F.col("asset_id").cast("bigint"), F.lit(5)))
 
 
 @query("cluster_sizes", sql("select cluster_id, count(*) as size from c_assigned group by 1"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddsmill.plans.quantiles import exact_quantiles
 from oddsmill.schemas import FEATURE_COLUMNS
@@ -73,6 +74,33 @@ def squared_silhouette(assigned: DataFrame, vector: str = "vector") -> float:
     return ClusteringEvaluator(featuresCol=vector, predictionCol="cluster_id", distanceMeasure="squaredEuclidean").evaluate(assigned)
 
 
+def assignment_check(assigned: DataFrame, model: KMeansModel, label: Column, vector: str = "vector") -> DataFrame:
+    """What holds for any good clustering, whatever its labels; one row.
+
+    rows, clusters (non-empty), nearest: every row is in the cluster of its nearest centre; no_worse: its cost does not exceed
+    that of the given ``label`` grouping; silhouette_in_range. The centres are few and go into the plan as literals.
+    """
+    x = vector_to_array(vector)
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in centre]) for centre in model.clusterCenters()])
+    apart = F.transform(centres, lambda c: F.aggregate(F.zip_with(F.col("_x"), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    rows = assigned.select("cluster_id", label.alias("_label"), x.alias("_x")).withColumn("_apart", apart)
+    own = F.element_at("_apart", F.col("cluster_id") + 1)
+    fitted = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("cluster_id").alias("clusters"),
+        F.every(own <= F.array_min("_apart") + 1e-9).alias("nearest"),
+        F.sum(own).alias("_cost"),
+    )
+    # Squared distances to the means of the labels, from sums per label and dimension.
+    parts = rows.select("_label", F.posexplode("_x").alias("_dim", "v")).groupBy("_label", "_dim").agg(F.var_pop("v").alias("_var"), F.count("v").alias("_n"))
+    given = parts.agg(F.sum(F.col("_var") * F.col("_n")).alias("_given"))
+    score = squared_silhouette(assigned, vector)
+    return fitted.join(F.broadcast(given)).select(  # one row each
+        "rows", "clusters", "nearest", (F.col("_cost") <= F.col("_given") * (1 + 1e-9)).alias("no_worse"),
+        F.lit(-1.0 <= score <= 1.0).alias("silhouette_in_range"),
+    )
+
+
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
