@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -43,6 +44,14 @@ def single_tokens(spec: str) -> frozenset[str]:
     return frozenset(t for t, e in zip(texts, encoded) if len(e.ids) == 1)
 
 
+@lru_cache(maxsize=1)
+def opened(spec: str) -> tuple[Tokenizer, regex.Pattern | None, dict[str, int]]:
+    """Tokenizer, pattern of its added tokens and merged pre-tokens so far, opened once per worker and not once per task."""
+    added = [t["content"] for t in json.loads(spec)["added_tokens"]]
+    pattern = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+    return Tokenizer.from_str(spec), pattern, {}
+
+
 class Counting:
     """Counts tokens of texts as the tokenizer does, special strings inside a text being its special tokens."""
 
@@ -54,12 +63,9 @@ class Counting:
         return {"spec": self.spec, "single": self.single, "tokenizer": None}
 
     def _open(self):
-        self.tokenizer = Tokenizer.from_str(self.spec)
+        self.tokenizer, self.added, self.merged = opened(self.spec)
         self.pattern = regex.compile(PATTERN)
         self.unsure = regex.compile(f"[^{AGREED}]")
-        added = [t["content"] for t in json.loads(self.spec)["added_tokens"]]
-        self.added = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
-        self.merged: dict[str, int] = {}
 
     def count(self, text: str) -> int:
         if self.tokenizer is None:
