@@ -1,62 +1,78 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask keeps some word positions of a span and ignores the others, so a hash of the kept words survives substitutions at
-the ignored ones. Every position of the benchmark and every ``stride``-th position of the documents is hashed under each
-mask; equal hashes give a diagonal (position in the document minus position in the item). Around each hit the aligned
-words are compared one by one: a window of ``window`` words with at most ``tolerance`` substitutions is contamination.
+the ignored ones. Every position of the benchmark and of the documents is hashed under masks of which at least one fits
+inside a window whatever words of it are substituted; equal hashes give a diagonal (position in the document minus position
+in the item). Around each hit the aligned words are compared one by one: a window of ``window`` words with at most
+``tolerance`` substitutions is contamination.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddsmill.llm.common import checkpointed, words
 
-# Each ignores every third position, so a single substitution leaves one mask intact, as do several in one residue class.
-MASKS = ("110110110", "101101101", "011011011")
-STRIDE = 4
+# One of the two fits somewhere in 13 words for each of the 78 places of two substitutions. First and last are kept.
+MASKS = ("11101011", "110100111")
 WINDOW = 13
 TOLERANCE = 2
 BROADCAST_ROWS = 1_000_000  # rows of hashes or keys, about 40 bytes each, up to which a side is broadcast
 
 
-def _seeds(w: Column, stride: int, masks=MASKS) -> Column:
-    """Hashes under all masks at every stride-th position, masks of a position side by side."""
-    span = len(masks[0])
+def masks_of(n: int, allowed: int) -> tuple[str, ...]:
+    """Masks of which one fits inside n words wherever ``allowed`` of them are substituted."""
+    if (n, allowed) == (WINDOW, TOLERANCE):
+        return MASKS
+    # Substitutions meet at most ``allowed`` of the residue classes, and every such choice of classes is ignored by a mask.
+    classes = allowed + 2
+    ignoring = ("".join("0" if i % classes in out else "1" for i in range(n)).strip("0") for out in combinations(range(classes), allowed))
+    return tuple(sorted(set(ignoring) - {""}))
+
+
+def _seeds(w: Column, masks: tuple[str, ...]) -> Column:
+    """struct(p, h) of every position and mask: hashes of the kept words."""
+
+    def under(mask: str) -> Column:
+        def at(i: Column) -> Column:
+            kept = [F.get(w, i + o) for o, c in enumerate(mask) if c == "1"]
+            return F.struct(i.alias("p"), F.xxhash64(F.lit(int(mask, 2)), *kept).alias("h"))
 
-    def at(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(m), *[F.get(w, i + o) for o, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(masks)])
+        found = F.transform(F.sequence(F.lit(0), F.size(w) - len(mask)), at)
+        return F.when(F.size(w) >= len(mask), found).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
 
-    starts = F.sequence(F.lit(0), F.size(w) - span, F.lit(stride))
-    return F.when(F.size(w) >= span, F.flatten(F.transform(starts, at)))
+    return F.concat(*[under(m) for m in masks])
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, stride: int = STRIDE, window: int = WINDOW, tolerance: int = TOLERANCE
-) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, tolerance: int = TOLERANCE) -> DataFrame:
     """(text_key, n_items, item_id, overlap) of every distinct document text that overlaps an item.
 
     n_items counts distinct item texts, item_id is the smallest id of one of them, overlap the most words that agree in a
-    window. An item shorter than a window is compared whole, with tolerance in proportion. Null and empty texts and items
-    of fewer words than a mask (9) match nothing; copies of a text share its row; without rows the result is empty.
+    window. An item shorter than a window is compared whole, with tolerance in proportion (none under seven words). Null,
+    empty and wordless texts and items match nothing; copies of a text share its row; without rows the result is empty.
     """
-    masks = len(MASKS)
     keyed = docs.select(text_key(F.col("text")).alias("text_key"), F.lower("text").alias("_t"))
     items = (
         benchmark.select("item_id", words(F.lower("text")).alias("_iw"))
-        .where(F.size("_iw") >= len(MASKS[0]))
+        .where(F.size("_iw") > 0)
         .groupBy("_iw").agg(F.min("item_id").alias("item_id"))
         .withColumn("_ik", F.xxhash64("_iw"))
     )
     items = checkpointed(items)
-    item_seeds = items.select("_ik", F.posexplode(_seeds(F.col("_iw"), 1)).alias("_p", "_h")).select(
-        "_ik", "_h", F.floor(F.col("_p") / masks).cast("int").alias("_j"))
+    size = F.least(F.lit(window), F.size("_iw"))
+    families = {r.n: masks_of(r.n, r.n * tolerance // window) for r in items.select(size.alias("n")).distinct().collect()}
+    masks = tuple(sorted({m for family in families.values() for m in family})) or MASKS
+    own = reduce(lambda c, n: c.when(size == n, _seeds(F.col("_iw"), families[n])), families, F) if families else _seeds(F.col("_iw"), masks)
+    item_seeds = items.select("_ik", F.inline(own).alias("_j", "_h"))
     small = item_seeds.count() <= BROADCAST_ROWS
     doc_seeds = keyed.select("text_key", words(F.col("_t")).alias("_w")).select(
-        "text_key", F.posexplode(_seeds(F.col("_w"), stride)).alias("_p", "_h"))
+        "text_key", F.inline(_seeds(F.col("_w"), masks)).alias("_p", "_h"))
     hits = (
         doc_seeds.join(F.broadcast(item_seeds) if small else item_seeds, "_h")
-        .select("text_key", "_ik", (F.floor(F.col("_p") / masks).cast("int") * stride - F.col("_j")).alias("_d"))
+        .select("text_key", "_ik", (F.col("_p") - F.col("_j")).alias("_d"))
         .distinct()
     )
     hits = checkpointed(hits)

@@ -99,6 +99,37 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.decontaminated(frame, benchmark.where("false")).count() == len(texts)
 
 
+def test_decontamination_at_every_offset(spark):
+    rng = random.Random(15)
+    items = [prose(rng, n) for n in (1, 3, 5, 7, 8, 9, 10, 11, 12, 13, 20)]
+    texts, want = [], {}
+
+    def plant(k, passage, offset):
+        want[len(texts)] = k
+        texts.append(" ".join([prose(rng, 40 + offset, 10**9), *passage, prose(rng, 20, 10**9)]))
+
+    for k, item in enumerate(items):
+        w = item.split()
+        for offset in range(4):
+            plant(k, w, offset)
+        if 7 <= len(w) <= 12:
+            for i in range(len(w)):
+                plant(k, [*w[:i], "other", *w[i + 1 :]], i % 4)
+        if len(w) == 13:
+            for i in range(13):
+                for j in range(i):
+                    plant(k, ["other" if m in (i, j) else x for m, x in enumerate(w)], (i + j) % 4)
+    free = len(texts)
+    w = items[4].split()
+    texts += [" ".join([w[0], "other", "other", *w[3:]]), " ".join(items[9].split()[2:]) + " end", None]
+    want[free + 1] = 9  # the window's first two words are outside the text
+    benchmark = spark.createDataFrame(list(enumerate([*items, None, " "])), "item_id long, text string")
+    frame = docs_of(spark, texts)
+    found = {r.text_key: (r.n_items, r.item_id) for r in decontam.contaminated(frame, benchmark).collect()}
+    keys = {r.doc_id: r.k for r in frame.select("doc_id", decontam.text_key(F.col("text")).alias("k")).collect()}
+    assert {d: found[k] for d, k in keys.items() if k in found} == {d: (1, k) for d, k in want.items()}
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10
 
