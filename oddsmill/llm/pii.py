@@ -12,11 +12,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
 
+# Characters of an IBAN by country; what follows a value is never taken into it. Other countries: the longest end that is valid.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+KNOWN_IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
 # Candidates by kind, in the order in which they are tried at a position; lengths are bounded so that no search backtracks far.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + KNOWN_IBAN + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day_date": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])",
@@ -119,6 +128,23 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
+def _valid_iban(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    return (F.length(plain) >= 15) & (_mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+
+
+def _valid_card(m: Column) -> Column:
+    d = _digits(m)
+    return (F.length(d) >= 13) & (_luhn(d) == 0) & d.rlike("[1-9]")
+
+
+def _valid_end(m: Column, valid) -> Column:
+    """Length of the longest valid beginning of a candidate that ends before a separator or with the candidate; null if none."""
+    n = F.length(m)
+    ends = F.filter(F.sequence(F.lit(13), n), lambda e: (e == n) | F.substr(m, e + 1, F.lit(1)).isin(" ", "-"))
+    return F.array_max(F.filter(ends, lambda e: valid(F.substr(m, F.lit(1), e))))
+
+
 def _email(m: Column, key: str) -> Column:
     return F.concat(_like(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
@@ -132,8 +158,7 @@ def _iban(m: Column, key: str) -> Column:
     country, body = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
     new = _like(body, key, "iban")
     check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(body, F.substr(plain, F.lit(1), F.lit(4)))) == 1
-    return F.when(valid, _filled(m, F.concat(country, check, new), "[A-Z0-9]"))
+    return _filled(m, F.concat(country, check, new), "[A-Z0-9]")
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -200,7 +225,13 @@ def _card(m: Column, key: str) -> Column:
     d = _digits(m)
     new = F.concat(F.substr(d, F.lit(1), F.lit(1)), _like(F.substr(d, F.lit(2), F.length(d) - 2), key, "card"))
     check = F.transform(F.array(new), lambda p: F.concat(p, ((F.lit(10) - _luhn(F.concat(p, F.lit("0")))) % 10).cast("string")))
-    return F.when((_luhn(d) == 0) & d.rlike("[1-9]"), _filled(m, F.get(check, F.lit(0)), "[0-9]"))
+    return _filled(m, F.get(check, F.lit(0)), "[0-9]")
+
+
+def _beginning(m: Column, key: str, valid, new) -> Column:
+    """The candidate with its longest valid beginning replaced; null if none is valid."""
+    end = F.array(_valid_end(m, valid))
+    return F.get(F.transform(end, lambda e: F.when(e.isNotNull(), F.concat(new(F.substr(m, F.lit(1), e), key), F.substr(m, e + 1, F.length(m))))), F.lit(0))
 
 
 def _replacement(m: Column, key: str) -> Column:
@@ -208,9 +239,9 @@ def _replacement(m: Column, key: str) -> Column:
     day = F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2)))
     month = F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2)))
     new = {
-        "email": _email(m, key), "access_key": _access_key(m, key), "iban": _iban(m, key), "ip": _ip(m, key),
+        "email": _email(m, key), "access_key": _access_key(m, key), "iban": _beginning(m, key, _valid_iban, _iban), "ip": _ip(m, key),
         "iso_date": _date(m, "yyyy-MM-dd", key), "day_date": _date(day, "dd.MM.yyyy", key),
-        "month_date": _date(month, "MM/dd/yyyy", key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _card(m, key),
+        "month_date": _date(month, "MM/dd/yyyy", key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _beginning(m, key, _valid_card, _card),
     }
     # Lookarounds see only the candidate here; what they ask of its surroundings held when it was found.
     kind = reduce(lambda c, k: c.when(m.rlike(f"^(?:{PATTERNS[k]})$"), k), PATTERNS, F)

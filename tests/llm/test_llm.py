@@ -152,6 +152,21 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert got[8:] == texts[8:]
 
 
+def test_values_before_digits_and_capitals(spark):
+    card, iban, other = "4041 8949 7460 8795", "DE89 3704 0044 0532 0130 00", "ZZ22 3704 0044 0532 0130 00"
+    after = ["", " 123", " 12/27", " 1", "-12", ", 123"]
+    texts = [f"pay {card}{a}" for a in after] + ["pay 4041894974608795 12/27", "bad 4041 8949 7460 8796 123"]
+    texts += [f"to {v}{a}" for v in (iban, other) for a in ("", " BIC", " EUR 50", " 4041 8949 7460 8795")]
+    got = [r.text for r in pii.pseudonymised(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
+    new = got[0].removeprefix("pay ")
+    assert new != card and luhn(new.replace(" ", "")) == 0
+    assert got[:6] == [f"pay {new}{a}" for a in after] and got[6:8] == [f"pay {new.replace(' ', '')} 12/27", texts[7]]
+    for k, v in ((8, iban), (12, other)):
+        moved = got[k].removeprefix("to ")
+        assert moved != v and got[k : k + 3] == [f"to {moved}{a}" for a in ("", " BIC", " EUR 50")]
+    assert got[11] == got[8] + " " + new
+
+
 def test_dates_of_a_century_are_permuted(spark):
     days = spark.sql("select date_format(d, 'yyyy-MM-dd') as text from (select explode(sequence(date'2000-01-01', date'2003-12-31')) as d)")
     out = [r.text for r in pii.pseudonymised(days, "k").collect()]
