@@ -65,7 +65,7 @@ def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     after = F.when(F.col("turn") >= 2, F.array(name_of(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
     tool = F.when(words % 7 == 0, "search").when(words % 3 == 0, "list").otherwise("lookup")
     arguments = F.to_json(F.struct(
-        words.alias("words"), F.substring_index(F.col("text"), "\n", 1).alias("query"), after.alias("after"),
+        words.alias("words"), F.col("text").alias("query"), after.alias("after"),
         F.when(words % 5 == 0, "wide").when(words % 5 == 1, "short").alias("mode")))
     calls = turns.where("role = 'assistant'").select("conv_id", "turn", name_of(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), after.alias("after"))
     results = turns.where("role = 'user' and turn > 0").select("conv_id", "turn", name_of(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))

@@ -1,5 +1,6 @@
 """Text operators against brute force, planted cases and edge cases."""
 
+import json
 import math
 import random
 import re
@@ -238,6 +239,13 @@ def test_tool_calls(spark):
     assert got["c"].errors == "unknown tool" and got["c"].level is None and got["d"].level is None and got["d"].errors == "words: not integer"
 
 
+def test_calls_carry_the_whole_turn(spark):
+    text = 'first "line"\nsecond\tline\n\nthird \\ line'
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text), (1, 2, "user", "r")], "conv_id long, turn long, role string, text string")
+    row = toolcalls.linked(*queries.calls_and_results(turns), queries.TOOLS).collect()[0]
+    assert json.loads(row.message)["arguments"]["query"] == text
+
+
 def test_levels_by_brute_force(spark):
     rng = random.Random(12)
     needs = {f"s{k}": [f"s{k - 1}"] if k else [] for k in range(200)}  # a chain far longer than a round reaches
