@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from oddsmill.llm.common import checkpointed, n_words
+from oddsmill.llm.common import WORD, checkpointed, n_words
 
 RANGES = 4096  # hex digits of the key that form a range: 16 ** 3
 
@@ -82,3 +82,9 @@ def mix(
 def random_key(*values: Column, seed: int = 8) -> Column:
     """Hex text, evenly spread and the same in every run."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(v.cast("string"), F.lit("")) for v in values]).cast("binary"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, spaces as they are."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")

@@ -1,5 +1,6 @@
 """Text operators against brute force, planted cases and edge cases."""
 
+import hashlib
 import json
 import math
 import random
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from oddsmill.llm import decontam, htmltext, maxent, mixing, pii, queries, simhash, tokencount, toolcalls, topk, toxicity
 from oddsmill.llm.components import components
 
@@ -227,6 +229,43 @@ def test_mix_meets_budgets(spark):
     assert math.isclose(sum(t for t, _ in target.values()), sum(r.size for r in rows))
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randrange(20, 60)).replace(" ", "\n", 1) for _ in range(40)]
+    texts[3] += " card 4041894974608795"
+    texts += [texts[5], prose(rng, 10), None, ""]
+    texts[41] += " " + (item := prose(rng, 20))
+    sources = ["a" if k % 10 == 0 else "b" if k % 10 < 4 else "c" for k in range(len(texts))]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, (t, s) in enumerate(zip(texts, sources))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    new = {r.doc_id: r.text for r in pii.pseudonymised(docs, queries.KEY).collect()}
+    assert new[3] != texts[3]
+    left = [k for k in range(len(texts)) if k not in (40, 41) and (texts[k] or "").split()]
+    size = {s: sum(len(new[k].split()) for k in left if sources[k] == s) for s in "abc"}
+    target, weights = {}, {"a": 1, "b": 2, "c": 3}
+    while len(target) < 3:  # sources at their cap leave the rest to the others
+        rest = {s: (sum(size.values()) - sum(target.values())) * w / sum(v for t, v in weights.items() if t not in target) for s, w in weights.items() if s not in target}
+        full = [s for s in rest if rest[s] >= 3 * size[s]]
+        target |= {s: 3 * size[s] for s in full} if full else rest
+    want = []
+    for s in "abc":
+        budget, n = math.floor(target[s] + 0.5), 0
+        while budget:
+            n += 1
+            for k in sorted((k for k in left if sources[k] == s), key=lambda k: hashlib.md5(f"8|{k}".encode()).hexdigest()):
+                part = min(budget, len(new[k].split()))
+                if part:
+                    text = re.match(r"(?:\s*\S+){%d}" % part, new[k]).group()
+                    want.append((k, n, text, part, len(text), s))
+                budget -= part
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns[:5] == docs.columns
+    assert sorted((r.doc_id, r["pass"], r.text, r.taken, r.n_chars, r.source) for r in got.collect()) == sorted(want)
+    assert any(r[1] > 1 for r in want) and any(r[2] != new[r[0]] for r in want)
+
+
 def test_tool_calls(spark):
     call = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
     rows = [(1, 1, "a", "lookup", '{"words": 3, "query": "x"}', []), (1, 3, "b", "lookup", '{"words": 0, "mode": "no", "more": 1}', ["a", "none"]),
