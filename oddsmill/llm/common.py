@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from oddsmill.session import tune
+from oddsmill.session import shared_folder, tune
 
 WORD = r"[^\x20\x09-\x0D]+"  # bytes.split() cuts UTF-8 at the same six characters
 
@@ -25,14 +25,36 @@ def n_words(text: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the folder of spark.checkpoint.dir; a folder of its own only where none is set."""
+    """Computes ``df`` once into the folder of spark.checkpoint.dir; a folder of its own only on one machine that sets none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def split_of(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def prefix_sums(numbers: Column, block: int = 256) -> Column:
+    """Running sums of an array of longs, each with its own number; summed in blocks, so that long arrays are not copied per entry."""
+    none = F.array().cast("array<bigint>")
+
+    def running(a: Column, start: Column) -> Column:
+        step = F.aggregate(a, F.struct(start.alias("at"), none.alias("sums")),
+                           lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["sums"], s["at"] + x).alias("sums")))
+        return step["sums"]
+
+    def sums(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(a), F.lit(block)), lambda i: F.slice(a, i, block))
+        return let(blocks, lambda b: let(
+            running(F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda t, n: t + n)), F.lit(0).cast("bigint")),
+            lambda ends: F.flatten(F.transform(b, lambda x, k: running(x, F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0).cast("bigint")))))))
+
+    return let(numbers, lambda a: F.when(F.size(a) == 0, none).otherwise(sums(a)))

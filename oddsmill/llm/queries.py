@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from oddsmill.llm import decontam, htmltext, maxent, mixing, pii, simhash, tokencount, toolcalls, topk, toxicity
-from oddsmill.llm.common import read
+from oddsmill.llm import collocations, decontam, htmltext, maxent, mixing, periodic, pii, secretscan, simhash, tokencount, toolcalls, topk, toxicity
+from oddsmill.llm.common import let, read, words
 from oddsmill.llm.sqltext import ORACLES as ORACLES  # noqa: F401
+from oddsmill.plans.keep import top_per_group
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 KEY = "pseudonyms-2"  # a deployment passes its own secret
 TOKEN_LIMIT = 1024
+COLLOCATIONS = 2000  # reported per language
 
 TOOLS = {
     "lookup": {
@@ -114,3 +116,53 @@ def op10_decontamination(spark: SparkSession, path: str) -> DataFrame:
     rows = docs.select("doc_id", decontam.text_key(F.col("text")).alias("text_key")).join(found, "text_key", "left")
     return rows.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id",
                        F.coalesce("overlap", F.lit(0)).alias("overlap"))
+
+
+@query
+def op11_collocations(spark: SparkSession, path: str) -> DataFrame:
+    phrases = collocations.collocations(read(spark, path, "documents"))
+    return top_per_group(phrases, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], COLLOCATIONS).select(
+        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def planted(text: Column, doc_id: Column) -> Column:
+    """A tenth of the texts, chosen by the id, made to repeat its own words from some word on."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeating(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), F.slice(tail, 1, n - a)), " ")).otherwise(F.lit(""))
+
+    return F.when(h % 10 == 0, let(words(text), repeating)).otherwise(text)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, path: str) -> DataFrame:
+    rows = read(spark, path, "documents").select("doc_id", periodic.periodic_runs(planted(F.col("text"), F.col("doc_id"))).alias("found"))
+    runs = F.col("found.runs")
+    # Greatest length first, ties by smallest start, then period.
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    rows = rows.select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                       F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"))
+    length, period = -F.col("best.length"), F.col("best.period")
+    return rows.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"),
+                       F.floor(length * 1000 / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op13_secrets(spark: SparkSession, path: str) -> DataFrame:
+    rows = secretscan.secrets(read(spark, path, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < secretscan.BASE)
+
+    def n(field: str, value) -> Column:
+        return F.size(F.filter("spans", lambda s: s[field] == value)).cast("bigint")
+
+    return rows.select(
+        "doc_id", *[n("kind", k).alias(f"n_{name}") for k, name in enumerate(secretscan.NAMES)],
+        F.sha2(secretscan.span_text(base), 256).alias("base_sha256"), secretscan.span_text(F.col("spans")).alias("spans"),
+        n("verdict", "example").alias("n_example"))

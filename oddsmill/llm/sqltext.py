@@ -69,3 +69,70 @@ agree as (
 select d.doc_id, f.text is not null as contaminated, coalesce(n_items, 0) as n_items, item_id, coalesce(overlap, 0) as overlap
 from documents d left join found f on d.text = f.text
 """
+
+ORACLES["op11_collocations"] = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, row_number() over () as piece, piece as words from (
+    select lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)
+), w as (select lang, regexp_extract_all(words, '[^ \t]+') as w from p),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+grams as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (
+    select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) as sizes(k)) g
+), f as (select lang, k, phrase, cast(count(*) as bigint) as c from grams group by all having count(*) >= 10),
+cuts as (
+  select lang, k, phrase, c as a, cut, string_split(phrase, ' ') as s from f, (values (1), (2)) as cuts(cut) where k > cut
+), sides as (
+  select c.lang, c.k, c.phrase, c.a, c.cut, l.c as l, r.c as r,
+    cast((1000000::hugeint * c.a * c.a) // (l.c::hugeint * r.c) as bigint) as score
+  from cuts c join f l on l.lang = c.lang and l.phrase = array_to_string(c.s[1 : c.cut], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.s[c.cut + 1 : c.k], ' ')
+), best as (
+  select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as o from sides) where o = 1
+), kept as (
+  select * from best b where not exists (
+    select 1 from best t where t.k = 3 and b.k = 2 and t.lang = b.lang and 100 * t.a >= 50 * b.a
+      and (starts_with(t.phrase, b.phrase || ' ') or ends_with(t.phrase, ' ' || b.phrase)))
+)
+select lang, rank, phrase, a, l, r, n, score from (
+  select k.*, n, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept k join totals using (lang))
+where rank <= 2000
+"""
+
+# Positions are the running lengths of what lies between the matches and of the matches.
+ORACLES["op13_secrets"] = r"""
+with d as (select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),
+kinds as (
+  select * from (values (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'owned')) as k(kind, name)
+), m as (
+  select row, 0 as kind, regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as found,
+    regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) as vals,
+    regexp_split_to_array(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as gaps from d
+  union all select row, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_split_to_array(text, 'AKIA[A-Z0-9]+') from d
+  union all select row, 2, regexp_extract_all(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}'), regexp_split_to_array(text, '[0-9a-f]{24,}') from d
+  union all select row, 3, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{16,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{16,}'),
+    regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{16,}') from d
+), spans as (
+  select row, kind, value, start, start + length(whole) as finish from (
+    select row, kind, found[i] as whole, vals[i] as value,
+      cast(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) as bigint) as start
+    from (select *, unnest(range(1, len(found) + 1)) as i from m))
+  where length(value) >= case kind when 0 then 6 when 1 then 20 when 2 then 24 else 16 end
+    and (kind < 3 or regexp_matches(value, '[A-Za-z]') and regexp_matches(value, '[0-9]'))
+), apart as (
+  select * from spans s where kind < 3 or not exists (select 1 from spans b where b.row = s.row and b.kind < 3 and b.start < s.finish and s.start < b.finish)
+), owners as (
+  select value, count(distinct coalesce('=' || source, '')) as owners, max(cast(kind < 3 as int)) = 1 as labelled from apart join d using (row) group by value
+), judged as (
+  select a.*, case when owners >= 3 then 'example' else 'owned' end as verdict from apart a join owners o using (value)
+  where kind < 3 or owners < 3 and (labelled or regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]')
+    and length(value) >= 20 and len(list_distinct(string_split(value, ''))) >= 10)
+)
+select d.doc_id, cast(count(*) filter (j.kind = 0) as bigint) as n_assign, cast(count(*) filter (j.kind = 1) as bigint) as n_access,
+  cast(count(*) filter (j.kind = 2) as bigint) as n_hex, cast(count(*) filter (j.kind = 3) as bigint) as n_owned,
+  sha256(coalesce(string_agg(name || ':' || start || ':' || finish, ',' order by start, j.kind) filter (j.kind < 3), '')) as base_sha256,
+  coalesce(string_agg(name || ':' || start || ':' || finish, ',' order by start, j.kind), '') as spans,
+  cast(count(*) filter (verdict = 'example') as bigint) as n_example
+from d left join judged j using (row) left join kinds k on k.kind = j.kind group by d.row, d.doc_id
+"""
