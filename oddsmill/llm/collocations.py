@@ -1,10 +1,12 @@
 """Collocations by Toivonen's sampling: phrases that are frequent in a sample and their negative border are counted in full.
 
-The border holds what is not frequent in the sample although all its parts are. A fixed set of bits (a Bloom filter) of the
-sample's frequent words and pairs tells a task which phrases to count: a phrase is counted if its parts are in the filter,
-which covers sample-frequent phrases and border alike; a false hit only counts one more phrase. Phrases of the border that
-turn out frequent are added to the filter and further passes count what they open, until none is left outside. All counts
-that are reported come from full passes, so the sample decides the work and never the result.
+The border holds what is not frequent in the sample although all its parts are. Fixed sets of bits (Bloom filters) of the
+sample's frequent words and pairs tell a task which phrases to count: a phrase is counted if its parts are in a filter,
+which covers sample-frequent phrases and border alike; a false hit only counts one more phrase. The full pass counts 64-bit
+hashes; a sum of hashes is never below the count of a phrase, so those that reach the least count are all the phrases worth
+an exact count, and the next pass counts them as text. Words and pairs of the border that turn out frequent make a further
+filter, and what they open is counted in further passes until none is left outside. All counts that are reported are exact
+counts of whole passes, so sample and hashes decide the work and never the result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ LEAST = 10  # occurrences of a phrase
 HELD = 50  # a phrase is dropped if a longer one has so many per cent of its occurrences
 SAMPLE = 4  # one text in so many proposes phrases
 PENDING = 8 << 20  # bytes of text of a language that are counted together
-STEP = 1 << 20  # words that are counted together; n-grams reach over the end
-BITS = range(20, 30)  # the filter has 2**20 to 2**29 bits (64 MB), about 16 for each phrase in it
+STEP = 1 << 20  # words that are numbered and counted together
+BITS = range(20, 30)  # a filter has 2**20 to 2**29 bits (64 MB), about 16 for each phrase in it
 
 COUNTS = "lang string, k int, phrase string, c long"
 ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
@@ -56,15 +58,13 @@ def _slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
     return [(h & np.uint64(size - 1)).astype(np.int64) for h in (hashes, hashes >> np.uint64(32))]
 
 
-class Filter:
-    """Bits set for words and pairs; two of them for each."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = ((self.bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 for s in _slots(hashes, 8 * len(self.bits)))
-        return (a & b).astype(bool)
+def _held(filters: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Which hashes one of the filters holds."""
+    out = np.zeros(len(hashes), bool)
+    for bits in filters:
+        a, b = ((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 for s in _slots(hashes, 8 * len(bits)))
+        out |= (a & b).astype(bool)
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -83,128 +83,185 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
     yield from pending.items()
 
 
-def _counts(lang: str, texts: list[bytes], words: bool, old: Filter | None, new: Filter | None) -> Iterator[pa.RecordBatch]:
-    """Counts of words (if asked for, with their sum under k = 0), and of pairs and triples whose parts are in ``new`` but not in ``old``.
+class Part:
+    """Up to STEP words of a language; phrases begin in them and may reach two words further."""
 
-    Without ``new`` everything counts.
-    """
-    all_tokens = tokens(texts)
-    for at in range(0, len(all_tokens), STEP):
-        part = all_tokens[at : at + STEP + 2]
+    def __init__(self, lang: str, tokens: list[bytes]):
         code = defaultdict(count(1).__next__, {b".": 0})
-        w = np.fromiter(map(code.__getitem__, part), np.int64, len(part))
-        names = list(code)
-        strings = pa.array(names, pa.binary())
-        n = min(STEP, len(w))
-
-        def batch(k: int, keys: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
-            phrase = pc.binary_join_element_wise(*[strings.take(pa.array(x)) for x in keys], pa.scalar(b" ", pa.binary())) if k > 1 else strings.take(pa.array(keys[0]))
-            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(c), np.int32))), pa.array(np.full(len(c), k, np.int32)), phrase.cast(pa.string()), pa.array(c, pa.int64())], schema=ARROW)
-
-        if words:
-            c = np.bincount(w[:n], minlength=len(names))
-            c[0] = 0
-            used = np.flatnonzero(c)
-            yield batch(1, [used], c[used])
-            yield pa.RecordBatch.from_pylist([{"lang": lang, "k": 0, "phrase": "", "c": int(c.sum())}], ARROW)
-        x, y = w[:-1], w[1:]
-        both = (x > 0) & (y > 0)
-        wide = len(names)
-        triple = both[:-1] & both[1:]
-        if new is None:
-            pairs, triples = both, triple
-        else:
-            h = _word_hashes(lang, names)
-
-            def parts(f: Filter) -> tuple[np.ndarray, np.ndarray]:
-                known = f.holds(h)
-                pair = both & known[x] & known[y]
-                held = np.zeros(len(pair), bool)
-                at_pair = np.flatnonzero(pair)
-                held[at_pair] = f.holds(_pair_hash(h[x[at_pair]], h[y[at_pair]]))
-                return pair, triple & held[:-1] & held[1:]
-
-            pairs, triples = parts(new)
-            if old is not None:
-                before = parts(old)
-                pairs, triples = pairs & ~before[0], triples & ~before[1]
-        here = np.flatnonzero(pairs[:n])
-        keys, c = np.unique(x[here] * wide + y[here], return_counts=True)
-        if len(keys):
-            yield batch(2, [keys // wide, keys % wide], c)
-        here = np.flatnonzero(triples[:n])
-        keys, c = np.unique((x[here] * wide + y[here]) * wide + w[here + 2], return_counts=True)
-        if len(keys):
-            yield batch(3, [keys // wide // wide, keys // wide % wide, keys % wide], c)
-
-
-def _counted(texts: DataFrame, words: bool = True, old=None, new=None) -> DataFrame:
-    """Counts of phrases over ``texts`` (lang, text); the bits of the filters are broadcast variables of at most 64 MB."""
+        self.lang, self.n = lang, min(STEP, len(tokens))
+        self.w = np.fromiter(map(code.__getitem__, tokens), np.int64, len(tokens))
+        self.names = list(code)
+        self.h = _word_hashes(lang, self.names)
+        self.x, self.y = self.w[:-1], self.w[1:]
+        self.pair = (self.x > 0) & (self.y > 0)
+        self.triple = self.pair[:-1] & self.pair[1:]
+        self.ph = _pair_hash(self.h[self.x], self.h[self.y])
+
+    def known(self, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of words that the filters hold, and triples of pairs of such words that they hold."""
+        words = _held(filters, self.h)
+        pair = self.pair & words[self.x] & words[self.y]
+        at, held = np.flatnonzero(pair), np.zeros(len(pair), bool)
+        held[at] = _held(filters, self.ph[at])
+        return pair, self.triple & held[:-1] & held[1:]
+
+    def opened(self, old: list[np.ndarray], new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``known`` finds with one more filter, and did not without."""
+        before = _held(old, self.h)
+        words = before | _held([new], self.h)
+        fresh = words & ~before
+        pair = self.pair & words[self.x] & words[self.y]
+        at, touched = np.flatnonzero(pair), np.zeros(len(pair), bool)
+        touched[at] = _held([new], self.ph[at])
+        first = pair & (fresh[self.x] | fresh[self.y])
+        changed = touched | first
+        triple = np.zeros(len(self.triple), bool)
+        at = np.flatnonzero(self.triple & pair[:-1] & pair[1:] & (changed[:-1] | changed[1:]))
+        was = now = True
+        for i in (at, at + 1):
+            held = _held(old, self.ph[i])
+            was, now = was & held & before[self.x[i]] & before[self.y[i]], now & (held | touched[i])
+        triple[at] = now & ~was
+        return first, triple
+
+    def triple_hash(self, at: np.ndarray) -> np.ndarray:
+        return _pair_hash(self.ph[at], self.h[self.w[at + 2]])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    for lang, texts in _texts(batches):
+        words = tokens(texts)
+        for at in range(0, len(words), STEP):
+            yield Part(lang, words[at : at + STEP + 2])
+
+
+def _hash_counts(part: Part, filters: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Hashes of words, pairs and, with filters, triples (k, h, c); with filters only of phrases whose parts they hold."""
+    c = np.bincount(part.w[: part.n], minlength=len(part.names))
+    c[0] = 0
+    found = [(1, part.h[c > 0], c[c > 0])]
+    pair, triple = (part.pair, None) if filters is None else part.known(filters)
+    found.append((2, *np.unique(part.ph[np.flatnonzero(pair[: part.n])], return_counts=True)))
+    if triple is not None:
+        found.append((3, *np.unique(part.triple_hash(np.flatnonzero(triple[: part.n])), return_counts=True)))
+    for k, h, c in found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["k", "h", "c"])
+
+
+def _phrase_counts(part: Part, words: np.ndarray | None, pair: np.ndarray, triple: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of phrases as text (lang, k, phrase, c): the words asked for with the sum of all under k = 0, and pairs and triples at these positions."""
+    strings = pa.array(part.names, pa.binary())
+    wide = len(part.names)
+
+    def batch(k: int, keys: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
+        phrase = [strings.take(pa.array(x)) for x in keys]
+        phrase = pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.binary())) if k > 1 else phrase[0]
+        lang = pa.array([part.lang], pa.string()).take(pa.array(np.zeros(len(c), np.int32)))
+        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(c), k, np.int32)), phrase.cast(pa.string()), pa.array(c, pa.int64())], schema=ARROW)
+
+    if words is not None:
+        c = np.bincount(part.w[: part.n], minlength=wide)
+        c[0] = 0
+        used = np.flatnonzero(words & (c > 0))
+        yield batch(1, [used], c[used])
+        yield pa.RecordBatch.from_pylist([{"lang": part.lang, "k": 0, "phrase": "", "c": int(c.sum())}], ARROW)
+    keys, c = np.unique(part.x[pair] * wide + part.y[pair], return_counts=True)
+    yield batch(2, [keys // wide, keys % wide], c)
+    keys, c = np.unique((part.x[triple] * wide + part.y[triple]) * wide + part.w[triple + 2], return_counts=True)
+    yield batch(3, [keys // wide // wide, keys // wide % wide, keys % wide], c)
+
+
+def _hash_sums(texts: DataFrame, least: int, filters: list | None) -> DataFrame:
+    """(k, h, c) of the hashes that occur ``least`` times; filters are broadcast variables of at most 64 MB."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [f and Filter(f.value) for f in (old, new)]
-        for lang, part in _texts(batches):
-            yield from _counts(lang, part, words, *filters)
+        for part in _parts(batches):
+            yield from _hash_counts(part, filters and [f.value for f in filters])
 
-    return texts.mapInArrow(of, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(of, "k int, h long, c long").groupBy("k", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
-def _hashes(lang: list[str], phrases: list[str]) -> np.ndarray:
-    out = np.empty(len(phrases), np.uint64)
-    for n, (l, p) in enumerate(zip(lang, phrases)):
-        h = _word_hashes(l, p.encode().split(b" "))
-        out[n] = h[0] if len(h) == 1 else _pair_hash(h[:1], h[1:])[0]
-    return out
+def _phrase_sums(texts: DataFrame, least: int, old: list, new, worth=None) -> DataFrame:
+    """(lang, k, phrase, c) of phrases that occur ``least`` times: those that ``new`` opens, and with ``worth`` all it holds of what ``old`` knows."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = [f.value for f in old]
+        for part in _parts(batches):
+            words = None
+            pair, triple = (np.flatnonzero(m[: part.n]) for m in part.opened(before, new.value))
+            if worth is not None:
+                words = _held([worth.value], part.h)
+                at, at3 = (np.flatnonzero(m[: part.n]) for m in part.known(before))
+                pair = np.concatenate([pair, at[_held([worth.value], part.ph[at])]])
+                triple = np.concatenate([triple, at3[_held([worth.value], part.triple_hash(at3))]])
+            yield from _phrase_counts(part, words, pair, triple)
 
+    counts = texts.mapInArrow(of, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
+    return counts.where((F.col("c") >= least) | (F.col("k") == 0))
 
-def _filled(phrases: DataFrame, bits: np.ndarray) -> np.ndarray:
-    """``bits`` and those of words and pairs (lang, phrase), which are set in a distributed aggregate."""
-    size = 8 * len(bits)
+
+def _outside(hashes: DataFrame, filters: list) -> DataFrame:
+    """Hashes that no filter holds."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = np.concatenate(_slots(_hashes(b.column("lang").to_pylist(), b.column("phrase").to_pylist()), size))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots))], names=["slot"])
+            yield b.filter(pa.array(~_held([f.value for f in filters], b.column("h").to_numpy().view(np.uint64))))
 
-    slot = F.col("slot") + 1  # bits of the built-in bitmaps are numbered from 1
-    rows = phrases.select("lang", "phrase").mapInArrow(of, "slot long").groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = bits.copy()
-    for r in rows.collect():  # at most 64 MB in all
-        part = np.frombuffer(r.bits, np.uint8)
-        out[(r.bucket - 1) * len(part) : r.bucket * len(part)] |= part
-    return out
+    return hashes.select("h").mapInArrow(of, "h long")
 
 
-def _outside(phrases: DataFrame, known) -> DataFrame:
-    """Words and pairs that the filter does not hold."""
+def _hashed(phrases: DataFrame) -> DataFrame:
+    """Hashes (h) of words and pairs (lang, phrase)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = Filter(known.value).holds(_hashes(b.column("lang").to_pylist(), b.column("phrase").to_pylist()))
-            yield b.filter(pa.array(~held))
+            out = np.empty(b.num_rows, np.uint64)
+            for n, (lang, phrase) in enumerate(zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist())):
+                h = _word_hashes(lang, phrase.encode().split(b" "))
+                out[n] = h[0] if len(h) == 1 else _pair_hash(h[:1], h[1:])[0]
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(of, "h long")
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A filter of hashes (h); the bits are set in a distributed aggregate."""
+    power = min(max(BITS.start, (16 * hashes.count()).bit_length()), BITS.stop - 1)
 
-    return phrases.select("lang", "phrase").mapInArrow(of, "lang string, phrase string")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = np.concatenate(_slots(b.column("h").to_numpy().view(np.uint64), 1 << power))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots))], names=["slot"])
+
+    slot = F.col("slot") + 1  # bits of the built-in bitmaps are numbered from 1
+    rows = hashes.select("h").mapInArrow(of, "slot long").groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(1 << power >> 3, np.uint8)
+    for r in rows.collect():  # at most 64 MB in all
+        part = np.frombuffer(r.bits, np.uint8)
+        out[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
+    return out
 
 
 def frequent(texts: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
     """(lang, k, phrase, c) of all phrases of one to three words with at least ``least`` occurrences; k = 0 holds all words of a language."""
     context = texts.sparkSession.sparkContext
     sampled = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(sample)) == 0)
-    proposed = checkpointed(_counted(sampled).where((F.col("k") > 0) & (F.col("k") < 3) & (F.col("c") >= max(2, 4 * least // (5 * sample)))))
-    power = min(max(BITS.start, (16 * proposed.count()).bit_length()), BITS.stop - 1)
-    bits = _filled(proposed, np.zeros(1 << power >> 3, np.uint8))
-    shared = context.broadcast(bits)
+    proposed = checkpointed(_hash_sums(sampled, max(2, 4 * least // (5 * sample)), None))
+    filters = [context.broadcast(_filter(proposed))]
     # Words all count: they are the border of the empty phrase.
-    found = checkpointed(_counted(texts, True, None, shared).where((F.col("c") >= least) | (F.col("k") == 0)))
-    passes = found
+    sums = checkpointed(_hash_sums(texts, least, filters))
+    worth = context.broadcast(_filter(sums))
+    failed = checkpointed(_outside(sums.where("k < 3"), filters))
+    new = context.broadcast(_filter(failed))
+    found = passes = checkpointed(_phrase_sums(texts, least, filters, new, worth))
     while True:
-        failed = checkpointed(_outside(passes.where("k in (1, 2)"), shared))
+        filters = [*filters, new]
+        failed = checkpointed(_outside(_hashed(passes.where("k in (1, 2)")), filters))
         if failed.isEmpty():
             return found
-        bits = _filled(failed, bits)
-        old, shared = shared, context.broadcast(bits)
-        passes = checkpointed(_counted(texts, False, old, shared).where(F.col("c") >= least))
+        new = context.broadcast(_filter(failed))
+        passes = checkpointed(_phrase_sums(texts, least, filters, new))
         found = found.unionByName(passes)
 
 

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,10 +77,12 @@ def test_collocation_counts_reach_over_steps_and_texts(spark, monkeypatch):
     texts = [t.encode() for t in phrase_texts(random.Random(6), 20)]
 
     def total():
-        c = Counter()
-        for b in collocations._counts("en", texts, True, None, None):
-            for r in b.to_pylist():
-                c[r["k"], r["phrase"]] += r["c"]
+        c, batch = Counter(), pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": [t.decode() for t in texts]})
+        for part in collocations._parts([batch]):
+            pair, triple = np.flatnonzero(part.pair[: part.n]), np.flatnonzero(part.triple[: part.n])
+            for b in collocations._phrase_counts(part, np.ones(len(part.names), bool), pair, triple):
+                for r in b.to_pylist():
+                    c[r["k"], r["phrase"]] += r["c"]
         return c
 
     whole = total()
@@ -87,14 +91,29 @@ def test_collocation_counts_reach_over_steps_and_texts(spark, monkeypatch):
 
 
 def test_collocation_filter_has_no_false_misses(spark):
-    import numpy as np
-
     rows = [("en", f"w{k}") for k in range(500)] + [("en", f"w{k} v{k % 7}") for k in range(500)]
-    bits = collocations._filled(spark.createDataFrame(rows, "lang string, phrase string"), np.zeros(1 << 17, np.uint8))
-    held = collocations.Filter(bits).holds(collocations._hashes([r[0] for r in rows], [r[1] for r in rows]))
-    assert held.all()
-    other = collocations.Filter(bits).holds(collocations._hashes(["de"] * len(rows), [r[1] for r in rows]))
-    assert other.mean() < 0.05
+    hashes = collocations._hashed(spark.createDataFrame(rows, "lang string, phrase string"))
+    bits = collocations._filter(hashes)
+    held = lambda lang: collocations._held([bits], np.concatenate([collocations._word_hashes(lang, [p.encode()]) for _, p in rows[:500]]))
+    assert held("en").all() and held("de").mean() < 0.05
+    assert collocations._outside(hashes, [spark.sparkContext.broadcast(bits)]).count() == 0
+
+
+def test_opened_phrases_are_the_difference_of_two_filters(spark):
+    rng = random.Random(12)
+    part = collocations.Part("en", collocations.tokens([t.encode() for t in phrase_texts(rng, 30)]))
+    hashes = np.unique(np.concatenate([part.h[1:], part.ph[part.pair]]))
+
+    def bits(share):
+        out = np.zeros(1 << 12 >> 3, np.uint8)  # few bits, so that false hits occur
+        for s in collocations._slots(hashes[np.random.default_rng(share).random(len(hashes)) < share / 10], 1 << 12):
+            np.bitwise_or.at(out, s >> 3, np.left_shift(1, s & 7).astype(np.uint8))
+        return out
+
+    old, new = bits(3), bits(5)
+    after, before, opened = part.known([old, new]), part.known([old]), part.opened([old], new)
+    for a, b, o in zip(after, before, opened):
+        assert (o == (a & ~b)).all() and o.any() and b.any()
 
 
 def test_collocation_query_equals_sql_and_scores_stay_exact(spark, tmp_path):
