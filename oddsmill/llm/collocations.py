@@ -1,9 +1,9 @@
 """Collocations by Toivonen's sampling: phrases that are frequent in a sample and their negative border are counted in full.
 
-The border holds what is not frequent in the sample although all its parts are. Fixed sets of bits (Bloom filters) of the
-sample's frequent words and pairs tell a task which phrases to count: a phrase is counted if its parts are in a filter,
-which covers sample-frequent phrases and border alike; a false hit only counts one more phrase. The full pass counts 64-bit
-hashes; a sum of hashes is never below the count of a phrase, so those that reach the least count are all the phrases worth
+The border holds what is not frequent in the sample although all its parts are. Words are counted in all texts along with the
+sample's pairs. Fixed sets of bits (Bloom filters) of the frequent words and the sample's frequent pairs tell a task which
+phrases to count: a phrase is counted if its parts are in a filter, which covers sample-frequent phrases and border alike; a
+false hit only counts one more phrase. The full pass counts 64-bit hashes; a sum of hashes is never below the count of a phrase, so those that reach the least count are all the phrases worth
 an exact count, and the next pass counts them as text. Words and pairs of the border that turn out frequent make a further
 filter, and what they open is counted in further passes until none is left outside. All counts that are reported are exact
 counts of whole passes, so sample and hashes decide the work and never the result.
@@ -67,28 +67,29 @@ def _held(filters: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """Texts of one language at a time, about PENDING bytes."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, bool], list[bytes]]]:
+    """Texts of one language, sampled or not, at a time; about PENDING bytes."""
     pending, size, held = defaultdict(list), defaultdict(int), 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+        keys = zip(batch.column("lang").to_pylist(), batch.column("sampled").to_pylist())
+        for key, text in zip(keys, batch.column("text")):
             data = (text.as_py() or "").encode()
-            pending[lang].append(data)
-            size[lang] += len(data) + 1
+            pending[key].append(data)
+            size[key] += len(data) + 1
             held += len(data) + 1
             if held > PENDING:
-                lang = max(size, key=size.get)
-                held -= size.pop(lang)
-                yield lang, pending.pop(lang)
+                key = max(size, key=size.get)
+                held -= size.pop(key)
+                yield key, pending.pop(key)
     yield from pending.items()
 
 
 class Part:
     """Up to STEP words of a language; phrases begin in them and may reach two words further."""
 
-    def __init__(self, lang: str, tokens: list[bytes]):
+    def __init__(self, lang: str, tokens: list[bytes], sampled: bool = True):
         code = defaultdict(count(1).__next__, {b".": 0})
-        self.lang, self.n = lang, min(STEP, len(tokens))
+        self.lang, self.sampled, self.n = lang, sampled, min(STEP, len(tokens))
         self.w = np.fromiter(map(code.__getitem__, tokens), np.int64, len(tokens))
         self.names = list(code)
         self.h = _word_hashes(lang, self.names)
@@ -129,21 +130,24 @@ class Part:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
-    for lang, texts in _texts(batches):
+    for (lang, sampled), texts in _texts(batches):
         words = tokens(texts)
         for at in range(0, len(words), STEP):
-            yield Part(lang, words[at : at + STEP + 2])
-
-
-def _hash_counts(part: Part, filters: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """Hashes of words, pairs and, with filters, triples (k, h, c); with filters only of phrases whose parts they hold."""
-    c = np.bincount(part.w[: part.n], minlength=len(part.names))
-    c[0] = 0
-    found = [(1, part.h[c > 0], c[c > 0])]
-    pair, triple = (part.pair, None) if filters is None else part.known(filters)
-    found.append((2, *np.unique(part.ph[np.flatnonzero(pair[: part.n])], return_counts=True)))
-    if triple is not None:
-        found.append((3, *np.unique(part.triple_hash(np.flatnonzero(triple[: part.n])), return_counts=True)))
+            yield Part(lang, words[at : at + STEP + 2], sampled)
+
+
+def _hash_counts(part: Part, pairs: bool, filters: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Hashes of phrases (k, h, c): words and, if asked for, pairs; with filters, pairs and triples whose parts they hold instead."""
+    found = []
+    if filters is None:
+        c = np.bincount(part.w[: part.n], minlength=len(part.names))
+        c[0] = 0
+        found.append((1, part.h[c > 0], c[c > 0]))
+    if pairs:
+        pair, triple = part.known(filters) if filters is not None else (part.pair, None)
+        found.append((2, *np.unique(part.ph[np.flatnonzero(pair[: part.n])], return_counts=True)))
+        if triple is not None:
+            found.append((3, *np.unique(part.triple_hash(np.flatnonzero(triple[: part.n])), return_counts=True)))
     for k, h, c in found:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["k", "h", "c"])
 
@@ -171,12 +175,15 @@ def _phrase_counts(part: Part, words: np.ndarray | None, pair: np.ndarray, tripl
     yield batch(3, [keys // wide // wide, keys // wide % wide, keys % wide], c)
 
 
-def _hash_sums(texts: DataFrame, least: int, filters: list | None) -> DataFrame:
-    """(k, h, c) of the hashes that occur ``least`` times; filters are broadcast variables of at most 64 MB."""
+def _hash_sums(texts: DataFrame, least: Column, filters: list | None = None) -> DataFrame:
+    """(k, h, c) of the hashes that occur ``least`` times; filters are broadcast variables of at most 64 MB.
+
+    Without filters: words of all texts and pairs of those ``sampled``. With filters: pairs and triples whose parts they hold.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            yield from _hash_counts(part, filters and [f.value for f in filters])
+            yield from _hash_counts(part, part.sampled, filters and [f.value for f in filters])
 
     return texts.mapInArrow(of, "k int, h long, c long").groupBy("k", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
@@ -246,11 +253,12 @@ def _filter(hashes: DataFrame) -> np.ndarray:
 def frequent(texts: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
     """(lang, k, phrase, c) of all phrases of one to three words with at least ``least`` occurrences; k = 0 holds all words of a language."""
     context = texts.sparkSession.sparkContext
-    sampled = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(sample)) == 0)
-    proposed = checkpointed(_hash_sums(sampled, max(2, 4 * least // (5 * sample)), None))
+    chosen = texts.withColumn("sampled", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(sample)) == 0)
+    texts = texts.withColumn("sampled", F.lit(True))
+    # All words count: they are the border of the empty phrase. Pairs are proposed with a lower bar in proportion.
+    proposed = checkpointed(_hash_sums(chosen, F.when(F.col("k") == 1, least).otherwise(max(2, 4 * least // (5 * sample)))))
     filters = [context.broadcast(_filter(proposed))]
-    # Words all count: they are the border of the empty phrase.
-    sums = checkpointed(_hash_sums(texts, least, filters))
+    sums = checkpointed(proposed.where("k = 1").unionByName(_hash_sums(texts, F.lit(least), filters)))
     worth = context.broadcast(_filter(sums))
     failed = checkpointed(_outside(sums.where("k < 3"), filters))
     new = context.broadcast(_filter(failed))

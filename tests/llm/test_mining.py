@@ -77,7 +77,7 @@ def test_collocation_counts_reach_over_steps_and_texts(spark, monkeypatch):
     texts = [t.encode() for t in phrase_texts(random.Random(6), 20)]
 
     def total():
-        c, batch = Counter(), pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": [t.decode() for t in texts]})
+        c, batch = Counter(), pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": [t.decode() for t in texts], "sampled": [True] * len(texts)})
         for part in collocations._parts([batch]):
             pair, triple = np.flatnonzero(part.pair[: part.n]), np.flatnonzero(part.triple[: part.n])
             for b in collocations._phrase_counts(part, np.ones(len(part.names), bool), pair, triple):
