@@ -29,8 +29,8 @@ CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d\x09",
 LEAST = 10  # occurrences of a phrase
 HELD = 50  # a phrase is dropped if a longer one has so many per cent of its occurrences
 SAMPLE = 4  # one text in so many proposes phrases
-PENDING = 4 << 20  # bytes of text of a language that are counted together
-STEP = 1 << 18  # words that are numbered and counted together
+PENDING = 1 << 20  # bytes of text of a language that are counted together
+STEP = 1 << 16  # words that are numbered and counted together
 BITS = range(20, 30)  # a filter has 2**20 to 2**29 bits (64 MB), about 16 for each phrase in it
 
 COUNTS = "lang string, k int, phrase string, c long"
