@@ -29,10 +29,11 @@ CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d\x09",
 LEAST = 10  # occurrences of a phrase
 HELD = 50  # a phrase is dropped if a longer one has so many per cent of its occurrences
 SAMPLE = 4  # one text in so many proposes phrases
-PENDING = 1 << 20  # bytes of text of a language that are counted together
-STEP = 1 << 16  # words that are numbered and counted together
+PENDING = 2 << 20  # bytes of text of a language that are counted together
+STEP = 1 << 17  # words that are numbered and counted together
 BITS = range(20, 30)  # a filter has 2**20 to 2**29 bits (64 MB), about 16 for each phrase in it
 
+OF_WORD = "h & 3 = 1"  # the lowest bits of a hash: its words
 COUNTS = "lang string, k int, phrase string, c long"
 ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
 
@@ -42,20 +43,25 @@ def tokens(texts: list[bytes]) -> list[bytes]:
     return b".".join(texts).translate(CLEAN).replace(b".", b" . ").split()
 
 
-def _pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _marked(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes whose two lowest bits say of how many words they are."""
+    return (hashes & ~np.uint64(3)) | np.uint64(k)
+
+
+def _pair_hash(x: np.ndarray, y: np.ndarray, k: int = 2) -> np.ndarray:
     z = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (y + np.uint64(0x632BE59BD9B4E019))
     z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return z ^ (z >> np.uint64(32))
+    return _marked(z ^ (z >> np.uint64(32)), k)
 
 
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = zlib.crc32(lang.encode())
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return _marked(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words)), 1)
 
 
 def _slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
     """The two bits, of ``size`` (a power of two), that stand for each hash."""
-    return [(h & np.uint64(size - 1)).astype(np.int64) for h in (hashes, hashes >> np.uint64(32))]
+    return [(h & np.uint64(size - 1)).astype(np.int64) for h in (hashes >> np.uint64(2), hashes >> np.uint64(34))]
 
 
 def _held(filters: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
@@ -126,7 +132,7 @@ class Part:
         return first, triple
 
     def triple_hash(self, at: np.ndarray) -> np.ndarray:
-        return _pair_hash(self.ph[at], self.h[self.w[at + 2]])
+        return _pair_hash(self.ph[at], self.h[self.w[at + 2]], 3)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
@@ -137,19 +143,19 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
 
 
 def _hash_counts(part: Part, pairs: bool, filters: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """Hashes of phrases (k, h, c): words and, if asked for, pairs; with filters, pairs and triples whose parts they hold instead."""
+    """Hashes of phrases (h, c): words and, if asked for, pairs; with filters, pairs and triples whose parts they hold instead."""
     found = []
     if filters is None:
         c = np.bincount(part.w[: part.n], minlength=len(part.names))
         c[0] = 0
-        found.append((1, part.h[c > 0], c[c > 0]))
+        found.append((part.h[c > 0], c[c > 0]))
     if pairs:
         pair, triple = part.known(filters) if filters is not None else (part.pair, None)
-        found.append((2, *np.unique(part.ph[np.flatnonzero(pair[: part.n])], return_counts=True)))
+        found.append(np.unique(part.ph[np.flatnonzero(pair[: part.n])], return_counts=True))
         if triple is not None:
-            found.append((3, *np.unique(part.triple_hash(np.flatnonzero(triple[: part.n])), return_counts=True)))
-    for k, h, c in found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["k", "h", "c"])
+            found.append(np.unique(part.triple_hash(np.flatnonzero(triple[: part.n])), return_counts=True))
+    for h, c in found:
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
 
 
 def _phrase_counts(part: Part, words: np.ndarray | None, pair: np.ndarray, triple: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -176,7 +182,7 @@ def _phrase_counts(part: Part, words: np.ndarray | None, pair: np.ndarray, tripl
 
 
 def _hash_sums(texts: DataFrame, least: Column, filters: list | None = None) -> DataFrame:
-    """(k, h, c) of the hashes that occur ``least`` times; filters are broadcast variables of at most 64 MB.
+    """(h, c) of the hashes that occur ``least`` times; filters are broadcast variables of at most 64 MB.
 
     Without filters: words of all texts and pairs of those ``sampled``. With filters: pairs and triples whose parts they hold.
     """
@@ -185,7 +191,7 @@ def _hash_sums(texts: DataFrame, least: Column, filters: list | None = None) ->
         for part in _parts(batches):
             yield from _hash_counts(part, part.sampled, filters and [f.value for f in filters])
 
-    return texts.mapInArrow(of, "k int, h long, c long").groupBy("k", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return texts.mapInArrow(of, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def _phrase_sums(texts: DataFrame, least: int, old: list, new, worth=None) -> DataFrame:
@@ -256,11 +262,11 @@ def frequent(texts: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> Data
     chosen = texts.withColumn("sampled", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(sample)) == 0)
     texts = texts.withColumn("sampled", F.lit(True))
     # All words count: they are the border of the empty phrase. Pairs are proposed with a lower bar in proportion.
-    proposed = checkpointed(_hash_sums(chosen, F.when(F.col("k") == 1, least).otherwise(max(2, 4 * least // (5 * sample)))))
+    proposed = checkpointed(_hash_sums(chosen, F.when(F.expr(OF_WORD), least).otherwise(max(2, 4 * least // (5 * sample)))))
     filters = [context.broadcast(_filter(proposed))]
-    sums = checkpointed(proposed.where("k = 1").unionByName(_hash_sums(texts, F.lit(least), filters)))
+    sums = checkpointed(proposed.where(OF_WORD).unionByName(_hash_sums(texts, F.lit(least), filters)))
     worth = context.broadcast(_filter(sums))
-    failed = checkpointed(_outside(sums.where("k < 3"), filters))
+    failed = checkpointed(_outside(sums.where("h & 3 < 3"), filters))
     new = context.broadcast(_filter(failed))
     found = passes = checkpointed(_phrase_sums(texts, least, filters, new, worth))
     while True:
@@ -275,21 +281,23 @@ def frequent(texts: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> Data
 
 def _cut(freq: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, score) of every frequent phrase of two or three words at its lowest-scoring cut."""
+
     def part(n: int) -> Column:
         return F.substring_index("phrase", " ", n)
 
-    phrases = freq.where("k > 1").select(
-        "lang", "phrase", F.col("c").alias("a"),
-        F.explode(F.when(F.col("k") == 2, F.array(F.struct(F.lit(1).alias("cut"), part(1).alias("left"), part(-1).alias("right"))))
-                  .otherwise(F.array(*[F.struct(F.lit(n).alias("cut"), part(n).alias("left"), part(n - 3).alias("right")) for n in (1, 2)]))).alias("p"))
-    phrases = phrases.select("lang", "phrase", "a", "p.*")
+    def at_cuts(k: int) -> DataFrame:
+        cuts = [F.struct(F.lit(n).alias("cut"), part(n).alias("left"), part(n - k).alias("right")) for n in range(1, k)]
+        return freq.where(F.col("k") == k).select("lang", "phrase", F.col("c").alias("a"), F.inline(F.array(*cuts)))
+
     counts = freq.where("k in (1, 2)")
-    sides = phrases.join(counts.select("lang", F.col("phrase").alias("left"), F.col("c").alias("l")), ["lang", "left"]).join(
-        counts.select("lang", F.col("phrase").alias("right"), F.col("c").alias("r")), ["lang", "right"])
+    left = counts.select("lang", F.col("phrase").alias("left"), F.col("c").alias("l"))
+    right = counts.select("lang", F.col("phrase").alias("right"), F.col("c").alias("r"))
     # l and r are at least a, so no score exceeds 1000000; the products pass 64 bits and stay exact up to 10**15 occurrences.
     score = F.expr("cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * cast(1000000 as decimal(7,0)) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0)))")
-    best = F.min(F.struct(score.alias("score"), "cut", "l", "r"))
-    return sides.groupBy("lang", "phrase", "a").agg(best.alias("s")).select("lang", "phrase", "a", "s.l", "s.r", "s.score")
+    pairs, triples = (at_cuts(k).join(left, ["lang", "left"]).join(right, ["lang", "right"]).withColumn("score", score) for k in (2, 3))
+    best = triples.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s"))
+    out = ["lang", "phrase", "a", "l", "r", "score"]
+    return pairs.select(*out).unionByName(best.select("lang", "phrase", "a", "s.l", "s.r", "s.score"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, held: int = HELD, sample: int = SAMPLE) -> DataFrame:

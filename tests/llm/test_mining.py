@@ -110,7 +110,7 @@ def test_opened_phrases_are_the_difference_of_two_filters(spark):
             np.bitwise_or.at(out, s >> 3, np.left_shift(1, s & 7).astype(np.uint8))
         return out
 
-    old, new = bits(3), bits(5)
+    old, new = bits(6), bits(5)
     after, before, opened = part.known([old, new]), part.known([old]), part.opened([old], new)
     for a, b, o in zip(after, before, opened):
         assert (o == (a & ~b)).all() and o.any() and b.any()
