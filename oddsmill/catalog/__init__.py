@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("series", "ingest", "trading", "monitoring", "streaming")
+MODULES = ("series", "ingest", "trading", "monitoring", "streaming", "loads")
 
 
 def load():

@@ -84,8 +84,8 @@ def book_metrics_from_arrays(books: DataFrame) -> DataFrame:
     )
 
 
-def trade_bars(trades: DataFrame, interval: str = "1h", min_ts: int | None = None) -> DataFrame:
-    """Tumbling volume bars per asset: trades (asset_id, ts, price, size, side).
+def trade_bars(trades: DataFrame, interval: str = "1h", min_ts: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Tumbling volume bars per asset, and per the columns ``by``: trades (asset_id, ts, price, size, side).
 
     A window start is floored to the interval, so that an incremental reload never replaces a full first bar by a
     partial one. One aggregation with map-side combine; the shuffle carries bars, not trades.
@@ -94,13 +94,13 @@ def trade_bars(trades: DataFrame, interval: str = "1h", min_ts: int | None = Non
     price, size = to_double("price"), to_double("size")
     side = F.lower(F.trim(F.coalesce("side", F.lit(""))))
     rows = trades.select(
-        F.col("asset_id").cast("string").alias("asset_id"), "ts", price.alias("p"), size.alias("v"), side.alias("side")
+        F.col("asset_id").cast("string").alias("asset_id"), "ts", price.alias("p"), size.alias("v"), side.alias("side"), *by
     ).where("p > 0 and v > 0 and ts is not null")
     if min_ts is not None:
         rows = rows.where(F.col("ts") >= min_ts - min_ts % n)
     zero = F.lit(0.0)
     return (
-        rows.groupBy("asset_id", floor_to("ts", n).alias("ts"))
+        rows.groupBy("asset_id", floor_to("ts", n).alias("ts"), *by)
         .agg(
             F.sum("v").alias("volume"),
             F.count(F.lit(1)).alias("trade_count"),
@@ -108,7 +108,7 @@ def trade_bars(trades: DataFrame, interval: str = "1h", min_ts: int | None = Non
             F.sum(F.when(F.col("side") == "sell", F.col("v")).otherwise(zero)).alias("sell_volume"),
             (F.sum(F.col("p") * F.col("v")) / F.sum("v")).alias("vwap"),
         )
-        .select("asset_id", "ts", F.lit(interval).alias("interval"), "volume", "trade_count", "buy_volume", "sell_volume", "vwap")
+        .select("asset_id", "ts", F.lit(interval).alias("interval"), "volume", "trade_count", "buy_volume", "sell_volume", "vwap", *by)
     )
 
 

@@ -217,8 +217,8 @@ TRADE_TIME = ("timestamp", "ts", "time", "createdAt")
 TRADE_SIZE = ("size", "amount", "volume", "shares")
 
 
-def normalize_trades(payloads: DataFrame) -> DataFrame:
-    """payloads: asset_id, trade (VARIANT) -> asset_id, ts, price, size, side (bad values null)."""
+def normalize_trades(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """payloads: asset_id, trade (VARIANT) -> asset_id, ts, price, size, side (bad values null), and the columns ``keep``."""
     t = F.col("trade")
     return payloads.where(raw.is_object(t)).select(
         F.col("asset_id").cast("string").alias("asset_id"),
@@ -226,6 +226,7 @@ def normalize_trades(payloads: DataFrame) -> DataFrame:
         raw.float_of(F.coalesce(*[raw.field(t, k) for k in ("price", "p")])).alias("price"),
         raw.float_of(F.coalesce(*[raw.field(t, k) for k in TRADE_SIZE])).alias("size"),
         F.lower(F.trim(F.coalesce(raw.text(raw.field(t, "side")), F.lit("")))).alias("side"),
+        *keep,
     )
 
 

@@ -108,6 +108,7 @@ class TableSpec:
     keys: tuple[str, ...]
     sort: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
+    time: str = "ts"  # seconds whose day a table is partitioned by
 
 
 # Keys and sort orders of the stored tables.
@@ -116,8 +117,8 @@ TABLES = {
     "markets": TableSpec(MARKETS, ("market_id",), ("market_id",)),
     "tokens": TableSpec(TOKENS, ("market_id", "asset_id"), ("market_id", "asset_id")),
     "price_history": TableSpec(PRICES, ("asset_id", "ts", "interval"), ("asset_id", "ts"), ("dt",)),
-    "volume_bars": TableSpec(BARS, ("asset_id", "ts", "interval"), ("asset_id", "ts")),
-    "orderbook_snapshots": TableSpec(BOOKS, ("asset_id", "snapshot_ts"), ("snapshot_ts", "asset_id")),
+    "volume_bars": TableSpec(BARS, ("asset_id", "ts", "interval"), ("asset_id", "ts"), ("dt",)),
+    "orderbook_snapshots": TableSpec(BOOKS, ("asset_id", "snapshot_ts"), ("asset_id", "snapshot_ts"), ("dt",), "snapshot_ts"),
     "resolutions": TableSpec(RESOLUTIONS, ("market_id",), ("market_id",)),
     "signals": TableSpec(SIGNALS, ("signal_name", "asset_id", "market_id", "ts"), ("ts", "signal_name", "asset_id")),
     "trade_candidates": TableSpec(

@@ -62,6 +62,9 @@ class Canon:
 
     @cached_property
     def trades(self) -> DataFrame:
+        return self.trades_with_seq().drop("seq")
+
+    def trades_with_seq(self) -> DataFrame:
         kind = F.col("event_type")
         return self.table("events").select(
             F.col("user_id").cast("string").alias("asset_id"),
@@ -69,6 +72,7 @@ class Canon:
             F.least(F.col("value") / 200, F.lit(1.0)).alias("price"),
             F.col("value").alias("size"),
             F.when(kind.isin("click", "purchase"), "buy").when(kind.isin("view", "error"), "sell").otherwise("other").alias("side"),
+            F.col("event_id").alias("seq"),
         )
 
     @cached_property

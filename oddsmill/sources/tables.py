@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from oddsmill.plans.keep import keep_last
-from oddsmill.schemas import DAY, FEATURES, TABLES
+from oddsmill.schemas import DAY, FEATURES, TABLES, TableSpec
 
 
 class MissingInputs(FileNotFoundError):
@@ -77,7 +77,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, name: str, seq: str |
     if present and new.isEmpty():
         return spark.read.parquet(path)
     if spec.partition_by == ("dt",):
-        return _upsert_by_day(spark, path, new, spec.keys, seq, present)
+        return _upsert_by_day(spark, path, new, spec, seq, present)
     old = spark.read.parquet(path) if present else None
     merged = merge_keep_last(old, new, spec.keys, seq)
     order = [c for c in spec.sort if c in merged.columns]
@@ -85,18 +85,16 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, name: str, seq: str |
     return spark.read.parquet(path)
 
 
-def _upsert_by_day(spark: SparkSession, path: str, new: DataFrame, keys: tuple[str, ...], seq: str | None, present: bool) -> DataFrame:
-    """Only the days the batch touches are read, merged and rewritten."""
-    dated = new.withColumn("dt", F.to_date(F.timestamp_seconds((F.floor(F.col("ts") / DAY) * DAY).cast("bigint"))))
+def _upsert_by_day(spark: SparkSession, path: str, new: DataFrame, spec: TableSpec, seq: str | None, present: bool) -> DataFrame:
+    """Only the days the batch touches are read, merged and rewritten; days of any size are cut into files by their bytes."""
+    dated = new.withColumn("dt", F.to_date(F.timestamp_seconds((F.floor(F.col(spec.time) / DAY) * DAY).cast("bigint"))))
     old = None
     if present:
         days = [r["dt"] for r in dated.select("dt").distinct().collect()]  # one value per day of the batch
         old = spark.read.parquet(path).where(F.col("dt").isin(days))
-    merged = merge_keep_last(old, dated, keys, seq)
+    merged = merge_keep_last(old, dated, spec.keys, seq)
     stage = path + "._stage"
-    merged.repartition("dt", F.pmod(F.xxhash64("asset_id"), F.lit(16))).sortWithinPartitions("dt", "asset_id", "ts").write.mode(
-        "overwrite"
-    ).partitionBy("dt").parquet(stage)
+    merged.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", *spec.sort).write.mode("overwrite").partitionBy("dt").parquet(stage)
     # The staged rows are complete on disk, so an interrupted copy can simply be repeated.
     spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
     fs, p = _fs(spark, stage)
@@ -123,8 +121,8 @@ def check_inputs(spark: SparkSession, root: str) -> list[str]:
 
 
 def write_raw_by(df: DataFrame, path: str, key: str) -> None:
-    """Raw rows in one folder per key; hot keys are spread over several files."""
-    df.repartition(key, F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("append").partitionBy(key).parquet(path)
+    """Raw rows in one folder per key; a key that holds many bytes is cut into several files, small ones share a task."""
+    df.hint("rebalance", F.col(key)).write.mode("append").partitionBy(key).parquet(path)
 
 
 def feature_metadata(spark: SparkSession) -> DataFrame:
