@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from oddsmill.plans.quantiles import exact_quantiles
+from oddsmill.plans.selection import global_quantiles
 from oddsmill.schemas import DAY
 
 # Columns that may be mostly null by design.
@@ -154,7 +154,7 @@ def price_sanity(prices: DataFrame) -> DataFrame:
         F.count_if(p < 0).alias("below_zero"), F.count_if(p > 1).alias("above_one"), F.count_if(p == 0).alias("at_zero"),
         F.count_if(p == 1).alias("at_one"), F.min(p).alias("min"), F.max(p).alias("max"), F.avg(p).alias("mean"),
     )
-    return row.join(F.broadcast(exact_quantiles(prices, [], "price", {"median": 0.5})), F.lit(True), "left")
+    return row.withColumn("median", F.lit(global_quantiles(prices, "price", {"median": 0.5})["median"]).cast("double"))
 
 
 def feature_profile(features: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

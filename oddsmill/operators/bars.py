@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddsmill.functions.scalars import floor_to, to_double
-from oddsmill.plans.quantiles import exact_quantiles
+from oddsmill.plans.selection import global_quantiles
 from oddsmill.schemas import interval_seconds
 
 DEPTH_BAND = 0.05
@@ -125,12 +125,12 @@ def cadence(prices: DataFrame, interval: str = "1h") -> DataFrame:
     )
     bad = F.count_if(F.col("step_s") < expected * 0.5)
     totals = steps.agg(F.count(F.lit(1)).alias("checked_assets"), bad.alias("mismatch_assets"))
-    median = exact_quantiles(steps, [], "step_s", {"median_step_s": 0.5})
-    return totals.join(median, F.lit(True), "left").select(
+    median = global_quantiles(steps, "step_s", {"median": 0.5})["median"]
+    return totals.select(
         "checked_assets",
         "mismatch_assets",
         F.when(F.col("checked_assets") > 0, F.col("mismatch_assets") / F.nullif("checked_assets", F.lit(0))).otherwise(0.0).alias("mismatch_ratio"),
-        "median_step_s",
+        F.lit(median).cast("double").alias("median_step_s"),
     )
 
 

@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from oddsmill.functions.scalars import tag_from_json, to_double
 from oddsmill.operators.normalize import anchor_tokens
 from oddsmill.plans.asof import canonical_ticks
-from oddsmill.plans.chunked import row_numbers, running_sum
+from oddsmill.plans.ranges import row_numbers, running_sum
 from oddsmill.plans.keep import keep_first, top_per_group
 from oddsmill.plans.quantiles import exact_quantiles
 from oddsmill.schemas import DAY
 
-CHUNK = DAY
 
 
 def price_summary(prices: DataFrame) -> DataFrame:
@@ -147,20 +146,17 @@ def kpis(visible: DataFrame) -> DataFrame:
     )
 
 
-def downsample(series: DataFrame, max_points: int, group: str = "asset_id", chunk: int = CHUNK) -> DataFrame:
+def downsample(series: DataFrame, max_points: int, group: str = "asset_id", ranges: int | None = None) -> DataFrame:
     """Every k-th point of a series (k = points div max_points) and its last point; numbered without a whole-series window."""
-    order = [F.col("ts"), F.col("price")]
-    rows = row_numbers(series, [group], order, F.floor(F.col("ts") / chunk), "_rn", "_n")
+    rows = row_numbers(series, [group], [F.col("ts"), F.col("price")], "_rn", "_n", ranges)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / max_points))
-    regular = (F.col("_n") <= max_points) | ((F.col("_rn") - 1) % step == 0)
-    # The last point is added unless a regular point already has its time.
+    regular = (F.col("_rn") - 1) % step == 0
+    last = F.col("_rn") == F.col("_n")
+    # The last point is added unless the last regular point already has its time.
     last_regular = F.floor((F.col("_n") - 1) / step) * step + 1
-    closing = (F.col("_rn") == F.col("_n")) & (F.col("_n") > max_points)
-    kept = rows.where(regular | closing).withColumn("_extra", closing & ~regular)
-    extra_ok = kept.where("_extra").select(group, F.col("ts").alias("_t"), last_regular.alias("_lr"))
-    shown = rows.join(extra_ok, group).where((F.col("_rn") == F.col("_lr")) & (F.col("ts") == F.col("_t"))).select(group).distinct()
-    tail = kept.where("_extra").join(shown, group, "left_anti")
-    return kept.where(~F.col("_extra")).unionByName(tail).select(*series.columns)
+    ends = rows.where(last | (F.col("_rn") == last_regular)).groupBy(F.col(group).alias("_group")).agg((F.min("ts") < F.max("ts")).alias("_open"))
+    shown = rows.where(regular | last).join(ends, F.col(group).eqNullSafe(F.col("_group")))
+    return shown.where(regular | F.col("_open")).select(*series.columns)
 
 
 def outcome_series(market_id: str, tokens: DataFrame, prices: DataFrame) -> DataFrame:
@@ -229,10 +225,10 @@ def biggest_movers(visible: DataFrame, n: int = 20) -> DataFrame:
 
 
 def pnl_curve(trades: DataFrame) -> DataFrame:
-    """Cumulative profit in order of exit, over chunks of an hour."""
+    """Cumulative profit in order of exit, over ranges of the order."""
     rows = trades.where("exit_ts is not null").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
     order = [F.col(c) for c in ("exit_ts", "signal_name", "market_id", "asset_id")]
-    return running_sum(rows, [], order, F.floor(F.col("exit_ts") / 3600), "pnl", "cum_pnl").select(
+    return running_sum(rows, [], order, "pnl", "cum_pnl").select(
         "signal_name", "market_id", "asset_id", "exit_ts", "pnl", "cum_pnl"
     )
 

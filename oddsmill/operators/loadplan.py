@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oddsmill.functions.scalars import tag_from_json, to_long
 from oddsmill.operators.normalize import anchor_tokens
-from oddsmill.plans.chunked import row_numbers
+from oddsmill.plans.ranges import row_numbers
 from oddsmill.schemas import interval_seconds
 
-PREFIX = 3  # leading characters of an asset id that cut a tag into ordered chunks
 BUCKET_RANK = {"existing": 0, "new_active": 1, "new_inactive": 2}
 
 
@@ -78,39 +77,30 @@ def mark_plan(
     return metadata.withColumn("bucket", bucket).withColumn("fetch_start_ts", start)
 
 
-def _prefix() -> Column:
-    return F.substring("asset_id", 1, PREFIX)
-
-
-def round_robin(rows: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+def round_robin(rows: DataFrame, group: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Adds turn: the k-th asset of a tag is taken in the k-th turn; and tag_order, the tag's least coverage."""
-    numbered = row_numbers(rows, [*group, "primary_tag"], [F.col("asset_id")], _prefix(), "turn")
+    numbered = row_numbers(rows, [*group, "primary_tag"], [F.col("asset_id"), F.col("market_id")], "turn", ranges=ranges)
     least = rows.groupBy(*group, "primary_tag").agg(F.min("tag_coverage").alias("tag_order"))
     return numbered.join(least, [*group, "primary_tag"])
 
 
-def order_plan(plan: DataFrame, priority: str = "history_first") -> DataFrame:
-    """Loadable rows with their 1-based position: existing by watermark, then new active, then new inactive."""
+def order_plan(plan: DataFrame, priority: str = "history_first", ranges: int | None = None) -> DataFrame:
+    """Loadable rows with their 1-based position: existing by watermark, then new active, then new inactive.
+
+    Assets are numbered in ranges of the whole order, so neither one watermark nor ids that begin alike meet in one task.
+    """
     rank = F.create_map(*[F.lit(x) for kv in BUCKET_RANK.items() for x in kv])[F.col("bucket")]
     rows = plan.where(F.col("bucket").isin(*BUCKET_RANK)).withColumn("bucket_rank", rank)
     existing = F.col("bucket") == "existing"
     mark = F.when(existing, F.col("latest_ts"))
     if priority == "category_round_robin":
-        rows = round_robin(rows, ("bucket_rank",))
+        rows = round_robin(rows, ("bucket_rank",), ranges)
         new = [F.when(~existing, F.col(c)) for c in ("turn", "tag_order", "primary_tag")]
-        chunk = [F.floor(new[0] / 256), new[1], new[2]][:1]
     else:
         new = [F.when(~existing, F.col(c)) for c in ("tag_coverage", "primary_tag")]
-        chunk = [*new, _prefix()]
-    order = [F.col("bucket_rank"), mark, *new, F.col("asset_id")]
-    # Chunks refine the order: bucket, then hour of the watermark or the leading sort keys.
-    first = F.struct(
-        F.col("bucket_rank"),
-        F.floor(mark / 3600).alias("h"),
-        *[F.when(~existing, c).alias(f"c{i}") for i, c in enumerate(chunk)],
-    )
+    order = [F.col("bucket_rank"), mark, *new, F.col("asset_id"), F.col("market_id")]
     cols = [*plan.columns, "bucket_rank"]
-    return row_numbers(rows, [], order, first, "position").select(*cols, F.col("position").cast("bigint").alias("position"))
+    return row_numbers(rows, [], order, "position", ranges=ranges).select(*cols, F.col("position").cast("bigint").alias("position"))
 
 
 def plan_counts(plan: DataFrame) -> DataFrame:
