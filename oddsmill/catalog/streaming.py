@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from oddsmill.catalog.registry import query
-from oddsmill.catalog.sqltext import sql
+from oddsmill.catalog.sqltext import cte, sql
 from oddsmill.session import shared_folder
-from oddsmill.sources.adapters import Canon, declared
+from oddsmill.sources import tables
+from oddsmill.sources.adapters import DAY, EPOCH_START, Canon, declared
 from oddsmill.streaming import streams
 
 
@@ -52,3 +53,68 @@ def stream_upserts(c: Canon):
         "asset_id", F.expr("ts - pmod(ts, 86400)").alias("ts"), "price", F.lit("1d").alias("interval"), F.col("seq").alias("ingested_at"))
     streams.keep_last_into(days, f"{folder}/price_history.parquet", "price_history", f"{folder}/checkpoint", "ingested_at").start().awaitTermination()
     return c.spark.read.parquet(f"{folder}/price_history.parquet").select("asset_id", "ts", "price", "ingested_at")
+
+
+# Three landings by day: rows of the tenth day that come with the second one are late, rows of the third day that come with
+# the third one are too late (lateness is two days), and that one repeats rows of the twentieth day with another price.
+cte("t_landed", """
+select *, case when day < 10 and not (day = 9 and seq % 5 = 2) and not (day = 2 and seq % 5 = 3) then 1 when day < 20 and not (day = 2 and seq % 5 = 3) then 2 else 3 end as landing,
+       day = 2 and seq % 5 = 3 as too_late
+from (select t.*, cast(floor((epoch(e.ts) - 1704067200) / 86400) as bigint) as day from t_prices t join events e on e.event_id = t.seq) x""")
+cte("t_arrived", """
+select asset_id, ts, price, seq, landing, too_late from t_landed
+union all select asset_id, ts, price / 2, seq + 1000000000, 3, false from t_landed where day = 19 and seq % 3 = 0""")
+
+
+def landings(c: Canon, rows: DataFrame, repeats: bool, folder: str) -> DataFrame:
+    """Rows (with ts and seq) written as three landings one after the other, as a stream that takes one file per trigger."""
+    day, seq = F.floor((F.col("ts") - EPOCH_START) / DAY), F.col("seq")
+    late, too_late = (day == 9) & (seq % 5 == 2), (day == 2) & (seq % 5 == 3)
+    number = F.when((day < 10) & ~late & ~too_late, 1).when((day < 20) & ~too_late, 2).otherwise(3)
+    again = rows.where((day == 19) & (seq % 3 == 0)).withColumn("price", F.col("price") / 2).withColumn("seq", seq + 1_000_000_000)
+    rows = rows.withColumn("_landing", number)
+    if repeats:
+        rows = rows.unionByName(again.withColumn("_landing", F.lit(3)))
+    for k in (1, 2, 3):
+        # One file per landing, so that a trigger sees a landing whole.
+        rows.where(F.col("_landing") == k).drop("_landing").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    return streams.read_files(c.spark, f"{folder}/landed", rows.drop("_landing").schema, per_trigger=1)
+
+
+@query("stream_corrected_bars", sql(
+    """select asset_id, ts - ts % 3600 as ts, '1h' as interval, sum(size) as volume, count(*) as trade_count,
+              coalesce(sum(size) filter (side = 'buy'), 0) as buy_volume, coalesce(sum(size) filter (side = 'sell'), 0) as sell_volume,
+              sum(price * size) / sum(size) as vwap
+       from (select t.*, e.value as size, case when event_type in ('click', 'purchase') then 'buy' when event_type in ('view', 'error') then 'sell' else 'other' end as side
+             from t_landed t join events e on e.event_id = t.seq) x where price > 0 and size > 0 and not too_late group by 1, 2""",
+    "volume buy_volume sell_volume vwap"))
+def stream_corrected_bars(c: Canon):
+    folder = shared_folder(c.spark)
+    stream = landings(c, c.trades_with_seq(), False, folder)
+    streams.corrected_bars_into(stream, f"{folder}/volume_bars.parquet", f"{folder}/checkpoint", "1h", "2 days").start().awaitTermination()
+    return c.spark.read.parquet(f"{folder}/volume_bars.parquet").drop("dt")
+
+
+@query("stream_last_ticks", sql(
+    """select asset_id, h as ts, arg_max(price, seq) as price from (select *, ts - ts % 3600 as h from t_arrived where not too_late) x
+       where h <= (select max(ts - ts % 3600) from t_arrived) - 172800 group by 1, 2""", "price"))
+def stream_last_ticks(c: Canon):
+    folder = shared_folder(c.spark)
+    stream = landings(c, c.prices, True, folder)
+    ticks = stream.select("asset_id", F.expr("ts - pmod(ts, 3600)").alias("ts"), "price", F.lit("1h").alias("interval"), "seq")
+    return drained(streams.last_ticks(ticks, "2 days")).select("asset_id", "ts", "price")
+
+
+@query("stream_upserts_present", sql(
+    """select asset_id, ts - ts % 86400 as ts, arg_max(price, landing * 10000000000 + seq) as price, cast(arg_max(seq, landing * 10000000000 + seq) as bigint) as ingested_at
+       from t_arrived group by 1, 2""", "price"))
+def stream_upserts_present(c: Canon):
+    """Three micro-batches into a table that is there already; late rows replace what was stored before."""
+    folder = shared_folder(c.spark)
+    table = f"{folder}/price_history.parquet"
+    stored = c.prices.select("asset_id", F.expr("ts - pmod(ts, 86400)").alias("ts"), F.lit(0.0).alias("price"), F.lit("1d").alias("interval"), F.lit(-1).cast("bigint").alias("ingested_at"))
+    tables.upsert(c.spark, table, stored.distinct(), "price_history")
+    days = landings(c, c.prices, True, folder).select(
+        "asset_id", F.expr("ts - pmod(ts, 86400)").alias("ts"), "price", F.lit("1d").alias("interval"), F.col("seq").alias("ingested_at"))
+    streams.keep_last_into(days, table, "price_history", f"{folder}/checkpoint", "ingested_at").start().awaitTermination()
+    return c.spark.read.parquet(table).select("asset_id", "ts", "price", "ingested_at")

@@ -50,6 +50,31 @@ def volume_bars(trades: DataFrame, interval: str = "1h", lateness: str = "2 hour
     )
 
 
+def corrected_bars_into(
+    trades: DataFrame, path: str, checkpoint: str, interval: str = "1h", lateness: str = "2 hours"
+) -> DataStreamWriter:
+    """Bars of an unbounded trade feed in a stored table, open ones included (update mode).
+
+    A trade that comes late, but before the watermark has passed its bar, gives a corrected bar, which replaces the stored
+    one; later trades are dropped. The state holds the bars the watermark has not passed. A replayed batch merges the same bars.
+    """
+    def merge(batch: DataFrame, _: int) -> None:
+        upsert(batch.sparkSession, path, batch, "volume_bars")
+
+    bars = volume_bars(trades, interval, lateness)
+    return bars.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def last_ticks(ticks: DataFrame, lateness: str = "2 hours", seq: str = "seq") -> DataFrame:
+    """Price per (asset, second, interval) as the row with the largest ``seq`` gave it before the watermark passed (append mode).
+
+    A tick is final and leaves the state once the watermark has passed its second; until then late and repeated rows count.
+    """
+    rows = ticks.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", lateness)
+    last = rows.groupBy("asset_id", "interval", "at").agg(F.max_by("price", seq).alias("price"))
+    return last.select("asset_id", F.unix_timestamp("at").alias("ts"), "price", "interval")
+
+
 def distinct_ticks(ticks: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """First arrival per (asset, second, interval); for feeds whose repeats are exact. Where a repeat may carry another price,
     ``keep_last_into`` decides by arrival instead."""
