@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddsmill.plans.quantiles import exact_quantiles
+from oddsmill.session import stored
 from oddsmill.schemas import FEATURE_COLUMNS
 
 
@@ -112,7 +113,7 @@ def cluster_tags(assigned: DataFrame) -> DataFrame:
 def curve_bands(curves: DataFrame, clusters: DataFrame) -> DataFrame:
     """Median and quartiles of the member curves per cluster and relative index; empty indexes are left out."""
     rows = curves.join(clusters.select("asset_id", "cluster_id"), "asset_id").where("price is not null")
-    bands = exact_quantiles(rows, ["cluster_id", "idx"], "price", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    bands = exact_quantiles(stored(rows.select("cluster_id", "idx", "price")), ["cluster_id", "idx"], "price", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     # Indexes with values are numbered on; a curve has a bounded number of slots.
     return bands.withColumn("pos", F.row_number().over(Window.partitionBy("cluster_id").orderBy("idx")) - 1)
 

@@ -12,6 +12,7 @@ from oddsmill.plans.asof import canonical_ticks
 from oddsmill.plans.ranges import row_numbers, running_sum
 from oddsmill.plans.keep import keep_first, top_per_group
 from oddsmill.plans.quantiles import exact_quantiles
+from oddsmill.session import stored
 from oddsmill.schemas import DAY
 
 
@@ -73,6 +74,7 @@ def market_table(
 
 
 def tag_table(table: DataFrame) -> DataFrame:
+    table = stored(table.select("primary_tag", "market_id", "has_history", "quality_pass_any", "liquidity", "window_return_pct"))
     rows = table.groupBy("primary_tag").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.avg(F.col("has_history").cast("double")).alias("coverage_pct"),
@@ -188,7 +190,7 @@ def _labelled(labels: DataFrame, prices: DataFrame, group: list[str]) -> DataFra
 def event_composite(table: DataFrame, prices: DataFrame) -> DataFrame:
     """Per event and timestamp over the anchors of its markets: median, quartiles, mean and number of prices."""
     legs = table.where("anchor_asset_id is not null").select("event_id", "market_id", F.col("anchor_asset_id").alias("asset_id"))
-    rows = legs.join(prices.select("asset_id", "ts", "price"), "asset_id")
+    rows = stored(legs.join(prices.select("asset_id", "ts", "price"), "asset_id"))
     keys = ["event_id", "ts"]
     cuts = exact_quantiles(rows, keys, "price", {"p25": 0.25, "median_price": 0.5, "p75": 0.75})
     means = rows.groupBy(*keys).agg(F.avg("price").alias("mean_price"), F.count(F.lit(1)).alias("market_count"))
@@ -288,6 +290,7 @@ def event_options(table: DataFrame) -> DataFrame:
 
 def event_kpis(table: DataFrame) -> DataFrame:
     """Per event: markets, with history, median liquidity and last price."""
+    table = stored(table.select("event_id", "market_id", "has_history", "liquidity", "last_price"))
     rows = table.groupBy("event_id").agg(F.count_if("has_history").alias("with_history"))
     markets = table.select("event_id", "market_id").distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("markets"))
     liquidity = exact_quantiles(table, ["event_id"], "liquidity", {"median_liquidity": 0.5})

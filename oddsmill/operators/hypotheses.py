@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from oddsmill.functions.scalars import to_double, to_long
 from oddsmill.plans.asof import canonical_ticks, haloed
 from oddsmill.plans.quantiles import exact_quantiles
+from oddsmill.session import stored
 from oddsmill.schemas import DAY
 
 # Horizons in hours and how late a price may come to count for one.
@@ -84,7 +85,7 @@ def momentum_rules() -> list[tuple[str, Column]]:
 
 def threshold_hypotheses(returns: DataFrame) -> DataFrame:
     """n, share up, share down, mean and exact median of the forward move per price rule and horizon."""
-    rows = _long(returns, threshold_rules())
+    rows = stored(_long(returns, threshold_rules()))
     keys = ["rule", "horizon_hours"]
     n = F.count(F.lit(1))
     stats = rows.groupBy(*keys).agg(

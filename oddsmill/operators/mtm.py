@@ -10,6 +10,7 @@ from oddsmill.functions.scalars import to_double, to_long, unit_trade
 from oddsmill.operators.settle import with_spread
 from oddsmill.plans.asof import canonical_ticks, next_tick
 from oddsmill.plans.quantiles import exact_quantiles
+from oddsmill.session import stored
 
 HORIZONS = (1, 6, 24, 72, 168)
 # Signals that are no longer produced.
@@ -78,6 +79,7 @@ def mtm_stats(marked: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFram
         F.struct(F.lit("by_signal").alias("level"), F.col("signal_name").alias("name")),
         F.struct(F.lit("aggregate").alias("level"), F.lit(None).cast("string").alias("name")),
     )
+    marked = stored(marked.select("signal_name", "horizon_hours", "price_move", "pnl", "return_pct"))
     rows = marked.select(
         F.inline(F.when(F.col("horizon_hours") == shortest, F.concat(levels, at_shortest)).otherwise(levels)),
         "horizon_hours", "price_move", "pnl", "return_pct",

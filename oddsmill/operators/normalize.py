@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oddsmill.functions import raw
 from oddsmill.functions.scalars import canonical_outcome, is_anchor, market_type, resolution_state, to_double, to_long
-from oddsmill.plans.asof import canonical_ticks
+from oddsmill.plans.asof import canonical_ticks, clean_ticks, last_price
 from oddsmill.plans.keep import keep_first, keep_last
 
 # Field names the feeds use for one and the same thing, in order of preference.
@@ -253,9 +253,10 @@ def enrich_resolutions(resolutions: DataFrame, tokens: DataFrame, prices: DataFr
     """Adds the anchor token's final price: the last one at or before the resolution, else the last one of all."""
     anchors = anchor_tokens(tokens, seq).select("market_id", "asset_id")
     wanted = resolutions.join(anchors, "market_id", "left")
-    hit = wanted.select("market_id", "asset_id", to_long("resolution_ts").alias("_at")).join(canonical_ticks(prices), "asset_id")
-    before = F.max_by("price", F.when(F.col("ts") <= F.col("_at"), F.col("ts")))
-    final = hit.groupBy("market_id").agg(F.coalesce(before, F.max_by("price", "ts")).alias("final_price"))
+    ticks = clean_ticks(prices)
+    # One row per market leaves a map task: the ticks meet the wanted assets first and are aggregated where they are.
+    hit = ticks.join(wanted.select("market_id", "asset_id", to_long("resolution_ts").alias("_at")), "asset_id")
+    final = hit.groupBy("market_id").agg(F.coalesce(last_price(ticks, F.col("ts") <= F.col("_at")), last_price(ticks)).alias("final_price"))
     return wanted.join(final, "market_id", "left").select(
         "market_id", "condition_id", "resolution_outcome", "resolution_ts", "final_price",
         F.lit(ingested_at).cast("bigint").alias("ingested_at"),

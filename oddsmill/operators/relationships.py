@@ -18,12 +18,14 @@ BLOCK = 256  # assets per block of the correlation matrix
 
 def latest_prices(prices: DataFrame) -> DataFrame:
     """One exchange: every map task sends one row per asset."""
-    return clean_ticks(prices).groupBy("asset_id").agg(last_price().alias("price"), F.max("ts").alias("ts"))
+    ticks = clean_ticks(prices)
+    return ticks.groupBy("asset_id").agg(last_price(ticks).alias("price"), F.max("ts").alias("ts"))
 
 
 def daily_closes(prices: DataFrame) -> DataFrame:
     """Last price per asset and UTC day; at most one row per day, whatever the tick rate."""
-    return clean_ticks(prices).groupBy("asset_id", F.floor(F.col("ts") / DAY).alias("day")).agg(last_price().alias("close"))
+    ticks = clean_ticks(prices)
+    return ticks.groupBy("asset_id", F.floor(F.col("ts") / DAY).alias("day")).agg(last_price(ticks).alias("close"))
 
 
 def market_overround(tokens: DataFrame, prices: DataFrame) -> DataFrame:

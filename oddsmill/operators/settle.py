@@ -8,6 +8,7 @@ from oddsmill.functions.scalars import position_size, to_double, to_long, unit_t
 from oddsmill.operators.bars import median_spread
 from oddsmill.plans.keep import keep_first
 from oddsmill.plans.quantiles import exact_quantiles
+from oddsmill.session import stored
 from oddsmill.schemas import DAY
 
 
@@ -98,6 +99,7 @@ def summarize(trades: DataFrame) -> DataFrame:
     """
     pnl = F.coalesce(to_double("pnl"), F.lit(0.0))
     rows = trades.select("signal_name", pnl.alias("pnl"), F.col("hold_days"), F.floor(F.col("exit_ts") / DAY).alias("day"))
+    rows = stored(rows)
     # Two levels per trade: its own signal and the overall row.
     both = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "signal_name", F.when(F.col("level") == 0, F.col("signal_name"))

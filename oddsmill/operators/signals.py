@@ -51,7 +51,8 @@ def signal_frame(
     rates: DataFrame | None = None,
 ) -> DataFrame:
     """One row per target asset with features: market meta, tag, last price, counts and last and mean bar volume."""
-    ticks = clean_ticks(prices).groupBy("asset_id").agg(F.count(F.lit(1)).alias("raw_points"), last_price().alias("price"))
+    clean = clean_ticks(prices)
+    ticks = clean.groupBy("asset_id").agg(F.count(F.lit(1)).alias("raw_points"), last_price(clean).alias("price"))
     frame = (
         targets.select("asset_id", "market_id").distinct()
         .join(features, "asset_id")

@@ -7,7 +7,7 @@ bounds every window partition by the chunk length, whatever share of the rows on
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 from oddsmill.functions.scalars import to_double, to_long
 
@@ -31,9 +31,18 @@ def clean_ticks(prices: DataFrame) -> DataFrame:
     ).dropna(subset=["asset_id", "ts", "price"])
 
 
-def last_price() -> Column:
-    """Price of the last tick of ``clean_ticks``, of equal times the one with the largest seq, as one map-side aggregate."""
-    return F.max(F.struct("ts", "seq", "price"))["price"]
+def order_key(ticks: DataFrame) -> Column:
+    """Time and seq of ``clean_ticks`` in one value that orders like the two; a decimal where seq is whole, so that aggregates
+    by it stay hash aggregates (a struct in the buffer would have Spark sort all ticks)."""
+    if not isinstance(ticks.schema["seq"].dataType, (LongType, IntegerType)):
+        return F.struct("ts", "seq")
+    return F.expr("cast(ts as decimal(18,0)) * cast(18446744073709551616 as decimal(20,0)) + cast(seq as decimal(19,0))")
+
+
+def last_price(ticks: DataFrame, until: Column | None = None) -> Column:
+    """Price of the last tick of ``clean_ticks`` (of those with ``until``), of equal times the one with the largest seq, in one map-side aggregate."""
+    key = order_key(ticks)
+    return F.max_by("price", key if until is None else F.when(until, key))
 
 
 def next_tick(targets: DataFrame, ticks: DataFrame, chunk: int = 86_400) -> DataFrame:

@@ -61,7 +61,8 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: Map
 
         def at(rank):
             hit = ~F.col("_gap") & (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
-            return F.max(F.when(hit, F.col("_at")))
+            # The brackets hold every wanted rank; a miss would be an error of this module and never a null.
+            return F.coalesce(F.max(F.when(hit, F.col("_at"))), F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
 
         a, b = at(F.floor(position)), at(F.ceil(position))
         outs.append((a + (b - a) * F.max(position - F.floor(position))).alias(name))

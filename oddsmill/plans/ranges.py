@@ -11,25 +11,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from oddsmill.session import shared_folder
+from oddsmill.session import stored
 
 PLACE = (1 << 33) - 1  # monotonically_increasing_id holds the range above these bits and the place in it below
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared folder, which also cuts its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column], ranges: int | None = None) -> DataFrame:
     """``df`` sorted by group and order in stored ranges, with _range and _place; AQE joins small ranges unless ``ranges`` is given."""
     keys = [*[F.col(c) for c in group], *order]
     cut = df.repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys)
-    stored = checkpointed(cut.withColumn("_id", F.monotonically_increasing_id()))
-    return stored.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(PLACE)).drop("_id")
+    kept = stored(cut.withColumn("_id", F.monotonically_increasing_id()))
+    return kept.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(PLACE)).drop("_id")
 
 
 def _offsets(rows: DataFrame, group: Sequence[str], amount: Column) -> DataFrame:

@@ -104,3 +104,31 @@ def test_a_pass_returns_a_bounded_number_of_bins(spark):
     df = spark.range(200_000).select((F.col("id") / 200_000).alias("x"))
     assert selection.global_quantiles(df, "x", {"median": 0.5})["median"] == pytest.approx(0.5, abs=1e-5)
     assert df.groupBy(selection._log_bin(F.col("x"))).count().count() < 300
+
+
+def test_last_prices_are_hash_aggregates(spark):
+    from oddsmill.operators import relationships
+
+    rng = random.Random(3)
+    data = [(f"a{rng.randrange(3)}", rng.randrange(20) - 5, rng.random(), rng.randrange(-5, 5) * 2**60 + k) for k in range(500)]
+    df = spark.createDataFrame(data, "asset_id string, ts long, price double, seq long")
+    for found, keys in ((relationships.latest_prices(df), lambda d: d[0]), (relationships.daily_closes(df), lambda d: (d[0], d[1] // 86_400))):
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for d in sorted(data, key=lambda d: (d[1], d[3])):
+            want[keys(d)] = d[2]
+        column = "price" if "price" in found.columns else "close"
+        assert sorted(r[column] for r in found.collect()) == sorted(want.values())
+    # Without seq the largest price of the last second counts.
+    got = relationships.latest_prices(df.drop("seq")).collect()
+    assert all(r.price == max(d[2] for d in data if d[0] == r.asset_id and d[1] == r.ts) for r in got)
+
+
+def test_statistics_compute_their_input_once(spark):
+    from oddsmill.operators import mtm
+    from oddsmill.sources.adapters import Canon
+
+    c = Canon(spark, "/root/testdata/sf0.001")
+    summary = mtm.mtm_summary(mtm.mark_to_market(c.signal_log, c.prices, c.books))
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower() and summary.count() > 0
