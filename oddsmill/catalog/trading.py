@@ -169,6 +169,20 @@ def signals_calibration(c: Canon):
     return signals.fired(signals.evaluate(frame(c), rules, RULES), AS_OF).drop("metadata_json")
 
 
+@query("signals_range_reversal", sql(
+    """with t as (select asset_id, min(price) as lo, max(price) as hi, avg(price) as mean from t_prices group by 1)
+       select 'range_reversal' as signal_name, asset_id, market_id, cast(1706659200 as bigint) as ts,
+              case when (price - lo) / (hi - lo) >= 0.9 then 'sell' else 'buy' end as direction, least(1.0, abs((price - lo) / (hi - lo) - 0.5) * 2) as confidence,
+              price as entry_price, mean as target_price, abs(mean - price) as edge
+       from g_frame join t using (asset_id) where hi - lo >= 0.05 and not wide and ((price - lo) / (hi - lo) >= 0.9 or (price - lo) / (hi - lo) <= 0.1)""",
+    "confidence entry_price target_price edge"))
+def signals_range_reversal(c: Canon):
+    """A rule with aggregates of its own over the ticks."""
+    rules = signals.active_rules(["range_reversal"])
+    rows = signals.signal_frame(all_features(c), targets(c), c.markets, c.events, c.prices, rules=rules)
+    return signals.fired(signals.evaluate(rows, rules, RULES), AS_OF).drop("metadata_json")
+
+
 @query("signal_diagnostics", sql(
     """select signal, coalesce(reason, 'generated') as key, count(*) as n from g_eval group by 1, 2
        union all select signal, 'considered', count(*) from g_eval where considered group by 1"""))

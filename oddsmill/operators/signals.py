@@ -41,6 +41,30 @@ def base_rates(resolutions: DataFrame, markets: DataFrame, events: DataFrame) ->
     )
 
 
+Rule = Callable[[Settings], Column]
+
+
+@dataclass(frozen=True)
+class SeriesRule:
+    """A rule that needs aggregates of an asset's ticks (columns ts, price, seq); ``needs`` gives them by column name."""
+
+    rule: Rule
+    needs: Callable[[], dict[str, Column]]
+
+    def __call__(self, settings: Settings) -> Column:
+        return self.rule(settings)
+
+
+def declared_aggregates(rules: dict[str, Rule]) -> dict[str, Column]:
+    """What all rules together need, each aggregate once; two meanings of one name are an error."""
+    found: dict[str, Column] = {}
+    for rule in rules.values():
+        for name, column in (rule.needs() if isinstance(rule, SeriesRule) else {}).items():
+            if str(found.setdefault(name, column)) != str(column):
+                raise ValueError(f"rules declare different aggregates named {name}")
+    return found
+
+
 def signal_frame(
     features: DataFrame,
     targets: DataFrame,
@@ -49,10 +73,15 @@ def signal_frame(
     prices: DataFrame,
     bars: DataFrame | None = None,
     rates: DataFrame | None = None,
+    rules: dict[str, Rule] | None = None,
 ) -> DataFrame:
-    """One row per target asset with features: market meta, tag, last price, counts and last and mean bar volume."""
+    """One row per target asset with features: market meta, tag, last price, counts and last and mean bar volume.
+
+    What ``rules`` declare about the price series is computed in the grouping that finds the last price.
+    """
     clean = clean_ticks(prices)
-    ticks = clean.groupBy("asset_id").agg(F.count(F.lit(1)).alias("raw_points"), last_price(clean).alias("price"))
+    extra = [column.alias(name) for name, column in declared_aggregates(rules or {}).items()]
+    ticks = clean.groupBy("asset_id").agg(F.count(F.lit(1)).alias("raw_points"), last_price(clean).alias("price"), *extra)
     frame = (
         targets.select("asset_id", "market_id").distinct()
         .join(features, "asset_id")
@@ -211,7 +240,6 @@ def calibration(s: Settings) -> Column:
     )
 
 
-Rule = Callable[[Settings], Column]
 SIGNALS: dict[str, Rule] = {"convergence": convergence, "momentum": momentum, "orderbook_imbalance": orderbook_imbalance}
 OPTIONAL_SIGNALS: dict[str, Rule] = {"calibration": calibration}
 # The names signals are stored under.
@@ -223,6 +251,33 @@ STORED_NAMES = {
 }
 
 
+def range_reversal(s: Settings) -> Column:
+    """Price at an end of its own range: back to the mean of the series."""
+    p, low, high, mean = F.col("price"), F.col("series_low"), F.col("series_high"), F.col("series_mean")
+    width = high - low
+    place = (p - low) / F.nullif(width, F.lit(0.0))
+    return _result(
+        [
+            (p.isNull(), "missing_price"),
+            (width < 0.05, "range_too_small"),
+            ((place > 0.1) & (place < 0.9), "price_inside_range"),
+        ],
+        {
+            "direction": F.when(place >= 0.9, "sell").otherwise("buy"),
+            "confidence": F.least(F.lit(1.0), F.abs(place - 0.5) * 2),
+            "entry_price": p,
+            "target_price": mean,
+            "edge": F.abs(mean - p),
+        },
+        {"low": low, "high": high, "mean": mean},
+    )
+
+
+# Rules over the series are offered in the same way, active only if asked for.
+OPTIONAL_SIGNALS["range_reversal"] = SeriesRule(range_reversal, lambda: {
+    "series_low": F.min("price"), "series_high": F.max("price"), "series_mean": F.avg("price")})
+
+
 def active_rules(requested: Sequence[str] = ("all",), extra: dict[str, Rule] | None = None) -> dict[str, Rule]:
     """Rules by name; 'all' or nothing asks for the registered ones, unknown names are left out."""
     wanted = [r.strip().lower() for r in requested if r and r.strip()]

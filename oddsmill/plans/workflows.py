@@ -71,19 +71,22 @@ def _store(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(_path(root, name))
 
 
-def _documents(spark: SparkSession, landed: Sequence[str]) -> DataFrame:
-    """Documents of the landed paths in order; a later path is newer."""
+def _documents(spark: SparkSession, root: str, landed: Sequence[str]) -> DataFrame:
+    """Documents of the landed paths in order, a later path being newer; parsed once into a staging table from which all extracts read."""
     parts = [
         landing.read_json_lines(spark, path).withColumn("seq", F.struct(F.lit(number).alias("file"), F.col("seq").alias("row")))
         for number, path in enumerate(landed)
     ]
-    return normalize.parse_documents(reduce(DataFrame.unionByName, parts))
+    return _store(normalize.parse_documents(reduce(DataFrame.unionByName, parts)), root, "_staging/documents")
 
 
 def load_documents(spark: SparkSession, root: str, landed: Sequence[str]) -> dict[str, DataFrame]:
     """Landed event documents (active and resolved alike) into the events, markets and tokens tables."""
     tune(spark)
-    docs = _documents(spark, landed)
+    return _load_documents(spark, root, _documents(spark, root, landed))
+
+
+def _load_documents(spark: SparkSession, root: str, docs: DataFrame) -> dict[str, DataFrame]:
     out = {
         "events": normalize.extract_events(docs),
         "markets": normalize.extract_markets(docs),
@@ -94,9 +97,11 @@ def load_documents(spark: SparkSession, root: str, landed: Sequence[str]) -> dic
 
 def resolve(spark: SparkSession, root: str, landed: Sequence[str], ingested_at: int) -> DataFrame:
     """Resolved events: base tables, the resolutions table with final prices, and the markets' resolution state."""
-    base = load_documents(spark, root, landed)
+    tune(spark)
+    docs = _documents(spark, root, landed)
+    base = _load_documents(spark, root, docs)
     prices = tables.read_optional(spark, _path(root, "price_history"), PRICES)
-    found = normalize.extract_resolutions(_documents(spark, landed))
+    found = normalize.extract_resolutions(docs)
     new = normalize.enrich_resolutions(found, base["tokens"], prices, ingested_at, seq="asset_id")
     resolutions = tables.upsert(spark, _path(root, "resolutions"), new, "resolutions")
     _store(normalize.refresh_markets(base["markets"], resolutions), root, "markets")
@@ -160,10 +165,11 @@ def analyze(spark: SparkSession, root: str, as_of_ts: int, settings: Settings =
     generated = 0
     signal_table = None
     if set(s.steps) & {"signals", "settlement", "candidates"}:
+        rules = signals.active_rules(s.active_signals)
         frame = signals.signal_frame(
-            feature_table, targets, markets, events, prices, volume, signals.base_rates(resolutions, markets, events)
+            feature_table, targets, markets, events, prices, volume, signals.base_rates(resolutions, markets, events), rules
         )
-        evaluated = _store(signals.evaluate(frame, signals.active_rules(s.active_signals), s.rules()), root, "analysis/signal_results")
+        evaluated = _store(signals.evaluate(frame, rules, s.rules()), root, "analysis/signal_results")
         signal_table = tables.upsert(spark, _path(root, "signals"), signals.fired(evaluated, as_of_ts), "signals")
         generated = signal_table.count()
         tables.write_document(signals.diagnostics(evaluated), f"{root}/analysis/signal_debug.json")

@@ -120,3 +120,10 @@ def test_mark_to_market_and_audit_runs(spark, root):
     assert {r["area"] for r in first} >= {"nulls"}
     second = workflows.audit_tables(spark, root)
     assert second.where("area = 'delta'").count() == 0
+
+
+def test_documents_are_parsed_once_per_load(spark, root):
+    docs = workflows._documents(spark, root, [f"{root}/raw/events"])
+    for extract in (normalize.extract_events, normalize.extract_markets, normalize.extract_tokens, normalize.extract_resolutions):
+        plan = extract(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert "parse_json" not in plan.lower() and "parquet" in plan.lower()

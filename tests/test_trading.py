@@ -255,3 +255,12 @@ def test_hot_asset_is_split(spark):
     cut = haloed(canonical_ticks(rows), DAY, 7 * DAY, 30 * DAY)
     biggest = cut.groupBy("asset_id", "_chunk").count().agg(F.max("count")).first()[0]
     assert biggest <= 39 * DAY // 600 and cut.where("_core").count() == 40_000
+
+
+def test_declared_aggregates_share_one_grouping(spark):
+    rule = lambda needs: signals.SeriesRule(signals.range_reversal, needs)
+    rules = {"a": rule(lambda: {"low": F.min("price")}), "b": rule(lambda: {"low": F.min("price"), "n": F.count("ts")}), "c": signals.convergence}
+    assert list(signals.declared_aggregates(rules)) == ["low", "n"]
+    with pytest.raises(ValueError, match="low"):
+        signals.declared_aggregates({**rules, "d": rule(lambda: {"low": F.max("price")})})
+    assert "range_reversal" not in signals.active_rules() and "range_reversal" in signals.active_rules(["range_reversal"])
