@@ -29,8 +29,9 @@ CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d\x09",
 LEAST = 10  # occurrences of a phrase
 HELD = 50  # a phrase is dropped if a longer one has so many per cent of its occurrences
 SAMPLE = 4  # one text in so many proposes phrases
-PENDING = 2 << 20  # bytes of text of a language that are counted together
-STEP = 1 << 17  # words that are numbered and counted together
+TEXTS = 1_000  # rows of a batch that goes to Python; texts can be long
+PENDING = 4 << 20  # bytes of text of a language that are counted together
+STEP = 1 << 18  # words that are numbered and counted together
 BITS = range(20, 30)  # a filter has 2**20 to 2**29 bits (64 MB), about 16 for each phrase in it
 
 OF_WORD = "h & 3 = 1"  # the lowest bits of a hash: its words
@@ -258,6 +259,16 @@ def _filter(hashes: DataFrame) -> np.ndarray:
 
 def frequent(texts: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
     """(lang, k, phrase, c) of all phrases of one to three words with at least ``least`` occurrences; k = 0 holds all words of a language."""
+    conf, key = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(TEXTS))
+    try:
+        return _frequent(texts, least, sample)
+    finally:
+        conf.set(key, before)
+
+
+def _frequent(texts: DataFrame, least: int, sample: int) -> DataFrame:
     context = texts.sparkSession.sparkContext
     chosen = texts.withColumn("sampled", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(sample)) == 0)
     texts = texts.withColumn("sampled", F.lit(True))
