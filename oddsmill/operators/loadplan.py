@@ -77,9 +77,14 @@ def mark_plan(
     return metadata.withColumn("bucket", bucket).withColumn("fetch_start_ts", start)
 
 
+def _ids(rows: DataFrame) -> list[Column]:
+    """What tells the rows of a plan apart: the asset, and its market where that is known."""
+    return [F.col(c) for c in ("asset_id", "market_id") if c in rows.columns]
+
+
 def round_robin(rows: DataFrame, group: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Adds turn: the k-th asset of a tag is taken in the k-th turn; and tag_order, the tag's least coverage."""
-    numbered = row_numbers(rows, [*group, "primary_tag"], [F.col("asset_id"), F.col("market_id")], "turn", ranges=ranges)
+    numbered = row_numbers(rows, [*group, "primary_tag"], _ids(rows), "turn", ranges=ranges)
     least = rows.groupBy(*group, "primary_tag").agg(F.min("tag_coverage").alias("tag_order"))
     return numbered.join(least, [*group, "primary_tag"])
 
@@ -98,7 +103,7 @@ def order_plan(plan: DataFrame, priority: str = "history_first", ranges: int | N
         new = [F.when(~existing, F.col(c)) for c in ("turn", "tag_order", "primary_tag")]
     else:
         new = [F.when(~existing, F.col(c)) for c in ("tag_coverage", "primary_tag")]
-    order = [F.col("bucket_rank"), mark, *new, F.col("asset_id"), F.col("market_id")]
+    order = [F.col("bucket_rank"), mark, *new, *_ids(rows)]
     cols = [*plan.columns, "bucket_rank"]
     return row_numbers(rows, [], order, "position", ranges=ranges).select(*cols, F.col("position").cast("bigint").alias("position"))
 
