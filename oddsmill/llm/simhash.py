@@ -76,9 +76,9 @@ class Budget:
 
 
 def trie_pairs(x: np.ndarray, y: np.ndarray, same: bool, depth: int, budget: Budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of sorted distinct x and y within the budget; both share a prefix of ``depth`` bits each.
+    """Index pairs (i, j) of sorted x and y within the budget; both share a prefix of ``depth`` bits each.
 
-    ``same`` says that x and y are one node: each pair then comes once. Node pairs wait on a stack in blocks, so memory is
+    Equal fingerprints are further apart in the trie by position only: their rows are halved until few enough are left. ``same`` says that x and y are one node: each pair then comes once. Node pairs wait on a stack in blocks, so memory is
     bounded by the block size times the depth, whatever the number of results.
     """
     if not len(x) or not len(y):
@@ -92,7 +92,7 @@ def trie_pairs(x: np.ndarray, y: np.ndarray, same: bool, depth: int, budget: Bud
             nodes = nodes[:FRONTIER]
         xl, xh, yl, yh, e = nodes.T
         p, q = xh - xl, yh - yl
-        small = (p * q <= DIRECT) | (d >= 64)
+        small = p * q <= DIRECT
         if small.any():
             a, b, n, m = xl[small], yl[small], p[small], q[small]
             count = n * m
@@ -111,14 +111,18 @@ def trie_pairs(x: np.ndarray, y: np.ndarray, same: bool, depth: int, budget: Bud
         if not rest.any():
             continue
         xl, xh, yl, yh, e = nodes[rest].T
-        bit = np.uint64(1 << (63 - d))
-        keep = np.uint64(((1 << 64) - 1) ^ ((1 << (64 - d)) - 1)) if d else np.uint64(0)
-        xm = np.clip(np.searchsorted(x, (x[xl] & keep) | bit), xl, xh)
-        ym = np.clip(np.searchsorted(y, (y[yl] & keep) | bit), yl, yh)
+        if d < 64:
+            bit = np.uint64(1 << (63 - d))
+            keep = np.uint64(((1 << 64) - 1) ^ ((1 << (64 - d)) - 1)) if d else np.uint64(0)
+            xm = np.clip(np.searchsorted(x, (x[xl] & keep) | bit), xl, xh)
+            ym = np.clip(np.searchsorted(y, (y[yl] & keep) | bit), yl, yh)
+        else:
+            xm, ym = (xl + xh) // 2, (yl + yh) // 2
         one = same & (xl == yl) & (xh == yh)
+        off = e + int(d < 64)
         down = np.concatenate([
             np.stack([xl, xm, yl, ym, e], 1), np.stack([xm, xh, ym, yh, e], 1),
-            np.stack([xl, xm, ym, yh, e + 1], 1), np.stack([xm, xh, yl, ym, e + 1], 1)[~one]])
+            np.stack([xl, xm, ym, yh, off], 1), np.stack([xm, xh, yl, ym, off], 1)[~one]])
         down = down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= budget.at(d + 1))]
         if len(down):
             stack.append((d + 1, down))
@@ -181,32 +185,70 @@ def _spanning(edges: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _forests(edges: np.ndarray) -> np.ndarray:
-    """FORESTS edge-disjoint minimum spanning forests by distance: across any split of the classes, the closest FORESTS edges stay."""
-    edges = np.unique(edges[:, [2, 0, 1, 3, 4]], axis=0)[:, [1, 2, 0, 3, 4]]
-    kept = []
-    for _ in range(FORESTS):
-        if len(edges):
-            at = _spanning(edges)
-            kept.append(edges[at])
-            edges = np.delete(edges, at, axis=0)
-    return np.concatenate(kept)
+def _candidates(fps: list[np.ndarray], names: list[np.ndarray], sketches: list[np.ndarray], known: list[np.ndarray],
+                tried: np.ndarray, same: bool, depth: int, budget: Budget, forests: int) -> np.ndarray:
+    """(text, text, matching sketch bytes): edge-disjoint spanning forests, most matches first, of all alike texts of two nodes.
 
+    A list has one array per node, or one for both where they are the same. ``known`` is the class a text is already in, and
+    ``tried`` are pairs (smaller text, larger text) that are not to come again. Pairs inside a class, or inside what matches of STRONG bytes have
+    joined so far, are passed over before their sketches are looked at.
+    """
+    x, y = fps[0], fps[-1]
+    shift = 0 if same else len(x)
+    every, rows, of = (np.concatenate(part) for part in (names, sketches, known))
+    classes_, at = np.unique(of, return_inverse=True)
+    first = np.full(len(classes_), len(every))
+    np.minimum.at(first, at, np.arange(len(every)))
+    base = first[at]
+    strong, pool, held = base.copy(), [], 0
+    refused = {(int(a), int(b)) for a, b in tried}
+
+    def reduced(edges: np.ndarray) -> np.ndarray:
+        # Edges between known classes; the classes are the ends of the forests.
+        # Ties go by the ends' names, so that a group met in several rotations gives the same forest.
+        p, q = every[edges[:, 0]], every[edges[:, 1]]
+        edges = edges[np.lexsort((np.maximum(p, q), np.minimum(p, q), -edges[:, 2]))]
+        kept = []
+        for _ in range(forests):
+            if not len(edges):
+                break
+            ends = edges.copy()
+            ends[:, 0], ends[:, 1] = base[edges[:, 0]], base[edges[:, 1]]
+            spanning = _spanning(ends)
+            kept.append(edges[spanning])
+            edges = np.delete(edges, spanning, axis=0)
+        return np.concatenate(kept) if kept else np.empty((0, 3), np.int64)
 
-def _nearest(x, y, xc, yc, same: bool, depth: int, budget: Budget) -> np.ndarray:
-    """Pairs of different classes (class, class, distance, fingerprint, fingerprint): FORESTS times as many as classes at most."""
-    forest = np.empty((0, 5), np.int64)
     for i, j in trie_pairs(x, y, same, depth, budget):
-        apart = xc[i] != yc[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            continue
-        distance = np.bitwise_count(x[i] ^ y[j]).astype(np.int64)
-        a, b, f, g = xc[i], yc[j], x[i].view(np.int64), y[j].view(np.int64)
-        swap = a > b
-        found = np.stack([np.where(swap, b, a), np.where(swap, a, b), distance, np.where(swap, g, f), np.where(swap, f, g)], 1)
-        forest = _forests(np.concatenate([forest, found]))
-    return forest
+        j = j + shift
+        for start in range(0, len(i), SLICE):
+            u, v = i[start : start + SLICE], j[start : start + SLICE]
+            apart = strong[u] != strong[v]
+            u, v = u[apart], v[apart]
+            if not len(u):
+                continue
+            matches = (rows[u] == rows[v]).sum(axis=1)
+            good = matches >= FLOOR
+            u, v, matches = u[good], v[good], matches[good]
+            if refused and len(u):
+                p, q = every[u], every[v]
+                fresh = np.array([(a, b) not in refused for a, b in zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist())], bool)
+                u, v, matches = u[fresh], v[fresh], matches[fresh]
+            if not len(u):
+                continue
+            pool.append(np.stack([u, v, matches], 1).astype(np.int64))
+            held += len(u)
+            sure = matches >= STRONG
+            if sure.any() and forests == 1:
+                merge(strong, u[sure], v[sure])
+            if held > 4 * len(every) * forests + SLICE:
+                pool = [reduced(np.concatenate(pool))]
+                held = len(pool[0])
+    if not pool:
+        return np.empty((0, 3), np.int64)
+    edges = reduced(np.concatenate(pool))
+    p, q = every[edges[:, 0]], every[edges[:, 1]]
+    return np.stack([np.minimum(p, q), np.maximum(p, q), edges[:, 2]], 1)
 
 
 def _prefix(depth: int) -> Column:
@@ -216,7 +258,8 @@ def _prefix(depth: int) -> Column:
 def node_pairs(fps: DataFrame, budget: Budget, node: int = NODE) -> DataFrame | None:
     """Rows (depth, x, y, same) of node pairs left to follow: x and y are the sorted rows of two nodes, at most ``node`` each.
 
-    ``fps`` has distinct ``fp`` and whatever else each fingerprint carries. None if there are no fingerprints.
+    ``fps`` has ``fp`` and whatever else each row carries; one fingerprint with more rows than a node takes is dealt into parts by
+    the hash of ``name``, a column that then has to be there. None if there are no rows.
     """
     total = fps.count()
     if not total:
@@ -233,7 +276,18 @@ def node_pairs(fps: DataFrame, budget: Budget, node: int = NODE) -> DataFrame |
         blobs.append(fps.withColumn("p", _prefix(depth)).join(fits, "p").groupBy("p").agg(F.collect_list(carried).alias("rows"))
                      .select(F.lit(depth).alias("depth"), "p", "rows"))
         wide = open_.where((F.col("na") > node) | (F.col("nb") > node))
-        if depth == 64 or wide.isEmpty():
+        if wide.isEmpty():
+            break
+        if depth == 64:
+            large = checkpointed(sizes.where(F.col("n") > 0).select("p", F.ceil(F.col("n") / node).cast("int").alias("parts")))
+            part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            a = large.select(F.col("p").alias("a"), part.alias("i"))
+            b = large.select(F.col("p").alias("b"), part.alias("j"))
+            cut = wide.select("a", "b").join(a, "a").join(b, "b").where("a != b or i <= j")
+            ready.append(cut.select(F.lit(65).alias("depth"), F.xxhash64("a", "i").alias("a"), F.xxhash64("b", "j").alias("b")))
+            mine = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+            blobs.append(fps.join(large, fps["fp"] == large["p"]).groupBy(F.xxhash64("fp", mine).alias("p"))
+                         .agg(F.collect_list(carried).alias("rows")).select(F.lit(65).alias("depth"), "p", "rows"))
             break
         depth += STRIDE
         child = fps.groupBy(_prefix(depth).alias("c")).agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.shiftright("c", STRIDE))
@@ -277,22 +331,40 @@ def link_forest(fps: DataFrame, budget: Budget = Budget(), node: int = NODE) ->
     return fps.sparkSession.createDataFrame([], schema) if pairs is None else pairs.mapInArrow(follow, schema)
 
 
-def class_links(fps: DataFrame, budget: Budget, node: int = NODE) -> DataFrame:
-    """(ca, cb, distance, fa, fb) from distinct (fp, cls): pairs of classes, closest first, that connect what any pairs connect.
+def candidates(texts: DataFrame, budget: Budget, forests: int = 1, node: int = NODE) -> DataFrame:
+    """(a, b) from distinct (name, fp, sketch, cls, tried): pairs of texts to compare, a below b.
 
-    Every node pair gives spanning forests of its own, so classes in many node pairs have more candidates.
+    Every pair of trie nodes gives ``forests`` spanning forests over the classes of its alike texts, so whatever is within the budget and
+    alike is connected by what comes out, unless pairs turn out not to be links.
     """
-    schema = "ca long, cb long, distance long, fa long, fb long"
+    schema = "a long, b long"
+    columns = ("fp", "name", "sketch", "cls", "tried")
+
+    def side(rows: pa.ListScalar) -> tuple:
+        values = rows.values
+        fp = values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        order = np.argsort(fp, kind="stable")
+        name, cls = (values.field(c).to_numpy(zero_copy_only=False) for c in ("name", "cls"))
+        sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(-1, MINS)
+        lists = values.field("tried")
+        partner = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(name, np.array([len(t) for t in lists.to_pylist()], np.int64))
+        pairs = np.stack([np.minimum(owner, partner), np.maximum(owner, partner)], 1)
+        return fp[order], name[order], sketch[order], cls[order], pairs
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for depth, x, y, same in zip(*batch.columns):
-                (a, ac), (b, bc) = _columns(x, ("fp", "cls")), _columns(y, ("fp", "cls"))
-                rows = _nearest(a, b, ac, bc, same.as_py(), depth.as_py(), budget)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["ca", "cb", "distance", "fa", "fb"])
+                sides = [side(x)] if same.as_py() else [side(x), side(y)]
+                fp, name, sketch, cls, tried = zip(*sides)
+                found = _candidates(list(fp), list(name), list(sketch), list(cls), np.concatenate(tried),
+                                    same.as_py(), min(depth.as_py(), 64), budget, forests)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
 
-    pairs = node_pairs(fps.select("fp", "cls"), budget, node)
-    return fps.sparkSession.createDataFrame([], schema) if pairs is None else pairs.mapInArrow(follow, schema)
+    pairs = node_pairs(texts.select(*columns), budget, node)
+    if pairs is None:
+        return texts.sparkSession.createDataFrame([], schema)
+    return pairs.mapInArrow(follow, schema).distinct()
 
 
 def classes(fps: DataFrame, budget: Budget = Budget(), node: int = NODE) -> DataFrame:
@@ -317,65 +389,144 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
 
 
 # The stage over word shingles of five words looks further than two bits: three rotations put each third of the bits first,
-# and two errors are allowed there, so every pair within 8 bits is met, and most within TOTAL. Pairs are verified.
+# and three errors are allowed there, so every pair within 11 bits is met, and most within TOTAL. Pairs are verified.
 TURNS = ((0, 21), (21, 21), (42, 22))
-FORESTS = 4  # spanning forests of candidates, so that a group stays connected although some candidates fail
-TOTAL = 14
+LEAD = 3
+TOTAL = 16
 SIMILARITY = 0.8
 SHINGLE = 5
+MINS = 64  # bytes of a sketch: the lowest byte of the least shingle hash under so many permutations
+FLOOR = 38  # matching bytes below which a pair is not compared; at a similarity of 0.8, 51 match and fewer than 38 in one pair of 10,000
+STRONG = 60  # matching bytes of pairs that can be taken for links until they are compared
+MORE = 16  # times as many forests whenever groups are searched again
+SLICE = 65_536  # pairs whose sketches are compared at once
+MULTIPLIERS = np.random.default_rng(5).integers(1 << 32, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """MINS bytes, of which two sets share about as large a part as their Jaccard similarity; zeros for no hashes."""
+    if not len(hashes):
+        return bytes(MINS)
+    least = np.full(MINS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[None, at : at + 4096] * MULTIPLIERS[:, None]).min(axis=1), out=least)
+    return (least >> np.uint64(8)).astype(np.uint8).tobytes()
 
 
-def shingle_set(text: Column, width: int = SHINGLE) -> Column:
-    """Distinct shingle hashes of a text as longs; empty for texts without words."""
+def set_fingerprint(text: Column, width: int) -> Column:
+    """fp: fingerprint of the distinct shingles of three words, so a line that repeats counts once; sketch: of those of ``width`` words."""
 
     def of(texts: pa.Array) -> pa.Array:
-        out = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in texts.cast(pa.large_binary()).to_pylist()]
-        return pa.array(out, pa.list_(pa.int64()))
+        fps, sketches = [], []
+        for text in texts.cast(pa.large_binary()):
+            whole = text.as_py() or b""
+            fps.append(fingerprint_of(np.unique(shingle_hashes(whole, 3))))
+            sketches.append(sketch_of(shingle_hashes(whole, width)))
+        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["fp", "sketch"])
+
+    return F.arrow_udf(of, "struct<fp: bigint, sketch: binary>")(F.coalesce(text, F.lit("")))
+
+
+def alike(a: Column, b: Column, similarity: float, width: int) -> Column:
+    """Whether the sets of word shingles of two texts have this Jaccard similarity or more."""
 
-    return F.arrow_udf(of, "array<bigint>")(F.coalesce(text, F.lit("")))
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, last, s = [], None, None
+        for a, b in zip(left.cast(pa.large_binary()), right.cast(pa.large_binary())):
+            a, b = a.as_py(), b.as_py()
+            if s is None or b != last:
+                last, s = b, np.unique(shingle_hashes(b, width))
+            r = np.unique(shingle_hashes(a, width))
+            both = len(np.intersect1d(r, s, assume_unique=True))
+            out.append(both >= similarity * (len(r) + len(s) - both))
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(of, "boolean")(a, b)
 
 
 def _turned(fp: Column, by: int) -> Column:
     return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
 
 
+def _text_name(text: Column) -> Column:
+    """Hash of a text; null, empty and wordless texts share one."""
+    return F.xxhash64(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit("")))
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, node: int = NODE) -> DataFrame:
+    """(a, b): verified links that connect whatever the links between distinct texts within the budget connect.
+
+    ``texts`` has a row per distinct text: name, fp, sketch and id, one of the doc_ids it has in ``docs``. Spanning forests over the alike
+    texts of every rotation are compared by their whole shingle sets. Only groups in which a comparison fails can still lack a
+    link: these are searched again without the pairs already compared, with MORE times as many forests, until none is left to compare.
+    """
+    spark = docs.sparkSession
+    own = docs.select(docs["doc_id"].alias("id"), _text_name(docs["text"]).alias("name"), docs["text"].alias("t"))
+    compared = spark.createDataFrame([], "a long, b long, ok boolean")
+    stars = spark.createDataFrame([], "a long, b long")
+    open_, forests = texts.select("name", "fp", "sketch", F.col("name").alias("cls"), F.array().cast("array<bigint>").alias("tried")), 1
+    while True:
+        found = None
+        for turn, lead in TURNS:
+            turned = candidates(open_.withColumn("fp", _turned(F.col("fp"), turn)), Budget(TOTAL, lead, LEAD), forests, node)
+            found = turned if found is None else found.union(turned)
+        near = checkpointed(found.distinct())
+        if near.isEmpty():
+            break
+        wanted = near.select(F.col("a").alias("name")).union(near.select(F.col("b").alias("name"))).distinct()
+        wanted = checkpointed(texts.join(wanted, "name").select(F.col("name").alias("n"), F.col("id").alias("i")))
+        bodies = own.join(wanted, (F.col("name") == F.col("n")) & F.col("id").eqNullSafe(F.col("i"))).select("n", "t").dropDuplicates(["n"])
+        pairs = near.join(bodies.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(
+            bodies.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
+        new = checkpointed(pairs.select("a", "b", alike(F.col("ta"), F.col("tb"), similarity, width).alias("ok")))
+        compared = compared.union(new)
+        failed = new.where("not ok")
+        if failed.isEmpty():
+            break
+        # What a failed pair held together may have other links: its whole tentative group is searched again.
+        groups = components(new.select("a", "b").union(stars)).select(F.col("node").alias("m"), F.col("root").alias("r"))
+        doubtful = groups.join(failed.select(F.col("a").alias("m")), "m", "left_semi").select("r").distinct()
+        again = groups.join(doubtful, "r", "left_semi").select(F.col("m").alias("again"))
+        linked = new.where("ok").select("a", "b").union(stars)
+        stars = checkpointed(components(linked).where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        misses = compared.where("not ok").groupBy(F.col("a").alias("m")).agg(F.collect_list("b").alias("misses"))
+        rows = texts.join(again, F.col("name") == F.col("again"), "left_semi").join(stars.withColumnRenamed("b", "r"), F.col("name") == F.col("a"), "left")
+        rows = rows.join(misses, F.col("name") == F.col("m"), "left")
+        open_ = checkpointed(rows.select("name", "fp", "sketch", F.coalesce("r", "name").alias("cls"),
+                                         F.coalesce("misses", F.array().cast("array<bigint>")).alias("tried")))
+        forests *= MORE
+    return compared.where("ok").select("a", "b")
+
+
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """One document of each group of near-duplicates, all columns as they were.
 
-    Fingerprints of three-word shingles within two bits are one class, as in ``near_duplicates``. Classes at most 14 bits apart
-    are joined by their closest pairs (FORESTS spanning forests in every pair of trie nodes, so a group of m texts gives a
-    multiple of m candidates and not m * m), and a candidate is a link if the sets of ``width``-word shingles of its two texts have a Jaccard
-    similarity of ``similarity`` or more. Of each component stays the row with the smallest doc_id, ties by
-    the hash of the text; of equal rows one. Null, empty and wordless texts are one group. Without rows the result is empty.
+    Equal texts are one text. Two texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of ``similarity`` or
+    more, which is always verified, and their fingerprints (of distinct three-word shingles) differ in at most 16 bits, at most
+    three of them in one third; every pair within 11 bits is met. Nothing limits the links of a text (see ``links``). Of each component stays the row with
+    the smallest doc_id (null last), ties by the hash of the text; of rows equal in both one. Null, empty and wordless texts are
+    one text. Other columns may have any names. Without rows the result is empty.
     """
-    h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = checkpointed(docs.select(docs["doc_id"].alias("id"), h.alias("h"), fingerprint(docs["text"]).alias("fp")))
-    fps = rows.groupBy("fp").agg(F.min("h").alias("h"))
-    fps = checkpointed(fps)
-    grouped = checkpointed(classes(fps.select("fp")))
-    found = None
-    for turn, lead in TURNS:
-        turned = grouped.select(_turned(F.col("fp"), turn).alias("fp"), "cls")
-        links = class_links(turned, Budget(TOTAL, lead, 2))
-        back = (64 - turn) % 64
-        links = links.select("ca", "cb", "distance", _turned(F.col("fa"), back).alias("fa"), _turned(F.col("fb"), back).alias("fb"))
-        found = links if found is None else found.union(links)
-    near = checkpointed(found.select("ca", "cb", "fa", "fb").distinct())
-    wanted = near.select(F.col("fa").alias("fp")).union(near.select(F.col("fb").alias("fp"))).distinct().join(fps, "fp")
-    texts = docs.select(h.alias("h"), docs["text"].alias("t")).join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.first("t").alias("t"))
-    sets = checkpointed(texts.join(wanted, "h").select("fp", shingle_set(F.col("t"), width).alias("s")))
-    left, right = sets.select(F.col("fp").alias("fa"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("fb"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    linked = near.join(left, "fa").join(right, "fb").where(
-        both >= F.lit(float(similarity)) * (F.size("sa") + F.size("sb") - both)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    roots = components(linked)
-    final = grouped.join(roots, grouped["cls"] == roots["node"], "left").select("fp", F.coalesce("root", "cls").alias("g"))
-    of_row = rows.join(final, "fp")
-    groups = of_row.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
-    several = groups.where("n > 1").select("g", "first.id", "first.h")
-    several = checkpointed(several)
-    copies = of_row.select("g", F.col("h").alias("_h")).join(several.select("g"), "g", "left_semi").select("_h").distinct()
-    kept = several.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    alone = docs.join(checkpointed(copies), h == F.col("_h"), "left_anti")
-    first = docs.join(kept, (h == F.col("_h")) & docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["_h"]).drop("_h")
-    return alone.unionByName(first)
+    rows = checkpointed(docs.select(docs["doc_id"].alias("id"), _text_name(docs["text"]).alias("name"), set_fingerprint(docs["text"], width).alias("s")))
+    each = rows.groupBy("name", "id").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("least")
+    texts = checkpointed(each.groupBy("name").agg(least, F.first("s").alias("s")).select("name", "least", "least.id", "s.fp", "s.sketch"))
+    roots = components(links(docs, texts, similarity, width)).select(F.col("node").alias("m"), "root")
+    grouped = texts.join(roots, texts["name"] == roots["m"], "left").withColumn("g", F.coalesce("root", "name"))
+    first = grouped.groupBy("g").agg(F.min(F.struct("least.none", "least.id", "name", "least.n")).alias("f"))
+    name, other, own, n = (_unused(c, docs.columns) for c in ("text_name", "kept_name", "kept_id", "kept_n"))
+    kept = checkpointed(first.select(F.col("f.name").alias(other), F.col("f.id").alias(own), F.col("f.n").alias(n)))
+    named = docs.withColumn(name, _text_name(docs["text"]))
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        return named.join(part, (named[name] == part[other]) & named["doc_id"].eqNullSafe(part[own]))
+
+    once, repeated = rows_of(kept.where(F.col(n) == 1)), rows_of(kept.where(F.col(n) > 1)).dropDuplicates([name])
+    return once.unionByName(repeated).drop(name, other, own, n)
