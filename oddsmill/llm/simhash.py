@@ -14,6 +14,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +22,7 @@ from oddsmill.llm.common import checkpointed
 from oddsmill.llm.components import components
 
 NODE = 4096  # fingerprints of a node that one task takes at once
+TEXTS = 8192  # the same for texts with sketches: a text is sent to fewer node pairs
 STRIDE = 2  # bits by which the distributed part goes down
 DIRECT = 64  # pairs of two nodes that are compared at once instead of going deeper
 FRONTIER = 100_000  # node pairs followed at a time inside a task
@@ -187,10 +189,10 @@ def _spanning(edges: np.ndarray) -> np.ndarray:
 
 def _candidates(fps: list[np.ndarray], names: list[np.ndarray], sketches: list[np.ndarray], known: list[np.ndarray],
                 tried: np.ndarray, same: bool, depth: int, budget: Budget, forests: int) -> np.ndarray:
-    """(text, text, matching sketch bytes): edge-disjoint spanning forests, most matches first, of all alike texts of two nodes.
+    """(text, text, matching sketch places): edge-disjoint spanning forests, most matches first, of all alike texts of two nodes.
 
     A list has one array per node, or one for both where they are the same. ``known`` is the class a text is already in, and
-    ``tried`` are pairs (smaller text, larger text) that are not to come again. Pairs inside a class, or inside what matches of STRONG bytes have
+    ``tried`` are pairs (smaller text, larger text) that are not to come again. Pairs inside a class, or inside what matches of STRONG places have
     joined so far, are passed over before their sketches are looked at.
     """
     x, y = fps[0], fps[-1]
@@ -227,7 +229,8 @@ def _candidates(fps: list[np.ndarray], names: list[np.ndarray], sketches: list[n
             u, v = u[apart], v[apart]
             if not len(u):
                 continue
-            matches = (rows[u] == rows[v]).sum(axis=1)
+            differing = rows[u] ^ rows[v]
+            matches = MINS - np.bitwise_count(differing[:, 0] | differing[:, 1]).astype(np.int64)
             good = matches >= FLOOR
             u, v, matches = u[good], v[good], matches[good]
             if refused and len(u):
@@ -331,26 +334,26 @@ def link_forest(fps: DataFrame, budget: Budget = Budget(), node: int = NODE) ->
     return fps.sparkSession.createDataFrame([], schema) if pairs is None else pairs.mapInArrow(follow, schema)
 
 
-def candidates(texts: DataFrame, budget: Budget, forests: int = 1, node: int = NODE) -> DataFrame:
-    """(a, b) from distinct (name, fp, sketch, cls, tried): pairs of texts to compare, a below b.
+def candidates(texts: DataFrame, budget: Budget, forests: int = 1, node: int = TEXTS) -> DataFrame:
+    """(a, b) from distinct (name, fp, low, high), with cls and tried or without: pairs of texts to compare, a below b.
 
     Every pair of trie nodes gives ``forests`` spanning forests over the classes of its alike texts, so whatever is within the budget and
     alike is connected by what comes out, unless pairs turn out not to be links.
     """
     schema = "a long, b long"
-    columns = ("fp", "name", "sketch", "cls", "tried")
+    columns = [c for c in ("fp", "name", "low", "high", "cls", "tried") if c in texts.columns]
 
     def side(rows: pa.ListScalar) -> tuple:
         values = rows.values
+        name, low, high = (values.field(c).to_numpy(zero_copy_only=False) for c in ("name", "low", "high"))
         fp = values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         order = np.argsort(fp, kind="stable")
-        name, cls = (values.field(c).to_numpy(zero_copy_only=False) for c in ("name", "cls"))
-        sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(-1, MINS)
-        lists = values.field("tried")
-        partner = lists.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(name, np.array([len(t) for t in lists.to_pylist()], np.int64))
-        pairs = np.stack([np.minimum(owner, partner), np.maximum(owner, partner)], 1)
-        return fp[order], name[order], sketch[order], cls[order], pairs
+        cls, pairs = name, np.empty((0, 2), np.int64)
+        if "tried" in columns:
+            cls, lists = values.field("cls").to_numpy(zero_copy_only=False), values.field("tried")
+            partner, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(name, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            pairs = np.stack([np.minimum(owner, partner), np.maximum(owner, partner)], 1)
+        return fp[order], name[order], np.stack([low, high], 1).view(np.uint64)[order], cls[order], pairs
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,36 +398,37 @@ LEAD = 3
 TOTAL = 16
 SIMILARITY = 0.8
 SHINGLE = 5
-MINS = 64  # bytes of a sketch: the lowest byte of the least shingle hash under so many permutations
-FLOOR = 38  # matching bytes below which a pair is not compared; at a similarity of 0.8, 51 match and fewer than 38 in one pair of 10,000
-STRONG = 60  # matching bytes of pairs that can be taken for links until they are compared
+MINS = 64  # places of a sketch: two bits each of the least shingle hash under so many permutations
+FLOOR = 42  # matching places below which a pair is not compared; at a similarity of 0.8, 54 match, fewer than 42 in about one pair of 30,000
+STRONG = 62  # matching places of pairs that can be taken for links until they are compared
 MORE = 16  # times as many forests whenever groups are searched again
 SLICE = 65_536  # pairs whose sketches are compared at once
 MULTIPLIERS = np.random.default_rng(5).integers(1 << 32, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch_of(hashes: np.ndarray) -> bytes:
-    """MINS bytes, of which two sets share about as large a part as their Jaccard similarity; zeros for no hashes."""
+def sketch_of(hashes: np.ndarray) -> tuple[int, int]:
+    """Two words with a bit each of MINS places; two sets share about as large a part of them as their Jaccard similarity, and a quarter of the rest."""
     if not len(hashes):
-        return bytes(MINS)
+        return 0, 0
     least = np.full(MINS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         np.minimum(least, (hashes[None, at : at + 4096] * MULTIPLIERS[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(8)).astype(np.uint8).tobytes()
+    low, high = (int(np.packbits((least >> np.uint64(k) & np.uint64(1)).astype(bool)).view("<i8")[0]) for k in (8, 9))
+    return low, high
 
 
 def set_fingerprint(text: Column, width: int) -> Column:
-    """fp: fingerprint of the distinct shingles of three words, so a line that repeats counts once; sketch: of those of ``width`` words."""
+    """fp: fingerprint of the distinct shingles of three words, so a line that repeats counts once; low, high: sketch of those of ``width`` words."""
 
     def of(texts: pa.Array) -> pa.Array:
-        fps, sketches = [], []
+        rows = []
         for text in texts.cast(pa.large_binary()):
             whole = text.as_py() or b""
-            fps.append(fingerprint_of(np.unique(shingle_hashes(whole, 3))))
-            sketches.append(sketch_of(shingle_hashes(whole, width)))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["fp", "sketch"])
+            rows.append((fingerprint_of(np.unique(shingle_hashes(whole, 3))), *sketch_of(shingle_hashes(whole, width))))
+        columns = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["fp", "low", "high"])
 
-    return F.arrow_udf(of, "struct<fp: bigint, sketch: binary>")(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(of, "struct<fp: bigint, low: bigint, high: bigint>")(F.coalesce(text, F.lit("")))
 
 
 def alike(a: Column, b: Column, similarity: float, width: int) -> Column:
@@ -433,7 +437,7 @@ def alike(a: Column, b: Column, similarity: float, width: int) -> Column:
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
         out, last, s = [], None, None
         for a, b in zip(left.cast(pa.large_binary()), right.cast(pa.large_binary())):
-            a, b = a.as_py(), b.as_py()
+            a, b = a.as_py() or b"", b.as_py() or b""
             if s is None or b != last:
                 last, s = b, np.unique(shingle_hashes(b, width))
             r = np.unique(shingle_hashes(a, width))
@@ -460,10 +464,10 @@ def _unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, node: int = NODE) -> DataFrame:
+def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, node: int = TEXTS) -> DataFrame:
     """(a, b): verified links that connect whatever the links between distinct texts within the budget connect.
 
-    ``texts`` has a row per distinct text: name, fp, sketch and id, one of the doc_ids it has in ``docs``. Spanning forests over the alike
+    ``texts`` has a row per distinct text: name, fp, low, high and id, one of the doc_ids it has in ``docs``. Spanning forests over the alike
     texts of every rotation are compared by their whole shingle sets. Only groups in which a comparison fails can still lack a
     link: these are searched again without the pairs already compared, with MORE times as many forests, until none is left to compare.
     """
@@ -471,7 +475,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, wid
     own = docs.select(docs["doc_id"].alias("id"), _text_name(docs["text"]).alias("name"), docs["text"].alias("t"))
     compared = spark.createDataFrame([], "a long, b long, ok boolean")
     stars = spark.createDataFrame([], "a long, b long")
-    open_, forests = texts.select("name", "fp", "sketch", F.col("name").alias("cls"), F.array().cast("array<bigint>").alias("tried")), 1
+    open_, forests = texts.select("name", "fp", "low", "high"), 1
     while True:
         found = None
         for turn, lead in TURNS:
@@ -499,7 +503,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, wid
         misses = compared.where("not ok").groupBy(F.col("a").alias("m")).agg(F.collect_list("b").alias("misses"))
         rows = texts.join(again, F.col("name") == F.col("again"), "left_semi").join(stars.withColumnRenamed("b", "r"), F.col("name") == F.col("a"), "left")
         rows = rows.join(misses, F.col("name") == F.col("m"), "left")
-        open_ = checkpointed(rows.select("name", "fp", "sketch", F.coalesce("r", "name").alias("cls"),
+        open_ = checkpointed(rows.select("name", "fp", "low", "high", F.coalesce("r", "name").alias("cls"),
                                          F.coalesce("misses", F.array().cast("array<bigint>")).alias("tried")))
         forests *= MORE
     return compared.where("ok").select("a", "b")
@@ -517,7 +521,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = S
     rows = checkpointed(docs.select(docs["doc_id"].alias("id"), _text_name(docs["text"]).alias("name"), set_fingerprint(docs["text"], width).alias("s")))
     each = rows.groupBy("name", "id").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("least")
-    texts = checkpointed(each.groupBy("name").agg(least, F.first("s").alias("s")).select("name", "least", "least.id", "s.fp", "s.sketch"))
+    texts = checkpointed(each.groupBy("name").agg(least, F.first("s").alias("s")).select("name", "least", "least.id", "s.fp", "s.low", "s.high"))
     roots = components(links(docs, texts, similarity, width)).select(F.col("node").alias("m"), "root")
     grouped = texts.join(roots, texts["name"] == roots["m"], "left").withColumn("g", F.coalesce("root", "name"))
     first = grouped.groupBy("g").agg(F.min(F.struct("least.none", "least.id", "name", "least.n")).alias("f"))

@@ -90,7 +90,7 @@ def test_small_nodes_and_equal_fingerprints(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = docs.select(F.col("doc_id").alias("id"), simhash._text_name(F.col("text")).alias("name"), simhash.set_fingerprint(F.col("text"), 5).alias("s"))
     fp = F.when(F.col("id") < 40, F.lit(5).cast("bigint")).otherwise(F.col("s.fp"))
-    rows = rows.select("id", "name", fp.alias("fp"), "s.sketch")
+    rows = rows.select("id", "name", fp.alias("fp"), "s.low", "s.high")
     ids = {r.name: r.id for r in rows.collect()}
     found = [(ids[r.a], ids[r.b]) for r in simhash.links(docs, rows, node=7).collect()]
     assert kept_of(50, found) == {0, *range(40, 50)}
