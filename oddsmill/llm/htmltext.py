@@ -1,21 +1,24 @@
 """Main text of web pages by the distribution of text over their lines.
 
-Markup is stripped so that every block element is a line. A line weighs its characters outside links; lines inside elements
-that are never an article's text weigh nothing, as do lines outside the article element where a page has one with text.
-Weights are summed over sliding windows of lines: text starts where the sum surges and ends where it dives.
+Markup is stripped so that every block element is a line. Elements only set a line's weight: in an article element it is all
+its characters and a surplus, elsewhere those outside links, a quarter of them on a page with articles, and none inside
+elements that are never an article's text. Weights are summed over sliding windows of lines: a text starts where the sum
+surges and ends where it dives or where an article begins or ends. Of the texts found the heavy ones are kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 WINDOW = 3
-SURGE = 40  # characters in a window from which a line can start a text
+SURGE = 40  # weight in a window from which a line can start a text, and an article line's surplus
 SHARE = 0.25  # of the heaviest text that another one on the page must reach
+OUTSIDE = 4  # a line outside an article weighs one part in this many on a page with articles
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,10 +64,11 @@ def _apart(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, set apart, inside an article) of every line with text, in page order."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, apart, in article
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, set apart, number of the outermost article or 0) of every line with text, in page order."""
+    lines: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # element, apart, article
+    articles = 0
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
@@ -73,7 +77,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
-            top = stack[-1] if stack else ("", False, False)
+            top = stack[-1] if stack else ("", False, 0)
             lines.append((text, max(0, len(text) - linked), top[1], top[2]))
         parts.clear()
         links.clear()
@@ -107,37 +111,58 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             stack.pop()
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        above = stack[-1] if stack else ("", False, False)
-        inside = above[2] or tag == "article"
-        stack.append((tag, above[1] or _apart(tag, attributes, above[2]), inside))
+        above = stack[-1] if stack else ("", False, 0)
+        home = above[2]
+        if tag == "article" and not home:
+            articles += 1
+            home = articles
+        stack.append((tag, above[1] or _apart(tag, attributes, above[2] > 0), home))
     if at < len(page):
         parts.append(page[at:])
     close_line()
     return lines
 
 
-def main_text(page: str) -> str:
-    lines = [(text, weight, apart, inside) for text, weight, apart, inside in lines_of(page)]
-    article = any(inside and not apart for _, _, apart, inside in lines)
-    # Inside an article every line that is not set apart is its text, links included.
-    weights = [0 if apart or (article and not inside) else (len(text) if article else weight) for text, weight, apart, inside in lines]
+def weights_of(lines: list[tuple[str, int, bool, int]]) -> list[int]:
+    articles = any(home and not apart for _, _, apart, home in lines)
+    return [0 if apart else len(text) + SURGE if home else outside // OUTSIDE if articles else outside for text, outside, apart, home in lines]
+
+
+def spans_of(weights: list[int], homes: list[int]) -> list[tuple[int, int]]:
+    """Texts as (first line, line behind the last): from a surge of the window sums to a dive, within one article or outside all."""
     n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    back = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(n)]
-    need = 1 if article else SURGE
+    before = [0, *accumulate(weights)]
+    ahead = [before[min(n, i + WINDOW)] - before[i] for i in range(n)]
+    behind = [before[i + 1] - before[max(0, i - WINDOW + 1)] for i in range(n)]
     spans, start = [], None
-    for i in range(n + 1):
-        on = i < n and weights[i] > 0 and max(sums[i], back[i]) >= need
-        if on and start is None:
-            start = i  # surge
-        elif start is not None and (i == n or (not on and sums[i] == 0) or (not article and i < n and weights[i] == 0 and sums[i] < need)):
+    for i in range(n):
+        on = weights[i] > 0 and max(ahead[i], behind[i]) >= SURGE
+        if start is not None and (homes[i] != homes[start] or (not on and ahead[i] < SURGE)):
             spans.append((start, i))  # dive
             start = None
+        if on and start is None:
+            start = i  # surge
+    return spans if start is None else [*spans, (start, n)]
+
+
+def main_text(page: str) -> str:
+    """The lines of the heavy texts of a page, joined by one space; empty for a page without text.
+
+    The texts found in one article weigh together. A page on which no window surges keeps every line that weighs something,
+    or, should all text be in links, every line that is not set apart.
+    """
+    lines = lines_of(page)
+    weights, homes = weights_of(lines), [home for *_, home in lines]
+    spans = spans_of(weights, homes)
     if not spans:
-        spans = [(0, n)]
-    heaviest = max((sum(weights[a:b]) for a, b in spans), default=0)
-    kept = spans if article else [s for s in spans if sum(weights[s[0] : s[1]]) >= SHARE * heaviest]
-    return " ".join(lines[i][0] for a, b in kept for i in range(a, b) if weights[i] > 0)
+        some = any(weights)
+        return " ".join(text for (text, _, apart, _), w in zip(lines, weights) if (w > 0 if some else not apart))
+    heft: dict[tuple[int, int], int] = {}
+    groups = [(homes[a], 0 if homes[a] else a) for a, _ in spans]
+    for group, (a, b) in zip(groups, spans):
+        heft[group] = heft.get(group, 0) + sum(weights[a:b])
+    need = SHARE * max(heft.values())
+    return " ".join(lines[i][0] for group, (a, b) in zip(groups, spans) if heft[group] >= need for i in range(a, b) if weights[i] > 0)
 
 
 def extracted(page: Column) -> Column:
