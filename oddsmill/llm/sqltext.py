@@ -41,30 +41,26 @@ select doc_id, size, source_size, target,
   cast(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) as bigint) as taken from e
 """
 
-# The same masks, stride, window and tolerance, with the kept words compared instead of their hashes.
+# No seeds: words that agree on a diagonal, counted in every window of an item that begins with one of them. A window that
+# runs over the item's end counts no more than the last whole one.
 ORACLES["op10_decontamination"] = r"""
-with masks as (select unnest([0, 1, 2]) as m, unnest([[0,1,3,4,6,7], [0,2,3,5,6,8], [1,2,4,5,7,8]]) as kept),
-items as (
-  select w, min(item_id) as item_id from (select item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w from benchmark)
-  where len(w) >= 9 group by w
+with items as (
+  select row_number() over () as item, item_id, w, least(13, len(w)) as n from (
+    select w, min(item_id) as item_id from (select item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w from benchmark)
+    where len(w) > 0 group by w)
 ), texts as (
-  select distinct text, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w from documents where text is not null
-), ip as (
-  select i.w as iw, i.item_id, j, m, list_transform(kept, lambda o: i.w[j + o + 1]) as s
-  from (select w, item_id, unnest(range(0, len(w) - 8)) as j from items) i, masks
-), tp as (
-  select t.text, i, m, list_transform(kept, lambda o: t.w[i + o + 1]) as s
-  from (select text, w, unnest(range(0, len(w) - 8, 4)) as i from texts where len(w) >= 9) t, masks
-), hits as (select distinct tp.text, ip.iw, ip.item_id, tp.i - ip.j as d from tp join ip on tp.m = ip.m and tp.s = ip.s),
-agree as (
-  select h.text, h.iw, h.item_id, h.d, least(13, len(h.iw)) as n,
-    list_transform(range(0, len(h.iw)), lambda j: case when j + h.d >= 0 and h.iw[j + 1] = t.w[j + h.d + 1] then 1 else 0 end) as a
-  from hits h join texts t on h.text = t.text
-), best as (
-  select text, iw, item_id, n, list_max(list_transform(range(0, len(a) - n + 1), lambda s: list_sum(a[s + 1 : s + n]))) as best from agree
-), found as (
-  select text, count(distinct iw) as n_items, min(item_id) as item_id, cast(max(best) as bigint) as overlap
-  from best where best >= n - floor(n * 2 / 13.0) group by text
+  select row_number() over () as t, text, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w from (select distinct text from documents where text is not null)
+), iw as (select item, n, n - n * 2 // 13 as need, unnest(w) as word, unnest(range(len(w))) as j from items),
+tw as (select t, unnest(w) as word, unnest(range(len(w))) as i from texts),
+agree as (select t, item, i - j as d, j, n, need from tw join iw using (word)),
+long_enough as (select t, item, d from agree group by t, item, d having count(*) >= any_value(need)),
+windows as (
+  select t, item, need, count(*) over (partition by t, item, d order by j range between current row and n - 1 following) as same
+  from agree join long_enough using (t, item, d)
+), best as (select t, item, max(same) as best from windows where same >= need group by t, item),
+found as (
+  select text, count(*) as n_items, min(item_id) as item_id, max(best) as overlap
+  from best join texts using (t) join items using (item) group by text
 )
 select d.doc_id, f.text is not null as contaminated, coalesce(n_items, 0) as n_items, item_id, coalesce(overlap, 0) as overlap
 from documents d left join found f on d.text = f.text
