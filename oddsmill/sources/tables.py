@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from oddsmill.plans.keep import keep_last
 from oddsmill.schemas import DAY, FEATURES, TABLES, TableSpec
 
 
+BUCKET_BYTES = 256 << 20  # stored bytes a bucket is made for; a table is dealt anew when its buckets hold twice as much
+
+
 class MissingInputs(FileNotFoundError):
     pass
 
@@ -54,34 +61,136 @@ def merge_keep_last(old: DataFrame | None, new: DataFrame, keys: tuple[str, ...]
     return rows.drop("_batch", "_seq")
 
 
-def replace(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Writes next to the table and swaps by rename, so the path being read is never overwritten."""
-    spark = df.sparkSession
+def _own(path: str, kind: str) -> str:
+    """A name beside a table that no other run uses; what a lost driver leaves under it is never read."""
+    return f"{path}._{kind}-{uuid.uuid4().hex}"
+
+
+def _swap(spark: SparkSession, path: str, staged: str) -> None:
     fs, target = _fs(spark, path)
-    staged, old = _fs(spark, path + "._new")[1], _fs(spark, path + "._old")[1]
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path + "._new")
+    old = _fs(spark, path + "._old")[1]
     if fs.exists(old):
         fs.delete(old, True)
     if fs.exists(target):
         fs.rename(target, old)
-    fs.rename(staged, target)
+    fs.rename(_fs(spark, staged)[1], target)
     if fs.exists(old):
         fs.delete(old, True)
 
 
+def replace(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Writes next to the table and swaps by rename, so the path being read is never overwritten."""
+    staged = _own(path, "new")
+    df.write.partitionBy(*partition_by).parquet(staged)
+    _swap(df.sparkSession, path, staged)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def bucket_count(spark: SparkSession, path: str) -> int | None:
+    """Buckets of a stored table, from its marker file; none for a table that was written without."""
+    fs, p = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return next((int(n.removeprefix("_buckets_")) for n in names if n.startswith("_buckets_")), None)
+
+
+@contextmanager
+def bucketed(spark: SparkSession, path: str, keys: tuple[str, ...]) -> Iterator[DataFrame]:
+    """A stored table as Spark's bucketed source, so that joins on its keys leave its rows where they are."""
+    n, schema = bucket_count(spark, path), spark.read.parquet(path).schema
+    if n is None:
+        yield spark.read.parquet(path)
+        return
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by = ", ".join(f"`{k}`" for k in keys)
+    where = path.replace("'", "\\'")
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by ({by}) into {n} buckets location '{where}'")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")  # the name only: the files lie outside the warehouse
+
+
+def write_bucketed(df: DataFrame, path: str, keys: tuple[str, ...], sort: tuple[str, ...], n: int) -> None:
+    """Replaces a table by n buckets on its keys, sorted inside; rows that are dealt by the keys already do not move."""
+    spark, staged, name = df.sparkSession, _own(path, "new"), f"bucketed_{uuid.uuid4().hex}"
+    order = [c for c in sort if c in df.columns] or list(keys)
+    df.write.bucketBy(n, *keys).sortBy(*order).option("path", staged).saveAsTable(name)
+    spark.sql(f"drop table {name}")
+    fs, marker = _fs(spark, f"{staged}/_buckets_{n}")
+    fs.create(marker).close()
+    _swap(spark, path, staged)
+
+
+def merged_in_place(old: DataFrame, batch: DataFrame, keys: tuple[str, ...], seq: str, n: int) -> DataFrame:
+    """Keep-last of a bucketed table and a batch: the batch is dealt like the table, whose rows stay in their buckets.
+
+    Rows with a null key meet nothing in a join; the few a table can hold are merged apart. Columns only one side has are
+    null in the other's rows.
+    """
+    columns = [*old.columns, *[c for c in batch.columns if c not in old.columns and c != seq]]
+    types = dict(old.dtypes)
+    batch = batch.withColumns({k: F.col(k).cast(types[k]) for k in keys})
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    last = keep_last(batch.where(whole).repartition(n, *keys), keys, [seq]).drop(seq)
+    new = last.select(*[F.col(f"`{c}`").alias(f"new_{i}") for i, c in enumerate(columns) if c in last.columns], F.lit(True).alias("_hit"))
+    place = {c: i for i, c in enumerate(columns)}
+    on = F.lit(True)
+    for k in keys:
+        on = on & (old[k] == F.col(f"new_{place[k]}"))
+    hit = F.col("_hit").isNotNull()
+
+    def value(c: str, i: int) -> Column:
+        there = F.col(f"new_{i}") if c in last.columns else F.lit(None)
+        return (F.when(hit, there).otherwise(old[c]) if c in old.columns else there).alias(c)
+
+    joined = old.where(whole).join(new, on, "full_outer").select(*[value(c, i) for i, c in enumerate(columns)])
+    rest = merge_keep_last(old.where(~whole), batch.where(~whole), keys, seq)
+    return joined.unionByName(rest.drop(seq), allowMissingColumns=True)
+
+
 def upsert(spark: SparkSession, path: str, new: DataFrame, name: str, seq: str | None = None) -> DataFrame:
-    """Keep-last upsert of one registered table; an empty batch leaves an existing table as it is."""
+    """Keep-last upsert of one registered table; an empty batch leaves an existing table as it is.
+
+    Tables without days are stored in buckets on their keys: the batch is computed once, dealt by the keys and merged bucket
+    by bucket. The stored rows move only when the table has outgrown its buckets, that is once per doubling.
+    """
     spec = TABLES[name]
     recover(spark, path)
     present = exists(spark, path)
-    if present and new.isEmpty():
-        return spark.read.parquet(path)
     if spec.partition_by == ("dt",):
+        if present and new.isEmpty():
+            return spark.read.parquet(path)
         return _upsert_by_day(spark, path, new, spec, seq, present)
-    old = spark.read.parquet(path) if present else None
-    merged = merge_keep_last(old, new, spec.keys, seq)
-    order = [c for c in spec.sort if c in merged.columns]
-    replace(merged.orderBy(*order) if order else merged, path)
+    order = F.col(seq) if seq and seq in new.columns else F.monotonically_increasing_id()
+    staged = _own(path, "batch")
+    new.withColumn("_order", order).write.parquet(staged)
+    try:
+        batch = spark.read.parquet(staged)
+        if present and batch.isEmpty():
+            return spark.read.parquet(path)
+        keys = tuple(k for k in spec.keys if k in batch.columns)
+        size = _bytes(spark, staged) + (_bytes(spark, path) if present else 0)
+        n = bucket_count(spark, path) if present else None
+        if n is not None and size <= 2 * n * BUCKET_BYTES and keys == spec.keys:
+            with bucketed(spark, path, keys) as old:
+                write_bucketed(merged_in_place(old, batch, keys, "_order", n), path, keys, spec.sort, n)
+        else:
+            merged = merge_keep_last(spark.read.parquet(path) if present else None, batch, spec.keys, "_order").drop("_order")
+            if keys != spec.keys or batch.isEmpty():  # a bucketed write of no rows leaves no file with the columns
+                replace(merged, path)
+            else:
+                n = 1 << max(0, -(-size // BUCKET_BYTES) - 1).bit_length()
+                write_bucketed(merged.repartition(n, *keys), path, keys, spec.sort, n)
+    finally:
+        fs, p = _fs(spark, staged)
+        fs.delete(p, True)
     return spark.read.parquet(path)
 
 
@@ -93,8 +202,8 @@ def _upsert_by_day(spark: SparkSession, path: str, new: DataFrame, spec: TableSp
         days = [r["dt"] for r in dated.select("dt").distinct().collect()]  # one value per day of the batch
         old = spark.read.parquet(path).where(F.col("dt").isin(days))
     merged = merge_keep_last(old, dated, spec.keys, seq)
-    stage = path + "._stage"
-    merged.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", *spec.sort).write.mode("overwrite").partitionBy("dt").parquet(stage)
+    stage = _own(path, "stage")
+    merged.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", *spec.sort).write.partitionBy("dt").parquet(stage)
     # The staged rows are complete on disk, so an interrupted copy can simply be repeated.
     spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
     fs, p = _fs(spark, stage)
