@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oddsmill.catalog.registry import query
 from oddsmill.catalog.series import SERIES
 from oddsmill.catalog.sqltext import cte, sql
-from oddsmill.catalog.trading import graded, price_features, settled, targets
+from oddsmill.catalog.trading import graded, price_features, settled, summary, targets
 from oddsmill.operators import audit, bars, clusters, explore, features, health, quality
 from oddsmill.plans.asof import canonical_ticks
 from oddsmill.sources.adapters import AS_OF, EPOCH_START, Canon
@@ -73,6 +73,21 @@ def cluster_sizes(c: Canon):
     return clusters.cluster_sizes(assigned(c))
 
 
+def report(c: Canon):
+    coverage = quality.coverage_block(c.events, c.markets, c.tokens, targets(c), c.prices)
+    return quality.report_document(coverage, quality.quality_block(graded(c)), quality.tag_rankings(summary(c)), assigned(c))
+
+
+@query("report_clusters", sql(
+    """select count(*) over () as num_clusters, cast(sum(size) over () as bigint) as cluster_input_assets, cluster_id, size,
+              cast((select count(*) from q_quality) as double) as quality_total_assets, cast((select count(*) from t_events) as double) as events_discovered
+       from (select cluster_id, count(*) as size from c_assigned group by 1) s"""))
+def report_clusters(c: Canon):
+    return report(c).select(
+        "num_clusters", "cluster_input_assets", F.col("quality")["quality_total_assets"].alias("quality_total_assets"),
+        F.col("coverage")["events_discovered"].alias("events_discovered"), F.inline("cluster_sizes"))
+
+
 @query("cluster_tags", sql("select cluster_id, primary_tag, count(*) as count from c_assigned group by 1, 2"))
 def cluster_tags(c: Canon):
     return clusters.cluster_tags(assigned(c))
@@ -163,6 +178,24 @@ def health_status(c: Canon):
     return health.overall_status(checks(c))
 
 
+@query("health_document", sql(
+    """select case when severity = 'CRITICAL' then 'error' else 'warning' end as kind, name, threshold, 'nightly' as pipeline_profile,
+              (select case when bool_or(not passed and severity = 'CRITICAL') then 'CRITICAL' else 'WARNING' end from r_checks) as status,
+              (select count(*) from r_checks) as checks from r_checks where not passed"""))
+def health_document(c: Canon):
+    """The document's messages, taken apart again."""
+    doc = health.health_document(checks(c), run_ts_text="2024-01-31T00:00:00+00:00", profile="nightly", signals_expected=True)
+
+    def of(kind: str):
+        return F.transform(f"{kind}s", lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("message")))
+
+    told = F.concat(of("warning"), of("error"))
+    rows = doc.select("status", "pipeline_profile", F.size("checks").cast("bigint").alias("checks"), F.inline(told))
+    return rows.select(
+        "kind", F.regexp_extract("message", "^([a-z0-9_]+) failed", 1).alias("name"), F.regexp_extract("message", "threshold=(.*)\\)$", 1).alias("threshold"),
+        "pipeline_profile", "status", "checks")
+
+
 @query("run_ids", sql("select run_id, left(sha256(cast(run_ts as varchar)), 24) as hashed from r_runs"))
 def run_ids(c: Canon):
     return runs(c).select("run_id", health.run_id(F.col("run_ts").cast("string")).alias("hashed"))
@@ -287,11 +320,14 @@ def price_sanity(c: Canon):
 PROFILED = ["p_start", "volatility", "num_points", "return_30d", "pass", "three"]
 
 
-@query("feature_profile", sql(
+PROFILE_SQL = (
     "with x as (select *, 1 as pass, idx3 as three from (select *, cast(asset_id as bigint) % 3 as idx3 from f_price)) " + " union all ".join(
         f"""select '{f}' as feature, cast(least(count(distinct {f}), 4) as integer) as distinct_up_to_4, cast(min({f}) as double) as min, cast(max({f}) as double) as max,
             case when count({f}) = 0 then 'all_null_expected' when count(distinct {f}) = 1 then 'constant' when count(distinct {f}) <= 3 then 'low_variance' else 'varied' end as verdict from x"""
-        for f in PROFILED), "min max"))
+        for f in PROFILED))
+
+
+@query("feature_profile", sql(PROFILE_SQL, "min max"))
 def feature_profile(c: Canon):
     rows = price_features(c).withColumn("pass", F.lit(1)).withColumn("three", F.col("asset_id").cast("bigint") % 3)
     return audit.feature_profile(rows, PROFILED)
@@ -345,6 +381,25 @@ def audit_verdict(c: Canon):
     return audit.verdict(found(c))
 
 
+@query("audit_result_issues", sql(
+    """with p as (select count(*) as n from t_prices group by asset_id), s as (select count(*) as n from c_assigned group by cluster_id),
+            q as (select avg(case when quality_pass then 1.0 else 0.0 end) as pass from q_quality),
+            a as (select price_coverage_pct as pct from r_runs order by run_ts desc, run_id desc limit 5),
+            b as (select signals_generated as made from r_runs where signals_expected order by run_ts desc, run_id desc limit 10)
+       select 'WARNING' as severity, 'points' as area, 'uniform' as subject, cast(min(n) as double) as amount from p having min(n) = max(n)
+       union all select 'CRITICAL', 'points', 'too_few', max(n) from p having max(n) <= 10
+       union all select 'WARNING', 'features', feature, distinct_up_to_4 from (""" + PROFILE_SQL + """) f where verdict in ('constant', 'low_variance')
+       union all select 'WARNING', 'clusters', 'under three members', count(*) from s where n < 3 having count(*) > 0
+       union all select 'WARNING', 'quality', 'quality_pass', pass from q where pass < 0.2
+       union all select 'WARNING', 'runs', 'price_coverage_pct', avg(pct) from a having count(*) = 5 and stddev_samp(pct) < 0.001
+       union all select 'WARNING', 'runs', 'signals_generated', 0 from b having max(made) = 0""", "amount"))
+def audit_result_issues(c: Canon):
+    rows = price_features(c).withColumn("pass", F.lit(1)).withColumn("three", F.col("asset_id").cast("bigint") % 3)
+    return audit.result_issues(
+        audit.points_per_asset(c.prices), audit.feature_profile(rows, PROFILED), audit.cluster_audit(assigned(c)), audit.quality_rates(graded(c)),
+        health.run_trends(runs(c)))
+
+
 # ---- exploration ----
 
 cte("e_sum", """

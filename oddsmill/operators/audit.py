@@ -54,11 +54,21 @@ def null_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(parts).withColumn("null_pct", pct).withColumn("severity", severity)
 
 
+def absent_columns(
+    tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS, references: Sequence[tuple[str, str, str, str]] = REFERENCES
+) -> list[str]:
+    """table.column of the audited keys and references that stored tables lack; their other checks leave those out."""
+    wanted = [(t, c) for t, key in keys.items() for c in key]
+    for child, ccol, parent, pcol in references:
+        wanted += [(child, ccol), (parent, pcol)]
+    return sorted({f"{t}.{c}" for t, c in wanted if t in tables and c not in tables[t].columns})
+
+
 def duplicate_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS) -> DataFrame:
     """table, rows, duplicates: rows beyond the first per key. Counting per key combines in the map tasks."""
     parts = []
     for name, key in keys.items():
-        if name in tables:
+        if name in tables and set(key) <= set(tables[name].columns):
             per_key = tables[name].groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
             parts.append(
                 per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
@@ -71,7 +81,7 @@ def orphans(tables: Mapping[str, DataFrame], references: Sequence[tuple[str, str
     """child, parent, keys, orphans, orphan_pct over distinct non-null child keys."""
     parts = []
     for child, ccol, parent, pcol in references:
-        if child not in tables or parent not in tables:
+        if child not in tables or parent not in tables or ccol not in tables[child].columns or pcol not in tables[parent].columns:
             continue
         have = tables[parent].select(F.col(pcol).alias("k")).distinct().withColumn("_found", F.lit(True))
         want = tables[child].select(F.col(ccol).alias("k")).where("k is not null").distinct()
@@ -221,26 +231,59 @@ def count_deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
+def _part(df: DataFrame, cond: Column, severity: Column, area: str, subject: Column, amount: Column) -> DataFrame:
+    return df.where(cond).select(severity.alias("severity"), F.lit(area).alias("area"), subject.alias("subject"), amount.cast("double").alias("amount"))
+
+
 def issues(
     nulls: DataFrame, duplicates: DataFrame, orphan_keys: DataFrame, span: DataFrame, sanity: DataFrame, gaps: DataFrame
 ) -> DataFrame:
     """severity, area, subject, amount for everything that is wrong."""
-    def part(df: DataFrame, cond: Column, severity: Column, area: str, subject: Column, amount: Column) -> DataFrame:
-        return df.where(cond).select(severity.alias("severity"), F.lit(area).alias("area"), subject.alias("subject"), amount.cast("double").alias("amount"))
-
     c, lit = F.col, F.lit
     return _union(
         [
-            part(nulls, c("severity").isNotNull(), c("severity"), "nulls", F.concat_ws(".", "table", "column"), c("null_pct")),
-            part(duplicates, c("duplicates") > 0, lit("WARNING"), "duplicates", c("table"), c("duplicates")),
-            part(orphan_keys, c("orphans") > 0, lit("WARNING"), "orphans", F.concat_ws("->", "child", "parent"), c("orphans")),
-            part(span, c("severity").isNotNull(), c("severity"), "span", lit("price_history"), c("days")),
-            part(sanity, (c("below_zero") > 0) | (c("above_one") > 0), lit("CRITICAL"), "prices", lit("price_history"), c("below_zero") + c("above_one")),
-            part(gaps, c("non_positive") > 0, lit("CRITICAL"), "gaps", lit("price_history"), c("non_positive")),
+            _part(nulls, c("severity").isNotNull(), c("severity"), "nulls", F.concat_ws(".", "table", "column"), c("null_pct")),
+            _part(duplicates, c("duplicates") > 0, lit("WARNING"), "duplicates", c("table"), c("duplicates")),
+            _part(orphan_keys, c("orphans") > 0, lit("WARNING"), "orphans", F.concat_ws("->", "child", "parent"), c("orphans")),
+            _part(span, c("severity").isNotNull(), c("severity"), "span", lit("price_history"), c("days")),
+            _part(sanity, (c("below_zero") > 0) | (c("above_one") > 0), lit("CRITICAL"), "prices", lit("price_history"), c("below_zero") + c("above_one")),
+            _part(gaps, c("non_positive") > 0, lit("CRITICAL"), "gaps", lit("price_history"), c("non_positive")),
         ]
     )
 
 
+def result_issues(
+    points: DataFrame, profile: DataFrame | None = None, sizes: DataFrame | None = None, rates: DataFrame | None = None, trends: DataFrame | None = None
+) -> DataFrame:
+    """Issues, as above, of what the analysis made: points per asset, features, clusters, pass rates and the last runs.
+
+    Tables that are not stored yet are left out. A count of points that is constant and small is an issue twice: as a
+    constant and as a sign that all features come from next to no data.
+    """
+    c, lit = F.col, F.lit
+    warning, critical = lit("WARNING"), lit("CRITICAL")
+    parts = [
+        _part(points, c("uniform"), warning, "points", lit("uniform"), c("min")),
+        _part(points, c("too_few"), critical, "points", lit("too_few"), c("max")),
+    ]
+    if profile is not None:
+        flat = c("verdict").isin("all_null", "constant", "constant_critical", "low_variance")
+        parts += [
+            _part(profile, flat, warning, "features", c("feature"), c("distinct_up_to_4")),
+            _part(profile, c("verdict") == "constant_critical", critical, "features", c("feature"), c("max")),
+        ]
+    if sizes is not None:
+        parts.append(_part(sizes, c("tiny") > 0, warning, "clusters", lit("under three members"), c("tiny")))
+    if rates is not None:
+        parts.append(_part(rates, c("severity").isNotNull(), c("severity"), "quality", c("check"), c("pass_rate")))
+    if trends is not None:
+        parts += [
+            _part(trends, c("coverage_stuck"), warning, "runs", lit("price_coverage_pct"), c("recent_coverage")),
+            _part(trends, c("signals_silent"), warning, "runs", lit("signals_generated"), lit(0)),
+        ]
+    return _union(parts)
+
+
 def verdict(found: DataFrame) -> DataFrame:
     """One row: ready iff nothing critical was found."""
     critical = F.count_if(F.col("severity") == "CRITICAL")

@@ -107,6 +107,20 @@ def messages(checks: DataFrame) -> DataFrame:
     return failed.select(F.when(F.upper("severity") == "CRITICAL", "error").otherwise("warning").alias("kind"), text.alias("message"))
 
 
+def health_document(checks: DataFrame, *, run_ts_text: str, profile: str, signals_expected: bool) -> DataFrame:
+    """One nested row, ready for a JSON document sink: status, all checks, and the failed ones in words. Checks are few."""
+    told = messages(checks)
+
+    def of(kind: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("message"))))
+
+    lines = told.agg(of("warning").alias("warnings"), of("error").alias("errors"))
+    listed = checks.agg(F.sort_array(F.collect_list(F.struct("name", "value", "threshold", "severity", "passed"))).alias("checks"))
+    return overall_status(checks).select("status").join(F.broadcast(listed)).join(F.broadcast(lines)).select(
+        F.lit(run_ts_text).alias("run_ts"), "status", F.lit(profile).alias("pipeline_profile"), F.lit(signals_expected).alias("signals_expected"),
+        "checks", "warnings", "errors")
+
+
 def run_row(
     coverage: DataFrame, status: DataFrame, *, run_ts: int, run_ts_text: str, duration_s: float, signals_generated: int,
     signals_expected: bool, profile: str, config: dict,

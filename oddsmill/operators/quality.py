@@ -161,9 +161,31 @@ def top_tags_by_tokens(summary: DataFrame, n: int = 15) -> DataFrame:
     )
 
 
-def report_document(coverage: DataFrame, quality: DataFrame) -> DataFrame:
-    """The two metric blocks as one nested row, ready for a JSON document sink."""
+def report_document(
+    coverage: DataFrame, quality: DataFrame, rankings: DataFrame | None = None, members: DataFrame | None = None, shapes: DataFrame | None = None
+) -> DataFrame:
+    """The metric blocks, tag rankings and clusters as one nested row, ready for a JSON document sink.
+
+    Rankings are cut at their n and clusters are few, so the row is small whatever the data; the rows of all tags are a
+    table of their own.
+    """
     def block(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias(name))
 
-    return block(coverage, "coverage").join(F.broadcast(block(quality, "quality")))
+    def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    blocks = [block(quality, "quality")]
+    if rankings is not None:
+        blocks.append(listed(rankings, "tag_rankings", "ranking", "rank", *RANK_COLUMNS))
+    if members is not None:
+        sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+        blocks.append(sizes.agg(
+            F.count(F.lit(1)).alias("num_clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("cluster_input_assets"),
+            F.sort_array(F.collect_list(F.struct("cluster_id", "size"))).alias("cluster_sizes")))
+    if shapes is not None:
+        blocks.append(listed(shapes, "cluster_descriptions", *shapes.columns))
+    row = block(coverage, "coverage")
+    for b in blocks:
+        row = row.join(F.broadcast(b))
+    return row

@@ -150,11 +150,14 @@ def analyze(spark: SparkSession, root: str, as_of_ts: int, settings: Settings =
     clustered = _store(chosen.join(member, "asset_id"), root, "clusters")
     curves = features.curves(prices, s.interval, s.window_days, s.gap_fill_limit)
     bands = _store(clusters.curve_bands(curves, clustered), root, "analysis/cluster_curves")
-    tables.write_document(clusters.describe_curves(bands), f"{root}/analysis/cluster_shapes.json")
+    shapes = _store(clusters.describe_curves(bands), root, "analysis/cluster_shapes")
+    tables.write_document(shapes, f"{root}/analysis/cluster_shapes.json")
     summary = _store(quality.tag_summary(events, markets, targets, prices, feature_table, graded), root, "analysis/by_tag")
-    tables.write_document(quality.tag_rankings(summary, s.tag_rank_top_n), f"{root}/analysis/tag_rankings.json")
+    rankings = _store(quality.tag_rankings(summary, s.tag_rank_top_n), root, "analysis/tag_rankings")
+    tables.write_document(rankings, f"{root}/analysis/tag_rankings.json")
     coverage = _store(quality.coverage_block(events, markets, tokens, targets, prices), root, "analysis/coverage")
-    tables.write_document(quality.report_document(coverage, quality.quality_block(graded)), f"{root}/analysis/report.json")
+    report = quality.report_document(coverage, quality.quality_block(graded), rankings, clustered, shapes)
+    tables.write_document(report, f"{root}/analysis/report.json")
     tables.write_document(tables.feature_metadata(spark), f"{root}/analysis/feature_metadata.json")
 
     if "relationships" in s.steps:
@@ -202,9 +205,12 @@ def analyze(spark: SparkSession, root: str, as_of_ts: int, settings: Settings =
     )
     checks = _store(checks, root, "analysis/health_check")
     status = health.overall_status(checks)
+    expected = bool(set(s.steps) & {"signals", "settlement", "candidates"})
+    document = health.health_document(checks, run_ts_text=began.isoformat(), profile=s.profile, signals_expected=expected)
+    tables.write_document(document, f"{root}/analysis/health_check.json")
     row = health.run_row(
         coverage, status, run_ts=as_of_ts, run_ts_text=began.isoformat(), duration_s=runtime, signals_generated=generated,
-        signals_expected=bool(set(s.steps) & {"signals", "settlement", "candidates"}), profile=s.profile, config=asdict(s),
+        signals_expected=expected, profile=s.profile, config=asdict(s),
     )
     tables.upsert(spark, _path(root, "pipeline_runs"), row, "pipeline_runs")
     return {"warnings": warnings, "features": feature_table, "quality": graded, "clusters": clustered, "signals": signal_table, "health": checks}
@@ -234,7 +240,15 @@ def audit_tables(spark: SparkSession, root: str) -> DataFrame:
         audit.null_profile(have), audit.duplicate_keys(have), audit.orphans(have), audit.time_span(prices), audit.price_sanity(prices),
         audit.gap_profile(prices),
     )
-    missing = [(("CRITICAL"), "tables", n, 1.0) for n in AUDITED if n not in have]
+    found = found.unionByName(audit.result_issues(
+        audit.points_per_asset(prices),
+        audit.feature_profile(have["features"], [c for c in FEATURE_COLUMNS if c in have["features"].columns]) if "features" in have else None,
+        audit.cluster_audit(have["clusters"]) if "clusters" in have else None,
+        audit.quality_rates(have["market_quality"]) if "market_quality" in have else None,
+        health.run_trends(have["pipeline_runs"]) if "pipeline_runs" in have else None,
+    ))
+    missing = [("CRITICAL", "tables", n, 1.0) for n in AUDITED if n not in have]
+    missing += [("WARNING", "columns", c, 1.0) for c in audit.absent_columns(have)]
     if missing:
         found = found.unionByName(spark.createDataFrame(missing, "severity string, area string, subject string, amount double"))
     current = audit.row_counts(have)

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from oddsmill.operators import bars, normalize
+from oddsmill.operators import audit, bars, normalize
+from oddsmill.operators.health import run_trends
 from oddsmill.plans import workflows
 from oddsmill.sources import tables
 from oddsmill.sources.adapters import Canon
@@ -127,3 +128,33 @@ def test_documents_are_parsed_once_per_load(spark, root):
     for extract in (normalize.extract_events, normalize.extract_markets, normalize.extract_tokens, normalize.extract_resolutions):
         plan = extract(docs)._jdf.queryExecution().optimizedPlan().toString()
         assert "parse_json" not in plan.lower() and "parquet" in plan.lower()
+
+
+def test_documents_hold_all_blocks(spark, root):
+    def document(name):
+        return json.loads("".join(r["value"] for r in spark.read.text(f"{root}/analysis/{name}.json").collect()))
+
+    report, health = document("report"), document("health_check")
+    assert report["num_clusters"] == 3 == len(report["cluster_sizes"]) and report["tag_rankings"] and len(report["cluster_descriptions"]) <= 3
+    assert len(health["checks"]) == 8 and len(health["warnings"]) + len(health["errors"]) == sum(not c["passed"] for c in health["checks"])
+    assert all(" failed (value=" in m for m in health["warnings"] + health["errors"])
+
+
+def test_audit_of_results(spark):
+    def frame(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    prices = frame([(a, t, 0.5) for a in ("x", "y") for t in range(3)], "asset_id string, ts long, price double")
+    rows = frame([("x", 2.0, 0.1), ("y", 2.0, 0.2)], "asset_id string, num_points double, volatility double")
+    runs = frame([(str(i), i, 0.5, True, 0) for i in range(12)], "run_id string, run_ts long, price_coverage_pct double, signals_expected boolean, signals_generated long")
+    members = frame([(str(i), int(i > 3)) for i in range(5)], "asset_id string, cluster_id int")
+    gates = frame([(i == 0, True, True, True, True) for i in range(10)], "quality_pass boolean, check_min_points boolean, check_missing_ratio boolean, check_price_range boolean, check_liquidity boolean")
+    found = audit.result_issues(audit.points_per_asset(prices), audit.feature_profile(rows), audit.cluster_audit(members), audit.quality_rates(gates), run_trends(runs))
+    got = sorted((r.severity, r.area, r.subject, r.amount) for r in found.collect())
+    assert got == [
+        ("CRITICAL", "features", "num_points", 2.0), ("CRITICAL", "points", "too_few", 3.0), ("WARNING", "clusters", "under three members", 1.0),
+        ("WARNING", "features", "num_points", 1.0), ("WARNING", "features", "volatility", 2.0), ("WARNING", "points", "uniform", 3.0),
+        ("WARNING", "quality", "quality_pass", 0.1), ("WARNING", "runs", "price_coverage_pct", 0.5), ("WARNING", "runs", "signals_generated", 0.0)]
+    lacking = {"markets": frame([("m",)], "market_id string"), "tokens": frame([("a",)], "token string")}
+    assert audit.absent_columns(lacking) == ["markets.event_id", "tokens.asset_id", "tokens.market_id"]
+    assert audit.duplicate_keys(lacking).count() == 1
