@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from oddsmill.functions.scalars import tag_from_pattern
@@ -12,8 +15,13 @@ from oddsmill.operators.quality import market_tags
 from oddsmill.plans.asof import clean_ticks, last_price
 from oddsmill.plans.keep import keep_last
 from oddsmill.schemas import DAY
+from oddsmill.session import stored
 
-BLOCK = 256  # assets per block of the correlation matrix
+BLOCK = 1024  # assets per block of the correlation matrix
+CELLS = 4 << 20  # most assets x days of a block
+STRIP = 256  # rows of a block compared at a time
+ROWS = 50_000  # pairs sent on at a time
+PAIRS_A_TASK = 8  # block pairs a task takes on average
 
 
 def latest_prices(prices: DataFrame) -> DataFrame:
@@ -60,48 +68,68 @@ def overround_pairs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def _block_correlations(threshold: float, min_overlap: int):
-    """Both sides of a block pair as value and mask matrices; all pair sums are six matrix products."""
+    """Both sides of a block pair as value and mask matrices; all pair sums are six matrix products, taken in strips of rows."""
+
+    def side(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        days, closes = (rows[c].combine_chunks() for c in ("days", "closes"))
+        at = np.repeat(np.arange(rows.num_rows), days.value_lengths().to_numpy(zero_copy_only=False))
+        return rows["asset_id"].combine_chunks(), at, days.flatten().to_numpy(), closes.flatten().to_numpy()
 
-    def matrix(rows: pd.DataFrame, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        assets = rows["asset_id"].to_numpy(dtype=object).astype(str)
-        value = np.zeros((len(assets), len(days)))
+    def matrix(series: tuple, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, at, day, close = series
+        value = np.zeros((len(ids), len(days)))
         mask = np.zeros_like(value)
-        at = np.repeat(np.arange(len(assets)), [len(d) for d in rows["days"]])
-        col = np.searchsorted(days, np.concatenate(rows["days"].to_numpy()))
-        value[at, col] = np.concatenate(rows["closes"].to_numpy())
+        col = np.searchsorted(days, day)
+        value[at, col] = close
         mask[at, col] = 1.0
         # A shift per asset leaves correlations alone and makes constant series exactly zero.
-        first = value[np.arange(len(assets)), mask.argmax(axis=1)]
-        return assets, (value - first[:, None]) * mask, mask
-
-    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if right.empty:  # a block against itself
+        first = value[np.arange(len(ids)), mask.argmax(axis=1)]
+        return (value - first[:, None]) * mask, mask
+
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, tag = pa.Table.from_batches(list(batches)), key[0].as_py()
+        left, right = rows.filter(pc.equal(rows["side"], 0)), rows.filter(pc.equal(rows["side"], 1))
+        same = key[1].as_py() == key[2].as_py()  # a block against itself
+        if same:
             right = left
-        days = np.unique(np.concatenate(rows["days"].to_numpy()))
-        a_ids, x, mx = matrix(left, days)
-        b_ids, y, my = matrix(right, days)
-        n = mx @ my.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sx, sy = x @ my.T, mx @ y.T
-            sxx, syy = (x * x) @ my.T, mx @ (y * y).T
-            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-            flat = (vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy)
-            r = (x @ y.T - sx * sy / n) / np.sqrt(vx * vy)
-        good = (n >= min_overlap) & ~flat & np.isfinite(r) & (np.abs(r) >= threshold)
-        i, j = np.nonzero(good)
-        lo, hi = a_ids[i], b_ids[j]
-        swap = lo > hi
-        out = pd.DataFrame(
-            {
-                "asset_id_a": np.where(swap, hi, lo),
-                "asset_id_b": np.where(swap, lo, hi),
-                "correlation": r[i, j],
-                "overlap_days": n[i, j].astype("int64"),
-            }
-        )
-        out = out[out["asset_id_a"] != out["asset_id_b"]]
-        return out.drop_duplicates(["asset_id_a", "asset_id_b"])
+        if not left.num_rows or not right.num_rows:
+            return
+        a, b = side(left), side(right)
+        days = np.unique(np.concatenate([a[2], b[2]]))
+        (x, mx), (y, my) = matrix(a, days), matrix(b, days)
+        shared = [t["tags"].to_pylist() for t in (left, right)]
+        several = [np.array([t is not None for t in ts]) for ts in shared]
+        ids = pa.concat_arrays([a[0], b[0]])
+        rank = np.unique(ids.to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+        yy = y * y
+        for at in range(0, len(x), STRIP):
+            xs, ms = x[at : at + STRIP], mx[at : at + STRIP]
+            n, sx, sy = ms @ my.T, xs @ my.T, ms @ y.T
+            sxx, syy, sxy = (xs * xs) @ my.T, ms @ yy.T, xs @ y.T
+            enough = n >= min_overlap
+            if same:
+                enough &= np.arange(len(y)) > np.arange(at, at + len(xs))[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+                flat = (vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy)
+                r = (sxy - sx * sy / n) / np.sqrt(vx * vy)
+                good = enough & ~flat & np.isfinite(r) & (np.abs(r) >= threshold)
+            i, j = np.nonzero(good)
+            value, overlap, i = r[i, j], n[i, j].astype("int64"), i + at
+            # A pair that meets under several tags is given by the smallest of them.
+            twice = np.nonzero(several[0][i] & several[1][j])[0]
+            drop = [k for k in twice if min(set(shared[0][i[k]]) & set(shared[1][j[k]])) != tag]
+            if drop:
+                i, j, value, overlap = (np.delete(c, drop) for c in (i, j, value, overlap))
+            j = j + len(x)
+            swap = rank[i] > rank[j]
+            lo, hi = np.where(swap, j, i), np.where(swap, i, j)
+            for k in range(0, len(lo), ROWS):
+                cut = slice(k, k + ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(lo[cut])), ids.take(pa.array(hi[cut])), pa.array(value[cut]), pa.array(overlap[cut])],
+                    ["asset_id_a", "asset_id_b", "correlation", "overlap_days"],
+                )
 
     return pairs
 
@@ -111,9 +139,10 @@ def correlated_pairs(
 ) -> DataFrame:
     """Correlation of daily closes between anchors of one tag; closes: asset_id, day, close; tags: asset_id, primary_tag.
 
-    The exact matrix is computed in blocks of ``block`` x ``block`` assets. A series is sent once per block pair, not once per
-    partner, and only pairs past the threshold leave a task, so a tag that holds a third of all assets becomes many equal tasks
-    and no pair-by-day rows are ever shuffled. A task holds at most 2 * block series.
+    The exact matrix is computed in blocks of about ``block`` x ``block`` assets, fewer where series are long. A series is sent once
+    per block pair, not once per partner, so a tag that holds a third of all assets becomes many equal tasks. Pairs past the
+    threshold leave a task strip by strip and are never shuffled or gathered, so a task's memory depends neither on the number of
+    assets nor on that of the pairs found.
     """
     # One row per asset; a series has at most one point per day.
     series = (
@@ -122,8 +151,18 @@ def correlated_pairs(
         .where(F.size("_s") >= min_overlap)
         .select("asset_id", F.col("_s.day").alias("days"), F.col("_s.close").alias("closes"))
     )
-    members = tags.select("primary_tag", "asset_id").distinct().join(series, "asset_id")
-    sizes = members.groupBy("primary_tag").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # An anchor of several markets may meet a partner under several tags; it carries them all, most carry none.
+    tagged = tags.groupBy("asset_id").agg(F.sort_array(F.collect_set("primary_tag")).alias("_tags"))
+    members = stored(
+        tagged.join(series, "asset_id").select(
+            "asset_id", F.when(F.size("_tags") > 1, F.col("_tags")).alias("tags"), F.explode("_tags").alias("primary_tag"), "days", "closes"
+        )
+    )
+    width = members.select("primary_tag", F.explode("days").alias("day")).distinct().groupBy("primary_tag").agg(F.count(F.lit(1)).alias("width"))
+    blocks = F.ceil(F.col("assets") * F.greatest(F.lit(1 / block), F.col("width") / CELLS)).cast("int")
+    sizes = members.groupBy("primary_tag").agg(F.count(F.lit(1)).alias("assets")).join(width, "primary_tag").select(
+        "primary_tag", blocks.alias("blocks"))
+    tasks = sizes.agg(F.sum(F.col("blocks").cast("bigint") * (F.col("blocks") + 1) / 2)).head()[0] or 1
     # Blocks are hashed, so their sizes are equal up to chance.
     placed = members.join(sizes, "primary_tag").withColumn("mine", F.pmod(F.xxhash64("asset_id"), F.col("blocks")).cast("int"))
     sent = (
@@ -131,6 +170,7 @@ def correlated_pairs(
         .select(
             "primary_tag",
             "asset_id",
+            "tags",
             F.least("mine", "other").alias("bi"),
             F.greatest("mine", "other").alias("bj"),
             (F.col("mine") > F.col("other")).cast("int").alias("side"),
@@ -138,14 +178,13 @@ def correlated_pairs(
             "closes",
         )
     )
-    found = sent.groupBy("primary_tag", "bi", "bj").applyInPandas(
+    # Some block pairs a task, however many there are.
+    dealt = sent.repartition(max(1, -int(-tasks // PAIRS_A_TASK)), "primary_tag", "bi", "bj")
+    found = dealt.groupBy("primary_tag", "bi", "bj").applyInArrow(
         _block_correlations(threshold, min_overlap),
         "asset_id_a string, asset_id_b string, correlation double, overlap_days bigint",
     )
-    # An anchor of several markets may meet a partner under two tags with the same value.
-    return found.groupBy("asset_id_a", "asset_id_b").agg(
-        F.max("correlation").alias("correlation"), F.max("overlap_days").alias("overlap_days")
-    ).select(
+    return found.select(
         "asset_id_a",
         "asset_id_b",
         F.lit("cross_event").alias("relationship_type"),

@@ -168,6 +168,29 @@ def test_correlations_against_naive(spark, block):
     assert got == want and want
 
 
+def test_pairs_of_a_tag_are_sent_by_the_block_and_given_once(spark, monkeypatch):
+    rng = random.Random(5)
+    series = {f"a{i:03}": [round(rng.random(), 3) for _ in range(8)] for i in range(60)}
+    closes = spark.createDataFrame([(a, d, p) for a, s in series.items() for d, p in enumerate(s)], "asset_id string, day bigint, close double")
+    # Every third asset sits in both tags, so its partners meet it twice.
+    rows = [(a, t) for i, a in enumerate(series) for t in (["x", "y"] if i % 3 == 0 else ["x"] if i % 3 == 1 else ["y"])]
+    tags = spark.createDataFrame(rows, "asset_id string, primary_tag string")
+    want = {}
+    for a in series:
+        for b in series:
+            if a < b and {t for k, t in rows if k == a} & {t for k, t in rows if k == b}:
+                r, n = naive_corr(dict(enumerate(series[a])), dict(enumerate(series[b])))
+                if abs(r) >= 0.1:
+                    want[a, b] = (pytest.approx(r, abs=1e-9), n)
+    monkeypatch.setattr(relationships, "STRIP", 7)
+    monkeypatch.setattr(relationships, "CELLS", 200)  # 25 assets of 8 days
+    found = relationships.correlated_pairs(closes, tags, threshold=0.1, min_overlap=4)
+    got = found.collect()
+    assert len(got) == len(want) and {(r["asset_id_a"], r["asset_id_b"]): (r["correlation"], r["overlap_days"]) for r in got} == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan.split("FlatMapGroups")[0]  # found pairs, which grow with the square, are not gathered
+
+
 def test_overround_pairs(spark):
     tokens = spark.createDataFrame([("m", "a"), ("m", "b"), ("m", "c"), ("n", "a"), ("n", "b"), ("o", "a")], "market_id string, asset_id string")
     prices = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.5), ("b", 1, 0.4), ("c", 1, 0.3)], "asset_id string, ts bigint, price double")
