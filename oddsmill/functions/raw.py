@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from oddsmill.functions.scalars import MILLIS_ABOVE, list_items, to_bool, seconds_from_text
+from oddsmill.functions.scalars import MILLIS_ABOVE, list_items, once, to_bool, seconds_from_text
 
 NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
 
@@ -64,15 +64,20 @@ def items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def items_at(doc: Column, key: str) -> Column:
+    """``items`` of a field, without a copy of the whole list."""
+    return F.try_variant_get(doc, f"$.{key}", "array<variant>")
+
+
 def is_object(v: Column) -> Column:
-    # Cheaper than schema_of_variant, which types every nested value.
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    # Cheaper than schema_of_variant, which types every nested value, and than a map, which copies every one.
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def strings_of(v: Column) -> Column:
     """array<string> from an array, JSON text, a comma list or a scalar text."""
     none = F.array().cast("array<string>")
-    return F.coalesce(F.transform(items(v), text), F.when(kind(v) == "STRING", list_items(text(v))), none)
+    return once(v, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<string>"), F.when(kind(x) == "STRING", list_items(text(x))), none))
 
 
 # Keys a tag object is named by, in order.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 MILLIS_ABOVE = 10_000_000_000
@@ -86,26 +88,32 @@ def market_type(given: Column, token_count: Column) -> Column:
     return F.lower(F.coalesce(given, derived))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def list_items(c: Column | str) -> Column:
     """array<string> from JSON text, a comma list or a JSON scalar."""
-    text = F.trim(col(c))
-    parsed = F.try_parse_json(text)
-    kind = F.schema_of_variant(parsed)
-    # The JSON reader stops after the first value, so a quoted comma list would pass as one string.
-    whole = (kind != "STRING") | text.rlike(r'^"([^"\\]|\\.)*"$')
-    split = F.filter(
-        F.transform(F.split(text, ","), lambda p: F.trim(F.trim(F.trim(p), F.lit('"')), F.lit("'"))),
-        lambda p: p != "",
-    )
-    scalar = F.try_variant_get(parsed, "$", "string")
     none = F.array().cast("array<string>")
-    return (
-        F.when(text.isNull() | (text == ""), none)
-        .when(parsed.isNull() | ~whole, split)
-        .when(kind.startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<string>"))
-        .when(F.is_variant_null(parsed) | (scalar == ""), none)
-        .otherwise(F.array(scalar))
-    )
+
+    def read(text: Column, parsed: Column) -> Column:
+        # The JSON reader stops after the first value, so a quoted comma list would pass as one string.
+        whole = (F.schema_of_variant(parsed) != "STRING") | text.rlike(r'^"([^"\\]|\\.)*"$')
+        split = F.filter(
+            F.transform(F.split(text, ","), lambda p: F.trim(F.trim(F.trim(p), F.lit('"')), F.lit("'"))),
+            lambda p: p != "",
+        )
+        scalar = F.try_variant_get(parsed, "$", "string")
+        other = (
+            F.when(text.isNull() | (text == ""), none)
+            .when(parsed.isNull() | ~whole, split)
+            .when(F.is_variant_null(parsed) | (scalar == ""), none)
+            .otherwise(F.array(scalar))
+        )
+        return F.coalesce(F.try_variant_get(parsed, "$", "array<string>"), other)
+
+    return once(F.trim(col(c)), lambda text: once(F.try_parse_json(text), lambda parsed: read(text, parsed)))
 
 
 def tag_from_json(c: Column | str) -> Column:

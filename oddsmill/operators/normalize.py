@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddsmill.functions import raw
-from oddsmill.functions.scalars import canonical_outcome, is_anchor, market_type, resolution_state, to_double, to_long
+from oddsmill.functions.scalars import canonical_outcome, is_anchor, market_type, once, resolution_state, to_double, to_long
 from oddsmill.plans.asof import canonical_ticks, clean_ticks, last_price
 from oddsmill.plans.keep import keep_first, keep_last
 
@@ -58,13 +58,13 @@ def _tokens(listed: Column, names: Column, ids: Column) -> Column:
         F.transform(ids, from_lists),
         lambda t: t["asset_id"].isNotNull() & (t["asset_id"] != ""),
     )
-    return F.when(F.size(objects) > 0, objects).otherwise(lists)
+    return once(objects, lambda found: F.when(F.size(found) > 0, found).otherwise(lists))
 
 
 def _market_docs(docs: DataFrame) -> DataFrame:
     """One row per market object: seq, pos, event_id, market. Markets that are no objects are skipped."""
     return (
-        docs.select("seq", _event_id(F.col("doc")).alias("event_id"), raw.items(raw.pick(F.col("doc"), "markets")).alias("ms"))
+        docs.select("seq", _event_id(F.col("doc")).alias("event_id"), raw.items_at(F.col("doc"), "markets").alias("ms"))
         .select("seq", "event_id", F.posexplode_outer("ms").alias("pos", "market"))
         .where(raw.is_object(F.col("market")))
     )

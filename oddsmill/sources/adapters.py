@@ -18,6 +18,7 @@ AS_OF = 1_706_659_200
 DAY = 86_400
 BOOK_ASSETS = 20
 NO_OFFSET = 1_000_000
+TASKS_A_CORE = 4  # tasks the documents are dealt over
 
 _TYPES = {
     "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "time": T.TimestampNTZType(),
@@ -218,4 +219,7 @@ class Canon:
             F.when(~even, F.array(F.struct(F.lit("").alias("label"), F.col("c_mktsegment").alias("slug")))).alias("categories"),
             F.array(market).alias("markets"),
         )
-        return self.table("customer").select(F.to_json(doc).alias("value"), k.alias("seq"))
+        # The rows become long texts that are costly to read, and a small file is one task's: they are dealt out first.
+        rows = self.table("customer")
+        dealt = rows.repartition(TASKS_A_CORE * self.spark.sparkContext.defaultParallelism, "c_custkey")
+        return dealt.select(F.to_json(doc).alias("value"), k.alias("seq"))

@@ -157,3 +157,14 @@ def test_round_robin(spark):
     rows = spark.createDataFrame([("a1", "alpha", 0.0), ("a2", "alpha", 0.0), ("b1", "beta", 0.0), ("b2", "beta", 0.0)], "asset_id string, primary_tag string, tag_coverage double")
     got = loadplan.round_robin(rows).orderBy("turn", "tag_order", "primary_tag").collect()
     assert [r["asset_id"] for r in got] == ["a1", "b1", "a2", "b2"]
+
+
+def test_documents_of_a_small_file_are_read_by_many_tasks(spark):
+    from oddsmill.sources.adapters import Canon
+
+    docs = Canon(spark, "/root/testdata/sf0.001").documents
+    assert docs.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    tokens = normalize.extract_tokens(normalize.parse_documents(docs))
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert "json" in plan.lower().split("repartitionbyexpression")[0] and "json" not in plan.lower().split("repartitionbyexpression")[1]  # dealt before they are parsed
+    assert tokens.count() == 2 * docs.count() + docs.where("seq % 3 = 2").count()
