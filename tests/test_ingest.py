@@ -168,3 +168,15 @@ def test_documents_of_a_small_file_are_read_by_many_tasks(spark):
     plan = tokens._jdf.queryExecution().optimizedPlan().toString()
     assert "json" in plan.lower().split("repartitionbyexpression")[0] and "json" not in plan.lower().split("repartitionbyexpression")[1]  # dealt before they are parsed
     assert tokens.count() == 2 * docs.count() + docs.where("seq % 3 = 2").count()
+
+
+def test_market_lists_are_read_whole_from_the_document(spark):
+    lines = ['{"markets": [{"id": "a"}, {"id": 2}, 3]}', '{"markets": []}', '{"markets": ""}', '{"markets": "x"}', '{"markets": null}', '{"markets": {"id": "a"}}', "{}", "[]", "1", "null"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "seq int, value string").select("seq", F.try_parse_json("value").alias("doc"))
+    doc = F.col("doc")
+    rows = docs.orderBy("seq").select(
+        F.transform(raw.items_at(doc, "markets"), raw.text).alias("at"), F.transform(raw.items(raw.pick(doc, "markets")), raw.text).alias("pick"), raw.is_object(doc).alias("object")).collect()
+    assert [r["at"] for r in rows] == [r["pick"] for r in rows] and rows[0]["at"] == ['{"id":"a"}', '{"id":2}', "3"]
+    assert [r["object"] for r in rows] == [True] * 7 + [False] * 3
+    markets = normalize.extract_markets(normalize.parse_documents(spark.createDataFrame(list(enumerate(lines)), "seq int, value string")))
+    assert sorted(r["market_id"] for r in markets.collect()) == ["2", "a"]
