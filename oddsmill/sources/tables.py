@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -165,8 +167,6 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, name: str, seq: str |
     recover(spark, path)
     present = exists(spark, path)
     if spec.partition_by == ("dt",):
-        if present and new.isEmpty():
-            return spark.read.parquet(path)
         return _upsert_by_day(spark, path, new, spec, seq, present)
     order = F.col(seq) if seq and seq in new.columns else F.monotonically_increasing_id()
     staged = _own(path, "batch")
@@ -194,20 +194,45 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, name: str, seq: str |
     return spark.read.parquet(path)
 
 
+def _day_runs(days: list[date | None]) -> Column:
+    """Condition on dt that is as long as the days have gaps, not as there are days."""
+    runs: list[list[date]] = []
+    for day in sorted(d for d in days if d is not None):
+        if runs and day - runs[-1][1] <= timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    return reduce(lambda a, b: a | b, [F.col("dt").between(lo, hi) for lo, hi in runs], F.col("dt").isNull() if None in days else F.lit(False))
+
+
+def _write_days(df: DataFrame, path: str, spec: TableSpec) -> None:
+    """Replaces the days of ``df``; days of any size are cut into files by their bytes. Tasks put their files under the job's
+    staging folder themselves, so that the driver only moves whole days into place."""
+    df.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", *spec.sort).write.mode("overwrite").options(
+        **{"partitionOverwriteMode": "dynamic", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    ).partitionBy("dt").parquet(path)
+
+
 def _upsert_by_day(spark: SparkSession, path: str, new: DataFrame, spec: TableSpec, seq: str | None, present: bool) -> DataFrame:
-    """Only the days the batch touches are read, merged and rewritten; days of any size are cut into files by their bytes."""
+    """Only the days the batch touches are read, merged and rewritten."""
     dated = new.withColumn("dt", F.to_date(F.timestamp_seconds((F.floor(F.col(spec.time) / DAY) * DAY).cast("bigint"))))
-    old = None
-    if present:
-        days = [r["dt"] for r in dated.select("dt").distinct().collect()]  # one value per day of the batch
-        old = spark.read.parquet(path).where(F.col("dt").isin(days))
-    merged = merge_keep_last(old, dated, spec.keys, seq)
-    stage = _own(path, "stage")
-    merged.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", *spec.sort).write.partitionBy("dt").parquet(stage)
-    # The staged rows are complete on disk, so an interrupted copy can simply be repeated.
-    spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
-    fs, p = _fs(spark, stage)
-    fs.delete(p, True)
+    if not present:  # nothing stored is read, so an interrupted write can simply be repeated
+        _write_days(merge_keep_last(None, dated, spec.keys, seq), path, spec)
+        return spark.read.parquet(path)
+    order = F.col(seq) if seq and seq in new.columns else F.monotonically_increasing_id()
+    computed, stage = _own(path, "batch"), _own(path, "stage")
+    dated.withColumn("_order", order).write.parquet(computed)
+    batch = spark.read.parquet(computed)
+    touched = [r["dt"] for r in batch.select("dt").distinct().collect()]  # one value per day of the batch
+    if touched:
+        old = spark.read.parquet(path).where(_day_runs(touched))
+        # The staged rows are complete on disk, so an interrupted copy can simply be repeated. They are not laid out by day yet:
+        # a folder per day is made once only.
+        merge_keep_last(old, batch, spec.keys, "_order").drop("_order").write.parquet(stage)
+        _write_days(spark.read.parquet(stage), path, spec)
+    for done in (computed, stage):
+        fs, p = _fs(spark, done)
+        fs.delete(p, True)
     return spark.read.parquet(path)
 
 

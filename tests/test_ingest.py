@@ -115,6 +115,24 @@ def test_upsert_by_day_rewrites_only_touched_days(spark, tmp_path):
     assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "price_history.parquet" / "dt=1970-01-01").glob("*.parquet")}
 
 
+def test_upsert_by_day_of_many_days(spark, tmp_path):
+    path = str(tmp_path / "price_history.parquet")
+    cols = "asset_id string, ts bigint, price double, interval string"
+    days = [d * DAY for d in range(40) if d != 20]
+    tables.upsert(spark, path, spark.createDataFrame([("a", t, 0.1, "1h") for t in days] + [("n", None, 0.1, "1h")], cols), "price_history")
+    before = (tmp_path / "price_history.parquet" / "dt=1970-01-01").stat().st_ino
+    out = tables.upsert(spark, path, spark.createDataFrame([("a", t, 0.2, "1h") for t in days[1:]] + [("m", None, 0.3, "1h")], cols), "price_history")
+    got = {(r["asset_id"], r["ts"]): r["price"] for r in out.collect()}
+    assert got == {("a", t): 0.2 if t else 0.1 for t in days} | {("n", None): 0.1, ("m", None): 0.3}  # rows without a day are kept too
+    assert before == (tmp_path / "price_history.parquet" / "dt=1970-01-01").stat().st_ino
+    assert tables.upsert(spark, path, out.limit(0), "price_history").count() == len(got)
+    import datetime
+
+    known = [datetime.date(1970, 1, 1) + datetime.timedelta(days=d) for d in range(5000) if d != 20]
+    condition = tables._day_runs(known)._jc.toString()
+    assert condition.count("1970-") + condition.count("1983-") <= 4  # two runs, whatever the number of days
+
+
 def test_missing_inputs(spark, tmp_path):
     with pytest.raises(tables.MissingInputs, match="events.parquet, markets.parquet, price_history.parquet, tokens.parquet"):
         tables.check_inputs(spark, str(tmp_path))
