@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from oddsmill.catalog.registry import query
 from oddsmill.catalog.sqltext import cte, sql
@@ -21,12 +24,15 @@ class Landed(Canon):
         return streams.read_files(self.spark, self.path, declared(name), names="events.parquet")
 
 
+def into_table(stream: DataFrame, folder: str) -> DataStreamWriter:
+    return stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+
+
 def drained(stream: DataFrame) -> DataFrame:
     """Runs the stream over what is there into a table and reads it back."""
     folder = shared_folder(stream.sparkSession)
-    out = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option(
-        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    out.awaitTermination()
+    into_table(stream, folder).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -66,19 +72,22 @@ select asset_id, ts, price, seq, landing, too_late from t_landed
 union all select asset_id, ts, price / 2, seq + 1000000000, 3, false from t_landed where day = 19 and seq % 3 = 0""")
 
 
-def landings(c: Canon, rows: DataFrame, repeats: bool, folder: str) -> DataFrame:
-    """Rows (with ts and seq) written as three landings one after the other, as a stream that takes one file per trigger."""
+def drained_by_landing(c: Canon, rows: DataFrame, repeats: bool, folder: str, sink: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Rows (with ts and seq) land three times; after each landing the stream is run over what is new and stops.
+
+    A landing is as many files as it has tasks; the run after it reads them whole in one trigger.
+    """
     day, seq = F.floor((F.col("ts") - EPOCH_START) / DAY), F.col("seq")
     late, too_late = (day == 9) & (seq % 5 == 2), (day == 2) & (seq % 5 == 3)
     number = F.when((day < 10) & ~late & ~too_late, 1).when((day < 20) & ~too_late, 2).otherwise(3)
     again = rows.where((day == 19) & (seq % 3 == 0)).withColumn("price", F.col("price") / 2).withColumn("seq", seq + 1_000_000_000)
+    schema = rows.schema
     rows = rows.withColumn("_landing", number)
     if repeats:
         rows = rows.unionByName(again.withColumn("_landing", F.lit(3)))
     for k in (1, 2, 3):
-        # One file per landing, so that a trigger sees a landing whole.
-        rows.where(F.col("_landing") == k).drop("_landing").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
-    return streams.read_files(c.spark, f"{folder}/landed", rows.drop("_landing").schema, per_trigger=1)
+        rows.where(F.col("_landing") == k).drop("_landing").write.mode("append").parquet(f"{folder}/landed")
+        sink(streams.read_files(c.spark, f"{folder}/landed", schema)).start().awaitTermination()
 
 
 @query("stream_corrected_bars", sql(
@@ -90,8 +99,8 @@ def landings(c: Canon, rows: DataFrame, repeats: bool, folder: str) -> DataFrame
     "volume buy_volume sell_volume vwap"))
 def stream_corrected_bars(c: Canon):
     folder = shared_folder(c.spark)
-    stream = landings(c, c.trades_with_seq(), False, folder)
-    streams.corrected_bars_into(stream, f"{folder}/volume_bars.parquet", f"{folder}/checkpoint", "1h", "2 days").start().awaitTermination()
+    drained_by_landing(c, c.trades_with_seq(), False, folder, lambda stream: streams.corrected_bars_into(
+        stream, f"{folder}/volume_bars.parquet", f"{folder}/checkpoint", "1h", "2 days"))
     return c.spark.read.parquet(f"{folder}/volume_bars.parquet").drop("dt")
 
 
@@ -100,9 +109,13 @@ def stream_corrected_bars(c: Canon):
        where h <= (select max(ts - ts % 3600) from t_arrived) - 172800 group by 1, 2""", "price"))
 def stream_last_ticks(c: Canon):
     folder = shared_folder(c.spark)
-    stream = landings(c, c.prices, True, folder)
-    ticks = stream.select("asset_id", F.expr("ts - pmod(ts, 3600)").alias("ts"), "price", F.lit("1h").alias("interval"), "seq")
-    return drained(streams.last_ticks(ticks, "2 days")).select("asset_id", "ts", "price")
+
+    def sink(stream: DataFrame) -> DataStreamWriter:
+        ticks = stream.select("asset_id", F.expr("ts - pmod(ts, 3600)").alias("ts"), "price", F.lit("1h").alias("interval"), "seq")
+        return into_table(streams.last_ticks(ticks, "2 days"), folder)
+
+    drained_by_landing(c, c.prices, True, folder, sink)
+    return c.spark.read.schema("asset_id string, ts bigint, price double").parquet(f"{folder}/out")
 
 
 @query("stream_upserts_present", sql(
@@ -114,7 +127,10 @@ def stream_upserts_present(c: Canon):
     table = f"{folder}/price_history.parquet"
     stored = c.prices.select("asset_id", F.expr("ts - pmod(ts, 86400)").alias("ts"), F.lit(0.0).alias("price"), F.lit("1d").alias("interval"), F.lit(-1).cast("bigint").alias("ingested_at"))
     tables.upsert(c.spark, table, stored.distinct(), "price_history")
-    days = landings(c, c.prices, True, folder).select(
-        "asset_id", F.expr("ts - pmod(ts, 86400)").alias("ts"), "price", F.lit("1d").alias("interval"), F.col("seq").alias("ingested_at"))
-    streams.keep_last_into(days, table, "price_history", f"{folder}/checkpoint", "ingested_at").start().awaitTermination()
+
+    def sink(stream: DataFrame) -> DataStreamWriter:
+        days = stream.select("asset_id", F.expr("ts - pmod(ts, 86400)").alias("ts"), "price", F.lit("1d").alias("interval"), F.col("seq").alias("ingested_at"))
+        return streams.keep_last_into(days, table, "price_history", f"{folder}/checkpoint", "ingested_at")
+
+    drained_by_landing(c, c.prices, True, folder, sink)
     return c.spark.read.parquet(table).select("asset_id", "ts", "price", "ingested_at")

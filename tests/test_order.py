@@ -132,3 +132,23 @@ def test_statistics_compute_their_input_once(spark):
     summary = mtm.mtm_summary(mtm.mark_to_market(c.signal_log, c.prices, c.books))
     plan = summary._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan.lower() and summary.count() > 0
+
+
+def test_landings_are_written_by_all_tasks_and_read_whole(spark, tmp_path):
+    from oddsmill.catalog import streaming
+    from oddsmill.sources.adapters import DAY, EPOCH_START, Canon
+
+    rows = spark.range(0, 300, 1, 4).select((EPOCH_START + F.col("id") % 30 * DAY).alias("ts"), F.lit(0.5).alias("price"), F.col("id").alias("seq"))
+    seen = []
+
+    def sink(stream):
+        count = lambda batch, number: seen.append((number, batch.count()))
+        return stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+
+    streaming.drained_by_landing(Canon(spark, ""), rows, True, str(tmp_path), sink)
+    day, seq = (lambda i: i % 30), (lambda i: i % 5)
+    third = [i for i in range(300) if day(i) >= 20 or (day(i) == 2 and seq(i) == 3)] + [i for i in range(300) if day(i) == 19 and i % 3 == 0]
+    first = [i for i in range(300) if day(i) < 10 and not (day(i) == 9 and seq(i) == 2) and not (day(i) == 2 and seq(i) == 3)]
+    again = len([i for i in range(300) if day(i) == 19 and i % 3 == 0])
+    assert seen == [(0, len(first)), (1, 300 + again - len(first) - len(third)), (2, len(third))]
+    assert len(list((tmp_path / "landed").glob("*.parquet"))) >= 12
