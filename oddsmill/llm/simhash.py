@@ -8,8 +8,9 @@ split where their bits differ.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -258,58 +259,62 @@ def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned(F.col("fp"), 64 - depth) if depth else F.lit(0).cast("bigint")
 
 
-def node_pairs(fps: DataFrame, budget: Budget, node: int = NODE) -> DataFrame | None:
-    """Rows (depth, x, y, same) of node pairs left to follow: x and y are the sorted rows of two nodes, at most ``node`` each.
+def node_pairs(fps: DataFrame, budgets: Sequence[Budget], node: int = NODE) -> DataFrame | None:
+    """Rows (depth, turn, x, y, same) of node pairs left to follow: x and y are the sorted rows of two nodes, at most ``node`` each.
 
-    ``fps`` has ``fp`` and whatever else each row carries; one fingerprint with more rows than a node takes is dealt into parts by
-    the hash of ``name``, a column that then has to be there. None if there are no rows.
+    ``fps`` has ``fp``, ``turn`` and whatever else each row carries. Every turn is a trie of its own with the budget at that place; all go
+    down together, so their number adds no steps. One fingerprint with more rows than a node takes is dealt into parts by the hash of
+    ``name``, a column that then has to be there. None if there are no rows.
     """
-    total = fps.count()
-    if not total:
+    totals = fps.groupBy("turn").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per turn
+    if not totals:
         return None
-    carried = F.struct("fp", *[c for c in fps.columns if c != "fp"])
-    spark, depth = fps.sparkSession, 0
-    open_ = spark.createDataFrame([(0, 0, total, total)], "a long, b long, na long, nb long")
-    ready, blobs = [], []
+    carried = F.struct("fp", *[c for c in fps.columns if c not in ("fp", "turn")])
+    spark, depth, fits = fps.sparkSession, 0, F.greatest("na", "nb") <= node
+    open_ = spark.createDataFrame([(r.turn, 0, 0, r.n, r.n) for r in totals], "turn int, a long, b long, na long, nb long")
+    some, more = any(r.n <= node for r in totals), any(r.n > node for r in totals)
+    ready, depths, parted = [], [], None
     while True:
-        done = open_.where((F.col("na") <= node) & (F.col("nb") <= node)).select(F.lit(depth).alias("depth"), "a", "b")
-        ready.append(done)
-        sizes = fps.groupBy(_prefix(depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-        fits = sizes.where(F.col("n") <= node).select("p")
-        blobs.append(fps.withColumn("p", _prefix(depth)).join(fits, "p").groupBy("p").agg(F.collect_list(carried).alias("rows"))
-                     .select(F.lit(depth).alias("depth"), "p", "rows"))
-        wide = open_.where((F.col("na") > node) | (F.col("nb") > node))
-        if wide.isEmpty():
+        if some:
+            ready.append(open_.where(fits).select(F.lit(depth).alias("depth"), "turn", "a", "b"))
+            depths.append(depth)
+        if not more:
             break
+        wide = open_.where(~fits).select("turn", "a", "b")
         if depth == 64:
-            large = checkpointed(sizes.where(F.col("n") > 0).select("p", F.ceil(F.col("n") / node).cast("int").alias("parts")))
+            sizes = fps.groupBy("turn", F.col("fp").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+            large = checkpointed(sizes.select("turn", "p", F.ceil(F.col("n") / node).cast("int").alias("parts")))
             part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            a = large.select(F.col("p").alias("a"), part.alias("i"))
-            b = large.select(F.col("p").alias("b"), part.alias("j"))
-            cut = wide.select("a", "b").join(a, "a").join(b, "b").where("a != b or i <= j")
-            ready.append(cut.select(F.lit(65).alias("depth"), F.xxhash64("a", "i").alias("a"), F.xxhash64("b", "j").alias("b")))
+            a = large.select("turn", F.col("p").alias("a"), part.alias("i"))
+            b = large.select("turn", F.col("p").alias("b"), part.alias("j"))
+            cut = wide.join(a, ["turn", "a"]).join(b, ["turn", "b"]).where("a != b or i <= j")
+            ready.append(cut.select(F.lit(65).alias("depth"), "turn", F.xxhash64("a", "i").alias("a"), F.xxhash64("b", "j").alias("b")))
             mine = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-            blobs.append(fps.join(large, fps["fp"] == large["p"]).groupBy(F.xxhash64("fp", mine).alias("p"))
-                         .agg(F.collect_list(carried).alias("rows")).select(F.lit(65).alias("depth"), "p", "rows"))
+            parted = fps.join(large.withColumnRenamed("p", "fp"), ["turn", "fp"]).withColumn("depth", F.lit(65))
+            parted = parted.withColumn("p", F.xxhash64("fp", mine)).drop("parts")
             break
         depth += STRIDE
-        child = fps.groupBy(_prefix(depth).alias("c")).agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.shiftright("c", STRIDE))
+        child = fps.groupBy("turn", _prefix(depth).alias("c")).agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.shiftright("c", STRIDE))
         if depth == 64:
             child = child.withColumn("p", F.shiftrightunsigned("c", STRIDE))
-        left = child.select(F.col("p").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-        right = child.select(F.col("p").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-        near = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= budget.at(depth)
-        down = wide.select("a", "b").join(left, "a").join(right, "b").where(near & ((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb"))))
-        open_ = checkpointed(down.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb"))
-    pairs, rows = ready[0], blobs[0]
-    for more, blob in zip(ready[1:], blobs[1:]):
-        pairs, rows = pairs.union(more), rows.union(blob)
-    pairs = checkpointed(pairs)
-    used = pairs.select("depth", F.col("a").alias("p")).union(pairs.select("depth", F.col("b").alias("p"))).distinct()
-    rows = checkpointed(rows.join(used, ["depth", "p"], "left_semi"))
-    x = rows.select("depth", F.col("p").alias("a"), F.col("rows").alias("x"))
-    y = rows.select("depth", F.col("p").alias("b"), F.col("rows").alias("y"))
-    return pairs.join(x, ["depth", "a"]).join(y, ["depth", "b"]).select("depth", "x", "y", (F.col("a") == F.col("b")).alias("same"))
+        left = child.select("turn", F.col("p").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+        right = child.select("turn", F.col("p").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+        allowed = F.get(F.array(*[F.lit(b.at(depth)) for b in budgets]), F.col("turn"))
+        near = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= allowed
+        down = wide.join(left, ["turn", "a"]).join(right, ["turn", "b"]).where(near & ((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb"))))
+        open_ = checkpointed(down.select("turn", F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb"))
+        some, more = open_.agg(F.bool_or(fits), F.bool_or(~fits)).first()
+    pairs = checkpointed(reduce(DataFrame.union, ready))
+    keys = ["depth", "turn", "p"]
+    used = pairs.select("depth", "turn", F.col("a").alias("p")).union(pairs.select("depth", "turn", F.col("b").alias("p"))).distinct()
+    # Rows are gathered once, for the depths and nodes that a pair has.
+    at = fps.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>")))
+    at = at.withColumn("p", F.expr("if(depth = 0, 0L, shiftrightunsigned(fp, 64 - depth))"))
+    at = at if parted is None else at.unionByName(parted)
+    rows = checkpointed(at.join(used, keys, "left_semi").groupBy(*keys).agg(F.collect_list(carried).alias("rows")))
+    x = rows.select("depth", "turn", F.col("p").alias("a"), F.col("rows").alias("x"))
+    y = rows.select("depth", "turn", F.col("p").alias("b"), F.col("rows").alias("y"))
+    return pairs.join(x, ["depth", "turn", "a"]).join(y, ["depth", "turn", "b"]).select("depth", "turn", "x", "y", (F.col("a") == F.col("b")).alias("same"))
 
 
 def _columns(rows: pa.ListScalar, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -324,24 +329,27 @@ def link_forest(fps: DataFrame, budget: Budget = Budget(), node: int = NODE) ->
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for depth, x, y, same in zip(*batch.columns):
+            for depth, _, x, y, same in zip(*batch.columns):
                 (a,), (b,) = _columns(x, ("fp",)), _columns(y, ("fp",))
                 u, v = _forest(a, b, same.as_py(), depth.as_py(), budget)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["a", "b"])
 
-    pairs = node_pairs(fps.select("fp"), budget, node)
+    pairs = node_pairs(fps.select("fp", F.lit(0).alias("turn")), (budget,), node)
     schema = "a long, b long"
     return fps.sparkSession.createDataFrame([], schema) if pairs is None else pairs.mapInArrow(follow, schema)
 
 
-def candidates(texts: DataFrame, budget: Budget, forests: int = 1, node: int = TEXTS) -> DataFrame:
+def candidates(texts: DataFrame, budget: Budget | Sequence[Budget], forests: int = 1, node: int = TEXTS) -> DataFrame:
     """(a, b) from distinct (name, fp, low, high), with cls and tried or without: pairs of texts to compare, a below b.
 
+    With several budgets a row also has ``turn``, the place of its own, and a text has a row per turn.
     Every pair of trie nodes gives ``forests`` spanning forests over the classes of its alike texts, so whatever is within the budget and
     alike is connected by what comes out, unless pairs turn out not to be links.
     """
     schema = "a long, b long"
-    columns = [c for c in ("fp", "name", "low", "high", "cls", "tried") if c in texts.columns]
+    budgets = (budget,) if isinstance(budget, Budget) else tuple(budget)
+    texts = texts if "turn" in texts.columns else texts.withColumn("turn", F.lit(0))
+    columns = [c for c in ("fp", "turn", "name", "low", "high", "cls", "tried") if c in texts.columns]
 
     def side(rows: pa.ListScalar) -> tuple:
         values = rows.values
@@ -357,14 +365,14 @@ def candidates(texts: DataFrame, budget: Budget, forests: int = 1, node: int = T
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for depth, x, y, same in zip(*batch.columns):
+            for depth, turn, x, y, same in zip(*batch.columns):
                 sides = [side(x)] if same.as_py() else [side(x), side(y)]
                 fp, name, sketch, cls, tried = zip(*sides)
                 found = _candidates(list(fp), list(name), list(sketch), list(cls), np.concatenate(tried),
-                                    same.as_py(), min(depth.as_py(), 64), budget, forests)
+                                    same.as_py(), min(depth.as_py(), 64), budgets[turn.as_py()], forests)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
 
-    pairs = node_pairs(texts.select(*columns), budget, node)
+    pairs = node_pairs(texts.select(*columns), budgets, node)
     if pairs is None:
         return texts.sparkSession.createDataFrame([], schema)
     return pairs.mapInArrow(follow, schema).distinct()
@@ -475,13 +483,11 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, wid
     own = docs.select(docs["doc_id"].alias("id"), _text_name(docs["text"]).alias("name"), docs["text"].alias("t"))
     compared = spark.createDataFrame([], "a long, b long, ok boolean")
     stars = spark.createDataFrame([], "a long, b long")
+    turns = F.array(*[F.struct(F.lit(k).alias("turn"), _turned(F.col("fp"), by).alias("fp")) for k, (by, _) in enumerate(TURNS)])
     open_, forests = texts.select("name", "fp", "low", "high"), 1
     while True:
-        found = None
-        for turn, lead in TURNS:
-            turned = candidates(open_.withColumn("fp", _turned(F.col("fp"), turn)), Budget(TOTAL, lead, LEAD), forests, node)
-            found = turned if found is None else found.union(turned)
-        near = checkpointed(found.distinct())
+        turned = open_.withColumn("at", F.explode(turns)).withColumn("turn", F.col("at.turn")).withColumn("fp", F.col("at.fp")).drop("at")
+        near = checkpointed(candidates(turned, [Budget(TOTAL, lead, LEAD) for _, lead in TURNS], forests, node))
         if near.isEmpty():
             break
         wanted = near.select(F.col("a").alias("name")).union(near.select(F.col("b").alias("name"))).distinct()

@@ -106,3 +106,23 @@ def test_rows_nulls_and_clashing_names(spark):
     assert got.schema == docs.schema
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, rows[0][1]), (None, "only here"), (9, " ")], key=str)
     assert simhash.deduplicated(docs.where("false")).count() == 0
+
+
+def test_rotations_go_down_together(spark):
+    """All rotations in one pass give the pairs of a pass for each, and the driver's jobs don't grow with their number."""
+    rng = random.Random(3)
+    bases = [rng.choices(WORDS, k=120) for _ in range(6)]
+    texts = [" ".join(edited(rng, base, 0.1)) for base in bases for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(simhash._text_name(F.col("text")).alias("name"), simhash.set_fingerprint(F.col("text"), 5).alias("s")).select("name", "s.fp", "s.low", "s.high")
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    budgets = [simhash.Budget(simhash.TOTAL, lead, simhash.LEAD) for _, lead in simhash.TURNS]
+    turned = [rows.withColumn("fp", simhash._turned(F.col("fp"), by)) for by, _ in simhash.TURNS]
+    apart = {tuple(r) for t, budget in zip(turned, budgets) for r in simhash.candidates(t, budget, node=8).collect()}
+    every = turned[0].withColumn("turn", F.lit(0)).union(turned[1].withColumn("turn", F.lit(1))).union(turned[2].withColumn("turn", F.lit(2)))
+    assert apart and {tuple(r) for r in simhash.candidates(every, budgets, node=8).collect()} == apart
+    spark.sparkContext.setJobGroup("near-copies", "")
+    assert simhash.deduplicated(docs).count() < len(texts)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-copies"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 95
