@@ -180,12 +180,21 @@ def usable_spread(c: Column | str) -> Column:
     return F.when(col(c) > 0, col(c)).otherwise(F.lit(DEFAULT_SPREAD))
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """x to so many digits, ties of the scaled double to even as SQL's round_even has them; bround takes the ties of x as printed.
+
+    0.63455 is below its tie: scaled it is 6345.499999999999 and gives 0.6345.
+    """
+    scaled = x * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(F.rint(scaled) / F.lit(10.0**digits))
+
+
 def damped_confidence(strength: Column, volume: Column, points: Column) -> Column:
     """Strength scaled by liquidity and data volume; a missing volume or count does not damp."""
     base = F.least(F.lit(0.8), F.greatest(F.lit(0.0), strength))
     liquid = F.when(volume.isNull(), 1.0).otherwise(F.least(F.lit(1.0), volume / 500.0))
     enough = F.when(points.isNull(), 1.0).otherwise(F.least(F.lit(1.0), points / 100.0))
-    return F.bround(F.greatest(F.lit(0.0), base * liquid * enough), 4)
+    return round_even(F.greatest(F.lit(0.0), base * liquid * enough), 4)
 
 
 def unit_trade(direction: Column, entry: Column, exit_: Column, spread: Column) -> tuple[Column, Column, Column]:

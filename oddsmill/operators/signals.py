@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from oddsmill.functions.scalars import damped_confidence, tag_from_pattern, to_double, usable_spread
+from oddsmill.functions.scalars import damped_confidence, round_even, tag_from_pattern, to_double, usable_spread
 from oddsmill.operators.quality import market_tags
 from oddsmill.plans.asof import clean_ticks, last_price
 from oddsmill.plans.keep import top_per_group
@@ -141,7 +141,7 @@ def convergence(s: Settings) -> Column:
             "target_price": target,
             "edge": edge,
         },
-        {"days_to_resolution": dtr, "slope": slope, "spread": spread, "price_extremity": F.bround(extremity, 4)},
+        {"days_to_resolution": dtr, "slope": slope, "spread": spread, "price_extremity": round_even(extremity, 4)},
     )
 
 
@@ -174,7 +174,7 @@ def momentum(s: Settings) -> Column:
             "target_price": F.when(up, F.least(F.lit(0.99), p + 0.05)).otherwise(F.greatest(F.lit(0.01), p - 0.05)),
             "edge": edge,
         },
-        {"return_1d": F.bround(r, 4), "buy_sell_ratio": F.bround(ratio, 4), "volume_ratio": F.bround(surge, 2), "spread": spread},
+        {"return_1d": round_even(r, 4), "buy_sell_ratio": round_even(ratio, 4), "volume_ratio": round_even(surge, 2), "spread": spread},
     )
 
 
@@ -210,11 +210,11 @@ def orderbook_imbalance(s: Settings) -> Column:
             "edge": edge,
         },
         {
-            "bid_depth": F.bround(bid, 2),
-            "ask_depth": F.bround(ask, 2),
-            "imbalance_ratio": F.when(one_sided, 999.0).otherwise(F.bround(ratio, 2)),
+            "bid_depth": round_even(bid, 2),
+            "ask_depth": round_even(ask, 2),
+            "imbalance_ratio": F.when(one_sided, 999.0).otherwise(round_even(ratio, 2)),
             "spread": spread,
-            "avg_daily_volume": F.bround(volume, 0),
+            "avg_daily_volume": round_even(volume, 0),
         },
     )
 

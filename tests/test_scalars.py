@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,13 @@ def test_first_present_and_numbers(spark):
     got = row.select(S.first_present("a", "b").alias("p"), S.to_double("c").alias("c"), S.to_double("d").alias("d"), S.to_double("b").alias("b")).first()
     assert (got["p"], got["c"], got["d"], got["b"]) == ("0", None, None, 0.0)
     assert [one(spark, S.usable_spread(F.lit(v).cast("double"))) for v in (0.02, 0.0, None)] == [0.02, 0.03, 0.03]
+
+
+@pytest.mark.parametrize("digits", [0, 2, 4])
+def test_round_even_as_in_sql(spark, digits):
+    """Doubles at decimal ties, where scaling decides: 0.63455 is no tie, 2.675 is one."""
+    values = [0.63455, 0.63445, -0.63455, 2.675, 1.005, 0.5, 1.5, 1e306, 0.0, *[k / 1e5 for k in range(5, 100_000, 310)], *[k / 1e3 for k in range(5, 30_000, 70)]]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.round_even(F.col("x"), digits).alias("r")).collect()
+    con = duckdb.connect()
+    want = {v: con.execute(f"select round_even(cast(? as double), {digits})", [v]).fetchall()[0][0] for v in values}
+    assert {r["x"]: r["r"] for r in rows} == want

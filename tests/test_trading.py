@@ -287,3 +287,11 @@ def test_declared_aggregates_share_one_grouping(spark):
     with pytest.raises(ValueError, match="low"):
         signals.declared_aggregates({**rules, "d": rule(lambda: {"low": F.max("price")})})
     assert "range_reversal" not in signals.active_rules() and "range_reversal" in signals.active_rules(["range_reversal"])
+
+
+def test_explanation_rounds_as_sql(spark):
+    """A move of 0.63455 is 0.6345 to four digits, not a tie."""
+    row = run(spark, "momentum", {**MOVE, "return_1d": 0.63455})[0]
+    assert json.loads(row["metadata_json"])["return_1d"] == 0.6345
+    text = signals.explanation(F.lit("momentum_breakout"), F.lit("buy"), F.lit(0.1), F.lit(row["metadata_json"]))
+    assert spark.range(1).select(text.alias("x")).first()["x"].startswith("Price moved +63.4% on 5.0x")
