@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import accumulate
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from oddsmill.llm.common import checkpointed
+from oddsmill.llm.common import checkpointed, likely
 from oddsmill.llm.components import components
 
 NODE = 4096  # fingerprints of a node that one task takes at once
-TEXTS = 8192  # the same for texts with sketches: a text is sent to fewer node pairs
+TEXTS = 8192  # the same for texts with sketches
+FIRST = 8  # times as many while one forest is kept of a node pair: the larger the nodes, the fewer of them a text is sent to
 STRIDE = 2  # bits by which the distributed part goes down
 DIRECT = 64  # pairs of two nodes that are compared at once instead of going deeper
 FRONTIER = 100_000  # node pairs followed at a time inside a task
@@ -34,12 +35,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    whole = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(whole[a : b - 1], 42) for a, b in zip(starts, starts[width:])], np.uint64)
+    shingles = map(b" ".join, zip(*[words[k:] for k in range(width)])) if len(words) > width else [b" ".join(words)]
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), ">u8").astype(np.uint64)
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -414,6 +411,25 @@ SLICE = 65_536  # pairs whose sketches are compared at once
 MULTIPLIERS = np.random.default_rng(5).integers(1 << 32, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """XXH64 of the words of a text whose A-Z become small."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, text.lower().split())), np.uint64)
+
+
+def joined_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the shingles of so many word hashes; fewer words are one shingle, none has none."""
+    n = max(min(1, len(words)), len(words) - width + 1)
+    h = words[:n].copy()
+    for m in range(1, min(width, len(words))):
+        h *= np.uint64(0x9E3779B97F4A7C13)
+        h += words[m : m + n]
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
 def sketch_of(hashes: np.ndarray) -> tuple[int, int]:
     """Two words with a bit each of MINS places; two sets share about as large a part of them as their Jaccard similarity, and a quarter of the rest."""
     if not len(hashes):
@@ -432,7 +448,7 @@ def set_fingerprint(text: Column, width: int) -> Column:
         rows = []
         for text in texts.cast(pa.large_binary()):
             whole = text.as_py() or b""
-            rows.append((fingerprint_of(np.unique(shingle_hashes(whole, 3))), *sketch_of(shingle_hashes(whole, width))))
+            rows.append((fingerprint_of(np.unique(shingle_hashes(whole, 3))), *sketch_of(joined_hashes(word_hashes(whole), width))))
         columns = zip(*rows) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["fp", "low", "high"])
 
@@ -447,8 +463,8 @@ def alike(a: Column, b: Column, similarity: float, width: int) -> Column:
         for a, b in zip(left.cast(pa.large_binary()), right.cast(pa.large_binary())):
             a, b = a.as_py() or b"", b.as_py() or b""
             if s is None or b != last:
-                last, s = b, np.unique(shingle_hashes(b, width))
-            r = np.unique(shingle_hashes(a, width))
+                last, s = b, np.unique(joined_hashes(word_hashes(b), width))
+            r = np.unique(joined_hashes(word_hashes(a), width))
             both = len(np.intersect1d(r, s, assume_unique=True))
             out.append(both >= similarity * (len(r) + len(s) - both))
         return pa.array(out, pa.bool_())
@@ -480,19 +496,20 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, wid
     link: these are searched again without the pairs already compared, with MORE times as many forests, until none is left to compare.
     """
     spark = docs.sparkSession
-    own = docs.select(docs["doc_id"].alias("id"), _text_name(docs["text"]).alias("name"), docs["text"].alias("t"))
+    own = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("t"))
     compared = spark.createDataFrame([], "a long, b long, ok boolean")
     stars = spark.createDataFrame([], "a long, b long")
     turns = F.array(*[F.struct(F.lit(k).alias("turn"), _turned(F.col("fp"), by).alias("fp")) for k, (by, _) in enumerate(TURNS)])
     open_, forests = texts.select("name", "fp", "low", "high"), 1
     while True:
         turned = open_.withColumn("at", F.explode(turns)).withColumn("turn", F.col("at.turn")).withColumn("fp", F.col("at.fp")).drop("at")
-        near = checkpointed(candidates(turned, [Budget(TOTAL, lead, LEAD) for _, lead in TURNS], forests, node))
+        near = checkpointed(candidates(turned, [Budget(TOTAL, lead, LEAD) for _, lead in TURNS], forests, node * FIRST if forests == 1 else node))
         if near.isEmpty():
             break
         wanted = near.select(F.col("a").alias("name")).union(near.select(F.col("b").alias("name"))).distinct()
         wanted = checkpointed(texts.join(wanted, "name").select(F.col("name").alias("n"), F.col("id").alias("i")))
-        bodies = own.join(wanted, (F.col("name") == F.col("n")) & F.col("id").eqNullSafe(F.col("i"))).select("n", "t").dropDuplicates(["n"])
+        bodies = likely(own, "id", wanted, "i").withColumn("name", _text_name(F.col("t")))
+        bodies = bodies.join(wanted, (F.col("name") == F.col("n")) & F.col("id").eqNullSafe(F.col("i"))).select("n", "t").dropDuplicates(["n"])
         pairs = near.join(bodies.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(
             bodies.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
         new = checkpointed(pairs.select("a", "b", alike(F.col("ta"), F.col("tb"), similarity, width).alias("ok")))
@@ -533,10 +550,10 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = S
     first = grouped.groupBy("g").agg(F.min(F.struct("least.none", "least.id", "name", "least.n")).alias("f"))
     name, other, own, n = (_unused(c, docs.columns) for c in ("text_name", "kept_name", "kept_id", "kept_n"))
     kept = checkpointed(first.select(F.col("f.name").alias(other), F.col("f.id").alias(own), F.col("f.n").alias(n)))
-    named = docs.withColumn(name, _text_name(docs["text"]))
 
     def rows_of(part: DataFrame) -> DataFrame:
-        return named.join(part, (named[name] == part[other]) & named["doc_id"].eqNullSafe(part[own]))
+        near = likely(docs, "doc_id", part, own).withColumn(name, _text_name(docs["text"]))
+        return near.join(part, (near[name] == part[other]) & near["doc_id"].eqNullSafe(part[own]))
 
     once, repeated = rows_of(kept.where(F.col(n) == 1)), rows_of(kept.where(F.col(n) > 1)).dropDuplicates([name])
     return once.unionByName(repeated).drop(name, other, own, n)

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from oddsmill.llm import simhash
+from oddsmill.llm import common, simhash
 
 WORDS = [f"w{k}" for k in range(4000)]
 
@@ -126,3 +126,33 @@ def test_rotations_go_down_together(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-copies"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs < 95
+
+
+def test_likely_keeps_wanted_rows_of_any_columns(spark):
+    """All wanted rows, nulls too, and hardly another; helper columns clash with none."""
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.col("id").alias("_word"), F.col("id").alias("__bits"))
+    wanted = spark.createDataFrame([(None,), *[(k,) for k in range(7, 20_000, 100)]], "name long")
+    got = common.likely(rows, "doc_id", wanted, "name")
+    assert got.columns == rows.columns
+    found = {r["_word"] for r in got.collect()}
+    assert {0, *range(7, 20_000, 100)} <= found and len(found) < 300
+    assert common.likely(rows, "doc_id", wanted.limit(0), "name").count() == 0
+
+
+def test_shingles_by_word_hashes():
+    """As many distinct shingles as by their text, the same ones equal; texts of fewer words are one shingle."""
+    rng = random.Random(4)
+    words = [rng.choice("abcdefgh") for _ in range(3000)]
+    for n in (0, 1, 4, 5, 6, 200, 3000):
+        text = " ".join(words[:n]).encode()
+        plain, joined = simhash.shingle_hashes(text, 5), simhash.joined_hashes(simhash.word_hashes(text), 5)
+        assert len(plain) == len(joined) and len(set(plain.tolist())) == len(set(joined.tolist())) == len(set(zip(plain.tolist(), joined.tolist())))
+
+
+def test_first_round_sends_texts_to_few_nodes(spark, monkeypatch):
+    """Texts of one round fit eight times as many to a node pair as those that keep many forests."""
+    sizes, whole = [], simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda texts, budgets, forests, node: sizes.append((forests, node)) or whole(texts, budgets, forests, node))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * 7 + j}" for j in range(30))) for k in range(40)], "doc_id long, text string")
+    assert simhash.deduplicated(docs).count() == 40
+    assert sizes[0] == (1, 8 * simhash.TEXTS) and all(node == simhash.TEXTS for _, node in sizes[1:])
