@@ -27,7 +27,7 @@ TEXTS = 8192  # the same for texts with sketches
 FIRST = 8  # times as many while one forest is kept of a node pair: the larger the nodes, the fewer of them a text is sent to
 STRIDE = 2  # bits by which the distributed part goes down
 DIRECT = 64  # pairs of two nodes that are compared at once instead of going deeper
-FRONTIER = 100_000  # node pairs followed at a time inside a task
+FRONTIER = 16_384  # node pairs followed at a time inside a task; each may become DIRECT pairs
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
